@@ -1,0 +1 @@
+"""Search and indexing of large media libraries on Spark."""
