@@ -5,12 +5,13 @@ Equal runs hold the same anchor: the leftmost position among their first starts
 smallest hash. So only suffixes at anchors are indexed, each with the words of all runs that it anchors. They are
 partitioned by prefix: of `order` words at first, and where more than `group` suffixes share one, of the whole
 run's words, so that every group fits in memory (groups of equal whole runs need no tree, only their earliest
-member, which is pre-aggregated). In a group the sorted suffixes are the leaves of the prefix's subtree, common
+member: each batch settles its own runs and sends its earliest of each on). In a group the sorted suffixes are the leaves of the prefix's subtree, common
 prefix lengths of neighbours give its internal nodes, and nodes of depth `width` or more are the repeats.
 
 Documents that equal an earlier one in full are settled first. Prefixes that occur once are dropped before any
 words are sent. Null and empty texts have no words; texts of fewer than `width` words have no runs. Rows that
-share a doc_id are ordered by a hash of their texts; fully equal rows get the same result. A null doc_id comes first.
+share a doc_id are ordered by a hash of their texts; fully equal rows get the same result. A null doc_id counts as
+the smallest integer.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.kit import signed, window_hashes, word_hashes
+from glimmer.llm.kit import signed, sliced, window_hashes, word_hashes
 
 WIDTH, ORDER, GROUP = 20, 8, 4096
+NO_ID = -(2**63)
 
 
 def anchors(h: np.ndarray, width: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,20 +98,20 @@ def _resolved(rows: pa.RecordBatch | pa.Table, width: int) -> pa.RecordBatch:
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, order: int = ORDER, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """docs as (doc_id, d, th, text, copy), and (d, th, hits): the starts of its repeats as places and bit masks."""
+    """docs as (d, th, text, copy), and (d, th, hits): the starts of its repeats as places and bit masks."""
     if not 0 < width - order < 60:
         raise ValueError("a run needs between 1 and 59 words more than its prefix")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.withColumn("d", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("th", F.hash("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = rows.withColumn("th", F.hash("text"))
     full = rows.select("d", "th", F.sha2("text", 256).alias("sha"))
     first = full.groupBy("sha").agg(F.min("d").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
     copies = full.join(first, "sha").where("d > first").select("d", "th", F.lit(True).alias("copy")).distinct()
-    # every join below is by (d, th), so that the texts are shuffled once
+    # every join below is by (d, th) and reads the same columns, so that the texts are shuffled once
     marked = rows.join(copies.hint("shuffle_hash"), ["d", "th"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     once = marked.where("NOT copy").select("d", "th", "text")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out: list[list[np.ndarray]] = [[], [], [], []]
             for d, th, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 k, n = np.unique(anchors(word_hashes(t.encode().split()), width, order)[0], return_counts=True)
@@ -118,37 +120,42 @@ def repeats(docs: DataFrame, width: int = WIDTH, order: int = ORDER, group: int
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) if x else pa.array([], t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "d", "th", "n"])
 
     prefixes = once.mapInArrow(keys, "key long, d long, th int, n int").repartition("key")
-    often = prefixes.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1")
-    shared = prefixes.join(often.hint("shuffle_hash"), "key").groupBy("d", "th").agg(F.collect_list(F.when(F.col("total") <= group, F.col("key"))).alias("few"), F.collect_list(F.when(F.col("total") > group, F.col("key"))).alias("many"))
+    # bounds that always hold keep both uses of the prefixes at the same columns, so that they are made once
+    often = prefixes.groupBy("key").agg(F.sum("n").alias("total"), F.max("d").alias("_d"), F.max("th").alias("_th")).where("total > 1")
+    both = prefixes.join(often.hint("shuffle_hash"), "key").where("d <= _d AND th <= _th AND n <= total")
+    shared = both.groupBy("d", "th").agg(F.collect_list(F.when(F.col("total") <= group, F.col("key"))).alias("few"), F.collect_list(F.when(F.col("total") > group, F.col("key"))).alias("many"))
     wanted = once.join(shared.hint("shuffle_hash"), ["d", "th"])
 
-    def suffixes(many: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out: list[tuple] = []
-                size = 0
-                for d, th, t, keep in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                    if not keep:
-                        continue
-                    h = word_hashes(t.encode().split())
-                    k, place, a, z = anchors(h, width, order)
-                    for i in np.flatnonzero(np.isin(signed(k), np.array(keep, np.int64))).tolist():
-                        if many:
-                            w = h[a[i] : z[i] + width]
-                            whole = [hashlib.blake2b(w[j : j + width].tobytes(), digest_size=16).digest() for j in range(len(w) - width + 1)]
-                            out += [(x, d, th, int(a[i]) + j) for j, x in enumerate(whole)]
-                            size += 48 * len(whole)
-                        else:
-                            words = h[a[i] : z[i] + width].tobytes()
-                            out.append((int(signed(k[i : i + 1])[0]), d, th, int(a[i]), int(z[i] - a[i] + 1), int(place[i] - a[i]), words))
-                            size += len(words)
-                        if size > 8 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _RUN if many else _SUFFIX, strict=True)], schema=_RUN if many else _SUFFIX)
-                            out, size = [], 0
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _RUN if many else _SUFFIX, strict=True)], schema=_RUN if many else _SUFFIX)
-
-        return run
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            out: list[tuple] = []
+            size = 0
+            for d, th, t, keep in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if not keep:
+                    continue
+                h = word_hashes(t.encode().split())
+                k, place, a, z = anchors(h, width, order)
+                for i in np.flatnonzero(np.isin(signed(k), np.array(keep, np.int64))).tolist():
+                    words = h[a[i] : z[i] + width].tobytes()
+                    out.append((int(signed(k[i : i + 1])[0]), d, th, int(a[i]), int(z[i] - a[i] + 1), int(place[i] - a[i]), words))
+                    size += len(words)
+                    if size > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SUFFIX, strict=True)], schema=_SUFFIX)
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SUFFIX, strict=True)], schema=_SUFFIX)
+
+    def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 2048):
+            held: list[tuple[np.ndarray, ...]] = []
+            for d, th, t, keep in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                h = word_hashes(t.encode().split())
+                k, _, a, z = anchors(h, width, order)
+                for i in np.flatnonzero(np.isin(signed(k), np.array(keep, np.int64))).tolist():
+                    n = z[i] - a[i] + 1
+                    held.append((np.full(n, k[i]), window_hashes(h[a[i] : z[i] + width], width), np.full(n, d), np.full(n, th), np.arange(a[i], z[i] + 1), np.full(n, a[i])))
+            if held:
+                yield _settled(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -162,16 +169,41 @@ def repeats(docs: DataFrame, width: int = WIDTH, order: int = ORDER, group: int
         if held is not None and held.num_rows:
             yield _resolved(held, width)
 
-    few = wanted.select("d", "th", "text", "few").mapInArrow(suffixes(False), _SUFFIX_SQL).repartition("key").sortWithinPartitions("key")
+    few = wanted.select("d", "th", "text", "few").mapInArrow(suffixes, _SUFFIX_SQL).repartition("key").sortWithinPartitions("key")
     found = few.mapInArrow(trees, "d long, th int, start int, mask long")
-    runs = wanted.where("size(many) > 0").select("d", "th", "text", "many").mapInArrow(suffixes(True), "run binary, d long, th int, start int")
-    earliest = runs.groupBy("run").agg(F.min(F.struct("d", "th", "start")).alias("first"))
-    late = runs.join(earliest, "run").where("struct(d, th, start) <> first").select("d", "th", "start", F.lit(1).cast("long").alias("mask"))
-    hits = found.unionByName(late).groupBy("d", "th").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
+    runs = wanted.where("size(many) > 0").select("d", "th", "text", "many").mapInArrow(whole_runs, "key long, run long, d long, th int, start int, mask long")
+    ahead = runs.where("run IS NOT NULL")
+    earliest = ahead.groupBy("key", "run").agg(F.min(F.struct("d", "th", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    late = ahead.join(earliest, ["key", "run"]).where("struct(d, th, start) <> first").select("d", "th", "start", F.lit(1).cast("long").alias("mask"))
+    found = found.unionByName(runs.where("run IS NULL").select("d", "th", "start", "mask")).unionByName(late)
+    hits = found.groupBy("d", "th").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
     return marked, hits
 
 
-_RUN = pa.schema([("run", pa.binary()), ("d", pa.int64()), ("th", pa.int32()), ("start", pa.int32())])
+_RUN = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("d", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("mask", pa.int64())])
+
+
+def _settled(key: np.ndarray, run: np.ndarray, d: np.ndarray, th: np.ndarray, start: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """The batch's earliest of each run, and bit masks (without a run) of those that come later, by their anchor's
+    first run. Runs are equal if both the hash of their anchor's prefix and that of all their words are."""
+    order = np.lexsort((start, th, d, run, key))
+    key, run, d, th, start, at = (x[order] for x in (key, run, d, th, start, at))
+    head = np.concatenate([[True], (key[1:] != key[:-1]) | (run[1:] != run[:-1])])
+    lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+    late = ~((d == d[lead]) & (th == th[lead]) & (start == start[lead]))
+    places, where = np.unique(np.stack([d[late], th[late].astype(np.int64), at[late]]), axis=1, return_inverse=True)
+    mask = np.zeros(places.shape[1], np.int64)
+    np.bitwise_or.at(mask, where.ravel(), 1 << (start[late] - at[late]))
+    n, m = int(head.sum()), len(mask)
+    out = [
+        pa.array([*signed(key[head]).tolist(), *[None] * m], pa.int64()),
+        pa.array([*signed(run[head]).tolist(), *[None] * m], pa.int64()),
+        pa.array(np.concatenate([d[head], places[0]]), pa.int64()),
+        pa.array(np.concatenate([th[head], places[1]]).astype(np.int32)),
+        pa.array(np.concatenate([start[head], places[2]]).astype(np.int32)),
+        pa.array([*[None] * n, *mask.tolist()], pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays(out, schema=_RUN)
 
 
 def _groups(table: pa.Table, size: int) -> Iterator[pa.Table]:
@@ -202,17 +234,17 @@ def removed(words: int, hits: list[dict] | None, copy: bool, width: int) -> np.n
 def digests(docs: DataFrame, width: int = WIDTH, order: int = ORDER, group: int = GROUP, texts: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row, and with texts what is kept of it."""
     marked, hits = repeats(docs, width, order, group)
-    joined = marked.join(hits.hint("shuffle_hash"), ["d", "th"], "left").select("doc_id", "text", "copy", "hits")
+    joined = marked.join(hits.hint("shuffle_hash"), ["d", "th"], "left").select("d", "th", "text", "copy", "hits")
     arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("text", pa.string())] if texts else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = []
-            for i, t, copy, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "copy", "hits")), strict=True):
+            for i, t, copy, found in zip(*(b.column(c).to_pylist() for c in ("d", "text", "copy", "hits")), strict=True):
                 words = t.encode().split()
                 gone = removed(len(words), found, copy, width)
                 kept = b" ".join(words if not gone.any() else [w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-                out.append((i, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if texts else [])))
+                out.append((None if i == NO_ID else i, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if texts else [])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
