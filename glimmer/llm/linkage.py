@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.kit import components, stored
+from glimmer.llm.kit import components, sliced, stored
 
 Check = Callable[[str, str], bool]
 
@@ -27,7 +27,7 @@ def checked(pairs: DataFrame, texts: DataFrame, make_check: Callable[[], Check])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check = make_check()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "at", "bt")), strict=True)
             kept = [(a, b) for a, b, s, t in rows if check(s, t)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -52,12 +52,20 @@ def _mixed(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     return named.join(several, "bucket")
 
 
-def linked(buckets: DataFrame, texts: DataFrame, near: str, make_check: Callable[[], Check], attributes: list[str]) -> DataFrame:
+def linked(buckets: DataFrame, texts: DataFrame, near: str, make_check: Callable[[], Check], attributes: list[str], need: str | None = None) -> DataFrame:
     """(id, component) of every id with a link.
 
     buckets: (bucket, id, attributes...), best without buckets of one id; near: SQL over structs x and y of id,
-    component and attributes; texts: (id, text) of all ids in buckets.
+    component and attributes; texts: (id, text) of all ids in buckets. need: SQL for the fewest buckets that a
+    linked pair shares, where buckets have a `weight` each; an id that is in fewer is no candidate, and pairs of
+    the last round are counted before they are checked.
     """
+    if need is not None:
+        total = buckets.groupBy("id").agg(F.sum("weight").alias("weights"))
+        buckets = buckets.join(total, "id")
+        attributes = [*attributes, "weights"]
+        near = f"{near} AND least(x.weights, y.weights) >= {need}"
+    counted = F.lit(1).cast("long") if need is None else F.col("weight")
     edges = None
     groups = buckets.sparkSession.createDataFrame([], "id long, component long")
     for pick in (F.min, F.max, None):
@@ -68,9 +76,10 @@ def linked(buckets: DataFrame, texts: DataFrame, near: str, make_check: Callable
             pairs = _led(members, pick, near, attributes)
         else:
             fields = ["id", "component", *attributes]
-            side = members.select("bucket", F.struct(*fields).alias("s"))
-            both = side.withColumnRenamed("s", "x").join(side.withColumnRenamed("s", "y"), "bucket").where("x.id < y.id AND x.component <> y.component").where(near)
-            pairs = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+            side = members.select("bucket", counted.alias("w"), F.struct(*fields).alias("s"))
+            both = side.withColumnRenamed("s", "x").join(side.select("bucket", F.col("s").alias("y")), "bucket").where("x.id < y.id AND x.component <> y.component").where(near)
+            pairs = both.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.sum("w").alias("w"), F.first("x").alias("x"), F.first("y").alias("y"))
+            pairs = (pairs if need is None else pairs.where(f"w >= {need}")).select("a", "b")
         found = stored(checked(pairs, texts, make_check), "links")
         edges = found if edges is None else edges.unionByName(found)
         if not found.isEmpty():

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.kit import count_vector, mixed, signed, stored, window_hashes, word_hashes
+from glimmer.llm.kit import count_vector, mixed, signed, sliced, stored, window_hashes, word_hashes
 from glimmer.llm.linkage import linked
 
 SIZE, PERCENT, COUNTS = 5, 75, 1 << 18
@@ -81,7 +81,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("prefix_key", pa.binary()), ("set_key", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = shingles(t, size)
@@ -100,10 +100,16 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     shared = tokens.join(several.hint("shuffle_hash"), "bucket").select("bucket", F.col("doc_id").alias("gid"), "n")
     members = classes.join(groups.where("sets > 1"), "prefix_key").select("gid", "id", "n", F.xxhash64("prefix_key").alias("own"))
     expanded = shared.join(members.select("gid", "id"), "gid", "left").select("bucket", F.coalesce("id", "gid").alias("id"), "n")
-    buckets = stored(expanded.unionByName(members.select(F.col("own").alias("bucket"), "id", "n")), "buckets")
+    one = expanded.withColumn("weight", F.lit(1).cast("long"))
+    # sets of one group share their whole prefix, of which only what other groups have is in the buckets
+    buckets = stored(one.unionByName(members.select(F.col("own").alias("bucket"), "id", "n").withColumn("weight", F.lit(1 << 40))), "buckets")
     texts = rows.join(buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text")
     near = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    found = linked(buckets, stored(texts, "texts"), near, checker(size, percent), ["n"])
+    # Of two sets, all common shingles up to the end of the prefix that ends first are in both prefixes, so a linked
+    # pair shares at least the overlap that it needs less what lies behind the longer rest.
+    overlap = f"(({percent} * (x.n + y.n) + {99 + percent}) DIV {100 + percent})"
+    behind = f"(({percent} * greatest(x.n, y.n) + 99) DIV 100 - 1)"
+    found = linked(buckets, stored(texts, "texts"), near, checker(size, percent), ["n"], f"({overlap} - {behind})")
     return _labelled(signs, classes, found)
 
 
