@@ -49,15 +49,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, arrow: pa.Schema) -> DataFrame:
-    """df through fn, batch by batch; fn returns columns by name."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
-
-    return df.mapInArrow(run, schema)
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that what Python makes of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 class Memo(dict):
@@ -109,15 +105,37 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges (u, v) that this task gets, by union-find."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            low, high = sorted((root(u), root(v)))
+            parent[high] = low
+    ids = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "component"])
+
+
+def components(edges: DataFrame, rounds: int = 60, small: int = 200_000) -> DataFrame:
     """(id, component): connected components of edges (a, b), named by their smallest id. Only ids with an edge appear.
 
     Alternates large-star and small-star steps; each step is a shuffle of the edges, written to the shared folder,
     until a step leaves the edges as they were. A hub's edges are never gathered: minima are pre-aggregated
-    and joined back.
+    and joined back. At most `small` edges, a few MB, go to one task instead; the result is the same.
     """
     both = edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct()
     current = stored(both, "edges")
+    if current.count() <= small:
+        return current.coalesce(1).mapInArrow(_united, "id long, component long")
     before = None
     for _ in range(rounds):
         sym = current.unionByName(current.selectExpr("v AS u", "u AS v"))
@@ -148,9 +166,8 @@ def count_vector(df: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray], size
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for b in batches:
-            if b.num_rows:
-                total += fn(b)
+        for b in sliced(batches):
+            total += fn(b)
         at = [k for k in range(0, size, step) if total[k : k + step].any()]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([total[k : k + step].tobytes() for k in at], pa.binary())], names=["at", "counts"])
 
