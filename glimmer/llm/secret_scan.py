@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.kit import stored
+from glimmer.llm.kit import sliced, stored
 
 LEAST, RATE, BINS = 20, 0.1, 64
 KINDS = ("assign", "access", "hex", "random")
@@ -83,10 +83,10 @@ def randomness(symbols: list[int], size: int) -> float:
     classes = max(2, min(size, n // 4))
     counts = [0] * classes
     for s in symbols:
-        counts[s * 31 % size * classes // size] += 1
+        counts[s * 29 % size * classes // size] += 1
     share = [0] * classes
     for s in range(size):
-        share[s * 31 % size * classes // size] += 1
+        share[s * 29 % size * classes // size] += 1
     chi = sum((c - n * w / size) ** 2 / (n * w / size) for c, w in zip(counts, share, strict=True))
     p1 = _chi_tail(chi, classes - 1)
     up = [2 * s >= size for s in symbols]
@@ -175,7 +175,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float =
     arrow = pa.schema([("k", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base", pa.string()), ("candidates", pa.list_(entry))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = [scan(t) for t in b.column(1).to_pylist()]
             counts = [[sum(k == kind for _, k, _ in s) for s, _ in rows] for kind in KINDS[:3]]
             found = [[{"start": a, "end": e, "kind": k, "level": lv, "bin": min(BINS - 1, int(p * BINS))} for a, e, k, lv, p in c] for _, c in rows]
