@@ -18,14 +18,14 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.kit import Memo
+from glimmer.llm.kit import Memo, sliced
 
 #: The pre-token pattern of this vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,6 +35,16 @@ _CUTS = re.compile(r"\s*\S+|\s+")
 LONG, WINDOW = 32_768, 256
 
 
+def library(path: str):
+    """The tokenizers library's reader of a vocabulary file, its truncation and padding unused."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
 class Codec:
     """Encoder and decoder of one byte-level vocabulary file; one per path and Python worker."""
 
@@ -47,15 +57,11 @@ class Codec:
         return cls._open[path]
 
     def __init__(self, path: str):
-        import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         to_byte = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
@@ -63,8 +69,11 @@ class Codec:
         for token, i in [*ranks.items(), *((k.encode(), v) for k, v in self.special.items())]:
             self.of_id[i] = token
         self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.split = regex.compile(PATTERN).findall
-        self.memo = Memo(lambda piece: np.array(self.core.encode_ordinary(piece), "<u4").tobytes(), 300_000)
+        self.memo = Memo(lambda piece: np.array(self.core.encode_ordinary(piece), "<u4").tobytes(), 200_000)
+
+    @cached_property
+    def library(self):
+        return library(self.path)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -159,12 +168,12 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(path)
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.encode(t) for t in b.column(1).to_pylist()], pa.binary())], schema=arrow)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(path)
-        for b in batches:
+        for b in sliced(batches):
             ids = pa.array([codec.encode(t) for t in b.column("t").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("k", "row", "n", "t")), ids], names=["k", "row", "n", "t", "tokens"])
 
@@ -194,7 +203,7 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", column: str = "tok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(path)
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([lossy(codec.decode(t)) for t in b.column(1).to_pylist()], pa.binary())], schema=arrow)
 
     return base.mapInArrow(run, f"k {kind}, text binary").withColumnRenamed("k", key)
@@ -222,7 +231,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(path)
-        for b in batches:
+        for b in sliced(batches):
             raw = b.column("tokens").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), pa.array([hashlib.sha256(lossy(codec.decode(x))).hexdigest() for x in raw])],

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glimmer.llm.kit import sliced
+
 SPAN, SURGE = 3, 80
 #: HTML's element names by their part here.
 RAW = frozenset({"script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "math", "object", "noembed", "noframes", "xmp"})
@@ -175,7 +177,7 @@ def extract(pages: DataFrame, key: str = "page_id", column: str = "html") -> Dat
     arrow = pa.schema([("k", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = [main_text(h) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=arrow)
 

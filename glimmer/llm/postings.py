@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.kit import stored, word_hashes
+from glimmer.llm.kit import sliced, stored, word_hashes
 
 #: A-Z to lower case; 0-9, a-z and all bytes from 0x80 on are word bytes; all others separate words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -39,7 +39,7 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         sizes: list[int] = []
         held: list[np.ndarray] = []
         total = 0
-        for b in batches:
+        for b in sliced(batches):
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = word_hashes(words(t))
                 keys.append(k)

@@ -9,12 +9,13 @@ give a record with the end id alone.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glimmer.llm import files
-from glimmer.llm.bpe import byte_alphabet
-from glimmer.llm.kit import Memo, scratch_path, stored
+from glimmer.llm.bpe import byte_alphabet, library
+from glimmer.llm.kit import Memo, scratch_path, sliced, stored
 
 #: Reversed Castagnoli polynomial and the constant that masks checksums.
 CASTAGNOLI, MASK_DELTA = 0x82F63B78, 0xA282EAD8
@@ -128,19 +129,22 @@ class WordCodec:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        to_byte, end, special = byte_alphabet(), "</w>", {t.content for t in self.library.get_added_tokens_decoder().values()}
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocabulary, to_byte, end, special = spec["model"]["vocab"], byte_alphabet(), "</w>", {t["content"] for t in spec["added_tokens"]}
         # a word's last symbol carries the word end, which becomes a byte that UTF-8 never has
-        ranks = {bytes(to_byte[c] for c in token.removesuffix(end)) + b"\xff" * token.endswith(end): i for token, i in self.library.get_vocab().items() if token not in special}
+        ranks = {bytes(to_byte[c] for c in token.removesuffix(end)) + b"\xff" * token.endswith(end): i for token, i in vocabulary.items() if token not in special}
         self.piece = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.wide = max(self.library.get_vocab().values()) > 0xFFFF
+        self.wide = max([*vocabulary.values(), *(t["id"] for t in spec["added_tokens"])]) > 0xFFFF
         self.kind = "<u4" if self.wide else "<u2"
         self.memo = Memo(self._word)
 
+    @cached_property
+    def library(self):
+        return library(self.path)
+
     def _word(self, word: str) -> bytes:
         if self._plain(word) and "<|" not in word and len(word) < 100_000:
             ids = [i for part in self._split(unicodedata.normalize("NFC", word).lower()) for i in self.piece(part.encode() + b"\xff")]
@@ -188,7 +192,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, key: str = "doc_
             held, room, number = [], FILE_BYTES, number + 1
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
 
-        for b in batches:
+        for b in sliced(batches):
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = codec.encode(t) + end
                 held.append((k, ids, len(ids) // len(end)))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.llm import files
-from glimmer.llm.kit import scratch_path, stored
+from glimmer.llm.kit import scratch_path, sliced, stored
 
 FILE_BYTES, LEAST = 16 << 20, 100
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
@@ -154,7 +154,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
             number, held, size = number + 1, [], 0
             return out
 
-        for b in batches:
+        for b in sliced(batches):
             for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 held.append(member(record(*row)))
                 size += len(held[-1])
