@@ -264,9 +264,9 @@ def build_index(texts: DataFrame, key: str, column: str = "text", stem: bool = F
 
         tokens = stemmed(tokens)
     base = texts.select(key, F.coalesce(tokens, F.array().cast("array<string>")).alias("t"))
-    # a row's terms are counted in the row, so no term's postings meet anywhere
-    terms = base.select(key, F.explode(F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))).alias("p"))
-    return terms.select(key, "p.term", "p.tf"), base.select(key, F.size("t").alias("dl"))
+    # a row's terms are counted where the row is read, so the shuffle moves each posting once
+    terms = base.select(key, F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").cast("int").alias("tf"))
+    return terms, base.select(key, F.size("t").alias("dl"))
 
 
 def idf(n: int, df: int) -> float:
