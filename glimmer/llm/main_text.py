@@ -35,6 +35,8 @@ CONTAINERS = frozenset({"article", "main"})
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer menu menubar modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted promotion related reply replies share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Class and id words of a page's own header, and first parts of words that tell of a layout.
+HEADERS, LAYOUT = frozenset("header masthead page-header site-header top-bar topbar".split()), frozenset("has no not with without".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(?i)(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -53,7 +55,9 @@ def _outside(name: str, attributes: str, contained: bool) -> bool:
         if key in ("class", "id"):
             for word in value.split():
                 parts = [p.lower() for p in _PARTS.findall(word)]
-                if parts and (parts[0] in MARKS or parts[-1] in MARKS):
+                if parts and parts[0] not in LAYOUT and (parts[0] in MARKS or parts[-1] in MARKS):
+                    return True
+                if not contained and word.lower().replace("_", "-") in HEADERS:
                     return True
     return False
 
