@@ -95,8 +95,9 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     classes = stored(filled.groupBy("prefix_key", "set_key", "n").agg(F.min("doc_id").alias("id")), "classes")
     groups = classes.groupBy("prefix_key").agg(F.min("id").alias("gid"), F.count("*").alias("sets"))
     heads = filled.join(groups.select("prefix_key", F.col("gid").alias("doc_id")), ["prefix_key", "doc_id"]).select("doc_id", "n", F.explode("tokens").alias("bucket"))
-    tokens = heads.repartition("bucket")
-    several = tokens.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("bucket")
+    # both uses of the tokens read the same columns under the same conditions, so that they are shuffled once
+    tokens = heads.where("bucket IS NOT NULL AND doc_id IS NOT NULL AND n > 0").repartition("bucket")
+    several = tokens.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("n").alias("m")).where("lo <> hi AND m > 0").select("bucket")
     shared = tokens.join(several.hint("shuffle_hash"), "bucket").select("bucket", F.col("doc_id").alias("gid"), "n")
     members = classes.join(groups.where("sets > 1"), "prefix_key").select("gid", "id", "n", F.xxhash64("prefix_key").alias("own"))
     expanded = shared.join(members.select("gid", "id"), "gid", "left").select("bucket", F.coalesce("id", "gid").alias("id"), "n")
