@@ -119,7 +119,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, order: int = ORDER, group: int
                     x.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) if x else pa.array([], t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "d", "th", "n"])
 
-    prefixes = once.mapInArrow(keys, "key long, d long, th int, n int").repartition("key")
+    prefixes = once.mapInArrow(keys, "key long, d long, th int, n int").where("key IS NOT NULL AND d IS NOT NULL AND th IS NOT NULL AND n > 0").repartition("key")
     # bounds that always hold keep both uses of the prefixes at the same columns, so that they are made once
     often = prefixes.groupBy("key").agg(F.sum("n").alias("total"), F.max("d").alias("_d"), F.max("th").alias("_th")).where("total > 1")
     both = prefixes.join(often.hint("shuffle_hash"), "key").where("d <= _d AND th <= _th AND n <= total")
