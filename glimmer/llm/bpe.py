@@ -69,7 +69,7 @@ class Codec:
         for token, i in [*ranks.items(), *((k.encode(), v) for k, v in self.special.items())]:
             self.of_id[i] = token
         self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.memo = Memo(lambda piece: np.array(self.core.encode_ordinary(piece), "<u4").tobytes(), 200_000)
+        self.memo = Memo(lambda piece: np.array(self.core.encode_ordinary(piece), "<u4").tobytes(), 150_000)
 
     @cached_property
     def library(self):

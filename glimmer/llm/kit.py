@@ -59,7 +59,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 class Memo(dict):
     """A bounded cache of make(key). It is emptied when full, so memory stays bounded and results don't change."""
 
-    def __init__(self, make: Callable, limit: int = 400_000):
+    def __init__(self, make: Callable, limit: int = 300_000):
         super().__init__()
         self.make, self.limit = make, limit
 
@@ -70,12 +70,9 @@ class Memo(dict):
         return value
 
 
-_WORD_HASHES = Memo(xxhash.xxh64_intdigest)
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
-    return np.fromiter(map(_WORD_HASHES.__getitem__, words), _U64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), _U64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
