@@ -189,6 +189,11 @@ def _near(tokens: Column, near: Near) -> Column:
     return reduce(lambda a, b: a & b, tests, F.size(_starts(tokens, first)) > 0)
 
 
+def _once(value: Column) -> Column:
+    """value, which filters above it can't be pushed below: they would split and count every text again for each term."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def _close(other: Column, n: int, m: int, distance: int):
     return lambda i: F.exists(other, lambda j: (j - i - n <= distance) & (i - j - m <= distance) & (i != j))
 
@@ -214,8 +219,8 @@ def search(texts: DataFrame, query: str, key: str, column: str = "text", limit:
     leaves = [x for x, _ in _leaves(tree)]
     phrases = list(dict.fromkeys(p for x in leaves for p in (x.phrases if isinstance(x, Near) else (x,))))
     at = {p: f"_f{i}" for i, p in enumerate(phrases)}
-    base = texts.select(key, F.coalesce(tokens, F.array().cast("array<string>")).alias("_t"))
-    counted = base.select(key, "_t", (F.size("_t") + key_tokens).alias("_n"), *((F.lit(0) if p.column not in (None, column) else _occurrences(F.col("_t"), p)).alias(c) for p, c in at.items()))
+    base = texts.select(key, _once(F.coalesce(tokens, F.array().cast("array<string>"))).alias("_t"))
+    counted = base.select(key, "_t", _once(F.size("_t") + key_tokens).alias("_n"), *((F.lit(0) if p.column not in (None, column) else _occurrences(F.col("_t"), p)).alias(c) for p, c in at.items()))
 
     def holds(node) -> Column:
         if isinstance(node, Phrase):
