@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from glimmer.llm.kit import signed, sliced, window_hashes, word_hashes
 
-WIDTH, ORDER, GROUP = 20, 8, 4096
+#: A group of 16,384 suffixes takes about 4 MB, and some 40 MB while its tree is made.
+WIDTH, ORDER, GROUP = 20, 8, 16_384
 NO_ID = -(2**63)
 
 
@@ -163,7 +164,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, order: int = ORDER, group: int
             table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
             key = table.column("key").to_numpy()
             cut = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0  # the last group may go on
-            for part in _groups(table.slice(0, cut), 20_000):
+            for part in _groups(table.slice(0, cut), 8192):
                 yield _resolved(part, width)
             held = table.slice(cut).combine_chunks()
         if held is not None and held.num_rows:
