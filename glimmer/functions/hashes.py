@@ -29,14 +29,14 @@ def point_id(hex_id: Column) -> Column:
     return F.conv(F.substring(hex_id, 1, 16), 16, 10).cast("decimal(20,0)")
 
 
-def hamming(a: Column, b: Column, digits: int = 64) -> Column:
-    """Differing bits of two hex strings of `digits` digits, fifteen digits at a time; null unless both have that length."""
-    at = range(1, digits + 1, 15)
+def chunks(digest: Column, digits: int) -> list[Column]:
+    """A hex string of `digits` digits as integers, fifteen digits each."""
+    return [F.conv(F.substring(digest, i, min(15, digits - i + 1)), 16, 10).cast("long") for i in range(1, digits + 1, 15)]
 
-    def chunk(c: Column, i: int) -> Column:
-        return F.conv(F.substring(c, i, min(15, digits - i + 1)), 16, 10).cast("long")
 
-    total = reduce(lambda x, y: x + y, [F.bit_count(chunk(a, i).bitwiseXOR(chunk(b, i))) for i in at])
+def hamming(a: Column, b: Column, digits: int = 64) -> Column:
+    """Differing bits of two hex strings of `digits` digits, fifteen digits at a time; null unless both have that length."""
+    total = reduce(lambda x, y: x + y, [F.bit_count(p.bitwiseXOR(q)) for p, q in zip(chunks(a, digits), chunks(b, digits), strict=True)])
     return F.when((F.length(a) == digits) & (F.length(b) == digits), total)
 
 

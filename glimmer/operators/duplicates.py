@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.functions.hashes import hamming
+from glimmer.functions.hashes import chunks
 
 
 def similar_pairs(rows: DataFrame, key: str, phash: str, threshold: int = 10, digits: int = 64) -> DataFrame:
@@ -20,10 +21,15 @@ def similar_pairs(rows: DataFrame, key: str, phash: str, threshold: int = 10, di
     bits, bands = 4 * digits, min(threshold + 1, 4 * digits)
     edges = [bits * i // bands for i in range(bands + 1)]
     as_bits = F.concat(*(F.lpad(F.conv(F.substring("h", i, 8), 16, 2), 4 * min(8, digits - i + 1), "0") for i in range(1, digits + 1, 8)))
-    hashes = clean.select("h").distinct().withColumn("_b", as_bits)
-    banded = hashes.select("h", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.substring("_b", edges[i] + 1, edges[i + 1] - edges[i]).alias("v")) for i in range(bands)))).alias("band"))
-    left, right = banded.select(F.col("h").alias("x"), "band"), banded.select(F.col("h").alias("y"), "band")
-    near = left.join(right, "band").where("x < y").withColumn("distance", hamming(F.col("x"), F.col("y"), digits)).where(F.col("distance") <= threshold)
+    # each hash is taken apart once, into integers to compare and bands to join on
+    hashes = clean.select("h").distinct()
+    values = F.array(*chunks(F.col("h"), digits))
+    cut = F.array(*(F.struct(F.lit(i).alias("i"), F.substring("_b", edges[i] + 1, edges[i + 1] - edges[i]).alias("v")) for i in range(bands)))
+    banded = hashes.select("h", values.alias("c"), as_bits.alias("_b")).select("h", *(F.get("c", F.lit(i)).alias(f"c{i}") for i in range(-(-digits // 15))), F.explode(cut).alias("band"))
+    names = [c for c in banded.columns if c not in ("h", "band")]
+    left, right = (banded.select(F.col("h").alias(n), "band", *(F.col(c).alias(f"{n}_{c}") for c in names)) for n in ("x", "y"))
+    distance = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in names])
+    near = left.join(right, "band").where("x < y").withColumn("distance", distance).where(F.col("distance") <= threshold)
     near = near.select("x", "y", F.col("distance").cast("long").alias("distance")).distinct()
     equal = hashes.select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(0).cast("long").alias("distance"))
     members = clean.withColumnRenamed("h", "x").withColumnRenamed("id", "p")
