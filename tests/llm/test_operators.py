@@ -383,6 +383,13 @@ def test_line_dedup(spark):
     assert len({tuple(x) for x in want.values()}) > 3
 
 
+def test_short_lines_are_deduped(spark):
+    """Repeats of a few words, of a script without spaces and of punctuation go; short lines aren't linked by their likeness."""
+    rows = [(1, "Read more\n今日は良い天気です\n---\n \npage 1\nown"), (2, "read  more!\n今日は良い天気です\n---\n \npage 2"), (3, "page 1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: list(x.removed) for x in lines.digests(docs).collect()} == {1: [], 2: [0, 1, 2], 3: [0]}
+
+
 def test_line_dedup_tables(odd, none):
     out = lines.deduped(odd)
     assert out.columns == odd.columns
