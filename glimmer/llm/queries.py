@@ -27,7 +27,7 @@ def queries() -> dict[str, Query]:
         return lambda spark, sf: fn(_table(spark, sf, "documents"))
 
     return {
-        "op1_line_dedup": documents(lines.digests),
+        "op1_line_dedup": documents(lambda d: lines.digests(d, bands=lines.BANDS)),
         "op2_decontamination": lambda spark, sf: postings.digests(_table(spark, sf, "documents"), _table(spark, sf, "benchmark")),
         "op3_bpe": documents(lambda d: bpe.digests(d, vocabulary("byte_bpe_50k.json"))),
         "op4_quality": lambda spark, sf: quality.judge(_table(spark, sf, "documents"), _table(spark, sf, "labels")),

@@ -383,6 +383,24 @@ def test_line_dedup(spark):
     assert len({tuple(x) for x in want.values()}) > 3
 
 
+@pytest.mark.parametrize("n", [5, 8, 12, 30, 80])
+def test_line_links_beyond_the_simhash(spark, n):
+    """Of pairs in which a word in ten (one at least) changed, nearly all are linked that plain edit similarity links."""
+    r = random.Random(n)
+    rows, linked = [], set()
+    for d in range(0, 400, 2):
+        a = ["".join(r.choice(string.ascii_lowercase) for _ in range(r.randrange(4, 9))) for _ in range(n)]
+        b = list(a)
+        for k in r.sample(range(n), max(1, n // 10)):
+            b[k] = "".join(r.choice(string.ascii_lowercase) for _ in range(6))
+        rows += [(d, " ".join(a)), (d + 1, " ".join(b))]
+        if 100 * brute.distance(rows[-2][1], rows[-1][1]) <= 20 * max(len(rows[-2][1]), len(rows[-1][1])):
+            linked.add(d + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {x.doc_id for x in lines.duplicates(docs, bands=lines.BANDS).withColumnRenamed("d", "doc_id").collect()}
+    assert len(linked) > 100 and gone <= linked and len(gone) >= 0.95 * len(linked)
+
+
 def test_short_lines_are_deduped(spark):
     """Repeats of a few words, of a script without spaces and of punctuation go; short lines aren't linked by their likeness."""
     rows = [(1, "Read more\n今日は良い天気です\n---\n \npage 1\nown"), (2, "read  more!\n今日は良い天気です\n---\n \npage 2"), (3, "page 1")]
