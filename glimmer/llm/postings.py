@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from glimmer.llm.kit import sliced, stored, word_hashes
 #: A-Z to lower case; 0-9, a-z and all bytes from 0x80 on are word bytes; all others separate words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SEGMENT_WORDS, BLOCK_WORDS = 1 << 21, 1 << 20
-_SEGMENT = pa.schema([("docs", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("terms", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+_SEGMENT = pa.schema([("segment", pa.int64()), ("docs", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("terms", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
 
 
 def words(text: str | None) -> list[bytes]:
@@ -39,6 +40,7 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         sizes: list[int] = []
         held: list[np.ndarray] = []
         total = 0
+        number = TaskContext.get().partitionId() << 32  # a segment's number, the same if the task is run again
         for b in sliced(batches):
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = word_hashes(words(t))
@@ -47,21 +49,22 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 held.append(h)
                 total += len(h)
                 if total >= SEGMENT_WORDS or len(keys) >= 1 << 17:
-                    yield _segment(keys, sizes, held)
+                    yield _segment(number, keys, sizes, held)
                     keys, sizes, held, total = [], [], [], 0
+                    number += 1
         if keys:
-            yield _segment(keys, sizes, held)
+            yield _segment(number, keys, sizes, held)
 
-    return stored(rows.mapInArrow(run, "docs array<long>, words array<long>, terms binary, counts binary, places binary"), "postings")
+    return stored(rows.mapInArrow(run, "segment long, docs array<long>, words array<long>, terms binary, counts binary, places binary"), "postings")
 
 
-def _segment(keys: list, sizes: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+def _segment(number: int, keys: list, sizes: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
     h = np.concatenate(held) if held else np.empty(0, np.uint64)
     order = np.argsort(h, kind="stable").astype(np.uint32)
     terms, first, counts = np.unique(h[order], return_index=True, return_counts=True)
     gaps = np.diff(order, prepend=np.uint32(0))
     gaps[first] = order[first]
-    return pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (terms, counts.astype("<u4"), gaps))], schema=_SEGMENT)
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (terms, counts.astype("<u4"), gaps))], schema=_SEGMENT)
 
 
 class Segment:
@@ -139,7 +142,7 @@ def search(index: DataFrame, items: DataFrame, size: int = 10, span: int | None
         sent = spark.sparkContext.broadcast(item_windows(block, size))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for docs, _, matches in _matched(batches, sent.value, span):
+            for _, docs, _, matches in _matched(batches, sent.value, span):
                 rows = [(docs[d], item, place, n) for d, item, place, n in matches]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
@@ -148,12 +151,12 @@ def search(index: DataFrame, items: DataFrame, size: int = 10, span: int | None
     return out
 
 
-def _matched(batches: Iterator[pa.RecordBatch], windows: list[tuple[int, np.ndarray]], span: int | None = None) -> Iterator[tuple[list, np.ndarray, list[tuple[int, int, int, int]]]]:
-    """Of each segment: its documents, their lengths, and (row of the document, item, place, length) of each match."""
+def _matched(batches: Iterator[pa.RecordBatch], windows: list[tuple[int, np.ndarray]], span: int | None = None) -> Iterator[tuple[int, list, np.ndarray, list[tuple[int, int, int, int]]]]:
+    """Of each segment: its number, its documents, their lengths, and (row of the document, item, place, length) of each match."""
     wanted = np.unique(np.concatenate([w for _, w in windows])) if windows else np.empty(0, np.uint64)
     local = [(item, np.searchsorted(wanted, w)) for item, w in windows]
     for b in batches:
-        for docs, sizes, terms, counts, places in zip(*(b.column(n).to_pylist() for n in _SEGMENT.names), strict=True):
+        for number, docs, sizes, terms, counts, places in zip(*(b.column(n).to_pylist() for n in _SEGMENT.names), strict=True):
             segment, sizes = Segment(terms, counts, places), np.array(sizes, np.int64)
             ends = np.cumsum(sizes)
             rows = segment.rank(wanted)
@@ -172,23 +175,24 @@ def _matched(batches: Iterator[pa.RecordBatch], windows: list[tuple[int, np.ndar
                             other = segment.places(r)
                             whole &= np.searchsorted(other, np.minimum(starts + span, ends[owner] - 1), "right") > np.searchsorted(other, np.maximum(starts - span, begin), "left")
                     matches += [(int(d), item, int(s - f), length) for d, s, f, ok in zip(owner, starts, begin, whole, strict=True) if ok]
-            yield docs, sizes, matches
+            yield number, docs, sizes, matches
 
 
 def contaminated(index: DataFrame, items: DataFrame, size: int = 10, limit: int = BLOCK_WORDS) -> DataFrame:
     """Per document of the index: doc_id, n_words, n_hit (words inside any occurrence of a window), items (sorted).
 
-    One pass over the index for each block of items; a document's hits of all blocks are merged by place.
+    One row for each row that was indexed. One pass over the index for each block of items; a row is known by its segment
+    and its place there, by which its hits of all blocks are merged, whatever its id.
     """
     spark = index.sparkSession
-    schema = "doc_id long, n_words long, n_hit long, hit binary, items array<long>"
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit", pa.binary()), ("items", pa.list_(pa.int64()))])
+    schema = "segment long, row long, doc_id long, n_words long, n_hit long, hit binary, items array<long>"
+    arrow = pa.schema([("segment", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit", pa.binary()), ("items", pa.list_(pa.int64()))])
     parts = []
     for block in blocks(items, "item_id", "text", limit):
         sent = spark.sparkContext.broadcast(item_windows(block, size))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for docs, sizes, matches in _matched(batches, sent.value):
+            for number, docs, sizes, matches in _matched(batches, sent.value):
                 hit = np.zeros(int(sizes.sum()), bool)
                 begin = np.cumsum(sizes) - sizes
                 found: list[set[int]] = [set() for _ in docs]
@@ -197,7 +201,7 @@ def contaminated(index: DataFrame, items: DataFrame, size: int = 10, limit: int
                     found[d].add(item)
                 spans = [hit[a : a + n] if f else None for a, n, f in zip(begin, sizes, found, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(sizes), pa.array([0 if s is None else int(s.sum()) for s in spans], pa.int64()), pa.array([None if s is None else np.packbits(s).tobytes() for s in spans], pa.binary()), pa.array([sorted(f) for f in found], pa.list_(pa.int64()))], schema=arrow
+                    [pa.array([number] * len(docs), pa.int64()), pa.array(range(len(docs)), pa.int64()), pa.array(docs, pa.int64()), pa.array(sizes), pa.array([0 if s is None else int(s.sum()) for s in spans], pa.int64()), pa.array([None if s is None else np.packbits(s).tobytes() for s in spans], pa.binary()), pa.array([sorted(f) for f in found], pa.list_(pa.int64()))], schema=arrow
                 )
 
         parts.append(index.mapInArrow(run, schema))
@@ -205,12 +209,14 @@ def contaminated(index: DataFrame, items: DataFrame, size: int = 10, limit: int
         empty = index.select(F.explode(F.arrays_zip("docs", "words")).alias("x"))
         return empty.selectExpr("x.docs AS doc_id", "x.words AS n_words", "0L AS n_hit", "CAST(array() AS array<long>) AS items")
     if len(parts) == 1:
-        return parts[0].drop("hit")
+        return parts[0].drop("segment", "row", "hit")
     merge = F.udf(lambda spans: int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(s, np.uint8) for s in spans])).sum()) if spans else 0, "long")
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy("doc_id", "n_words").agg(merge(F.collect_list("hit")).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    same = [F.first(c).alias(c) for c in ("doc_id", "n_words")]
+    merged = every.groupBy("segment", "row").agg(*same, merge(F.collect_list("hit")).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return merged.drop("segment", "row")
 
 
 def digests(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:

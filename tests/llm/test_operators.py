@@ -55,6 +55,18 @@ def test_query_blocks_agree(spark, small, sf):
     assert whole == parts
 
 
+def test_query_blocks_keep_rows_apart(spark):
+    """Rows that share an id, or have none, and a word count stay rows of their own, in one block and in several."""
+    rows = [(7, "a b x y"), (7, "x c d y"), (None, "a b x y"), (None, "p q r s"), (None, "p q r s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    items = spark.createDataFrame([(1, "a b"), (2, "c d")], "item_id long, text string")
+    index = postings.build(docs)
+    want = sorted([(7, 4, 2, [1]), (7, 4, 2, [2]), (-1, 4, 2, [1]), (-1, 4, 0, []), (-1, 4, 0, [])])
+    for limit in (postings.BLOCK_WORDS, 1):
+        got = postings.contaminated(index, items, 2, limit).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got) == want
+
+
 def test_phrases_and_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c d a b"), (2, "b a x x x x c"), (3, None)], "doc_id long, text string")
     index = postings.build(docs)
