@@ -1,6 +1,8 @@
 """Secrets by fixed patterns and by a battery of randomness tests.
 
-Candidates are runs of at least 20 characters of `[A-Za-z0-9+/_=-]` outside the patterns' matches. For each, the
+Candidates are runs of at least 20 characters of `[A-Za-z0-9+/_=-]` outside the patterns' matches. A run is cut at
+each '=' that isn't padding at its end, and a part that no alphabet holds at its separators (`/`, `+`, `-`, `_`), those
+of one alphabet first; parts of at least 20 characters are candidates of their own. For each, the
 encoding with the smallest alphabet that holds all its characters is inferred (decimal, hex, base32, letters of one
 case, base36, base62, base64), and three tests ask whether it is a uniform random string of that alphabet:
 chi-squared of symbol classes, runs above and below the alphabet's middle, and serial correlation. Fisher's method
@@ -62,6 +64,29 @@ def infer(token: bytes) -> tuple[str, list[int], int] | None:
     return None
 
 
+_PADDED, _SEPARATORS = re.compile(rb"[^=]+(?:=+\Z)?"), tuple(re.compile(p) for p in (rb"[^/+]+", rb"[^_-]+", rb"[^/+_-]+"))
+
+
+def parts(run: bytes) -> list[tuple[int, int]]:
+    """(start, end) of a run's candidates: between inner '=', and between separators where no alphabet holds a part."""
+    out: list[tuple[int, int]] = []
+    for m in _PADDED.finditer(run):
+        if infer(m[0]):
+            found = [m.span()]
+        else:
+            # a part's separators may be symbols of its own alphabet, so cuts at the other alphabet's come first
+            split = [[x.span() for x in p.finditer(run, *m.span())] for p in _SEPARATORS]
+            found = sorted({x for s in split[:2] for x in s if infer(run[x[0] : x[1]])})
+            found += [x for x in split[2] if not any(a < x[1] and x[0] < b and b - a >= LEAST for a, b in found)]
+            kept: list[tuple[int, int]] = []
+            for a, b in sorted(found, key=lambda x: (x[0] - x[1], x[0])):
+                if not any(s < b and a < e for s, e in kept):
+                    kept.append((a, b))
+            found = kept
+        out += [x for x in found if x[1] - x[0] >= LEAST]
+    return sorted(out)
+
+
 def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -125,7 +150,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int,
     for a, b in zip(begins[wide].tolist(), ends[wide].tolist(), strict=True):
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(raw, a, b) if m.end() - m.start() >= 20]
         found += [(m.start(), 2, m.end()) for m in _HEX.finditer(raw, a, b) if m.end() - m.start() >= 24]
-        tokens += [m.span() for m in _RUN.finditer(raw, a, b) if m.end() - m.start() >= LEAST]
+        tokens += [(m.start() + x, m.start() + y) for m in _RUN.finditer(raw, a, b) if m.end() - m.start() >= LEAST for x, y in parts(m[0])]
     point = _points(raw, text, [x for s in found for x in (s[0], s[2])] + [x for s in tokens for x in s])
     spans += [(point[a], kind, point[b]) for a, kind, b in found]
     spans.sort()

@@ -264,6 +264,23 @@ def test_random_strings_stand_out(spark):
     assert sum("random" in got[1000 + i] for i in range(300)) < 30
 
 
+def test_random_parts_of_runs(spark):
+    """A value behind a name and '=', and keys between separators of the other alphabet, are tested by themselves."""
+    r = random.Random(8)
+
+    def key(alphabet=string.ascii_letters + string.digits):
+        return "".join(r.choice(alphabet) for _ in range(40))
+
+    rows = [(i, f"export AWS_KEY={key()}") for i in range(300)]
+    rows += [(1000 + i, f"see /v1/{key(string.ascii_letters + string.digits + '-_')}/x") for i in range(300)]
+    got = {x.doc_id: x.spans for x in secret_scan.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("random:15:55" in got[i] for i in range(300)) > 250
+    # with neither - nor _ in the key, base64 holds the path too, and the run stays whole
+    mixed = [k for k, t in rows if k >= 1000 and set(t) & set("-_")]
+    assert sum("random:8:48" in got[k] for k in mixed) > 0.85 * len(mixed) > 150
+    assert secret_scan.parts(b"A" * 30 + b"==") == [(0, 32)]
+
+
 def test_randomness_is_uniform_for_random_strings():
     r = random.Random(4)
     ps = [secret_scan.randomness([r.randrange(64) for _ in range(48)], 64) for _ in range(2000)]
