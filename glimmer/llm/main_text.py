@@ -38,7 +38,8 @@ MARKS = frozenset(
 #: Class and id words of a page's own header, and first parts of words that tell of a layout.
 HEADERS, LAYOUT = frozenset("header masthead page-header site-header top-bar topbar".split()), frozenset("has no not with without".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(?i)(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: One attribute, name by name: what is in a value is stepped over with it.
+_ATTR = re.compile(r"([^\s\"'>/=][^\s\"'>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"})
 

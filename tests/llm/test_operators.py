@@ -309,6 +309,7 @@ LONG = "Words that say something at length, and then go on for a while so that a
         (page(f"<header><h1>Site</h1></header><main><header><h1>Title</h1></header><p>{LONG}<b>bo</b>ld</p><form><p>{LONG}</p></form><aside>no</aside></main>"), f"Title {LONG.strip()} bold"),
         (page(f"<article><p>{LONG}<p class=ad>buy</p><p>more<!-- <p>x</p> --></article>"), f"{LONG.strip()} more"),
         (page(f"<div class='site-header'>{LONG}</div><div class='has-sidebar'><div class='post'><h2>Sub</h2><p>{LONG}</p></div></div><div id='cookie-notice'>{LONG}</div>"), f"Sub {LONG.strip()}"),
+        (page(f"<div class='story' style='overflow: hidden' title=\"the hidden cost\"><p>{LONG}</p></div><div hidden><p>{LONG}</p></div><div data-x='a b'aria-hidden=true><p>{LONG}</p></div>"), LONG),
         ("<article><p>cut off <b>here", "cut off here"),
         ("plain text only", "plain text only"),
         (page("<nav>only a menu</nav>"), ""),
