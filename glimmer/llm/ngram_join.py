@@ -9,6 +9,10 @@ without a check. Shingles are compared as 64-bit hashes.
 
 Null and empty texts and texts without words have empty sets and no link; a text of fewer words than `size` is one
 shingle. Rows that share a doc_id are one document, linked if any of them is; rows without an id aren't linked.
+
+Components need no more links than connect them. With `links` all pairs of different sets that meet are verified too,
+and a row's n_links is the number of documents whose sets reach the threshold with its own, those with an equal set
+among them and itself not; a document whose rows have several sets counts once for each.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.llm.kit import count_vector, mixed, signed, sliced, stored, window_hashes, word_hashes
-from glimmer.llm.linkage import linked
+from glimmer.llm.linkage import checked, linked
 
 SIZE, PERCENT, COUNTS = 5, 75, 1 << 18
 #: A-Z to lower case, other bytes as they are.
@@ -62,8 +66,8 @@ def checker(size: int, percent: int):
     return make
 
 
-def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row, with links also n_links."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
 
     def count(b: pa.RecordBatch) -> np.ndarray:
@@ -110,16 +114,47 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     # pair shares at least the overlap that it needs less what lies behind the longer rest.
     overlap = f"(({percent} * (x.n + y.n) + {99 + percent}) DIV {100 + percent})"
     behind = f"(({percent} * greatest(x.n, y.n) + 99) DIV 100 - 1)"
-    found = linked(buckets, stored(texts, "texts"), near, checker(size, percent), ["n"], f"({overlap} - {behind})")
-    return _labelled(signs, classes, found)
+    need = f"({overlap} - {behind})"
+    found = linked(buckets, stored(texts, "texts"), near, checker(size, percent), ["n"], need)
+    out = _labelled(signs, classes, found)
+    if not links:
+        return out.drop("prefix_key", "set_key")
+    counted = _links(rows, signs, near, need, size, percent)
+    return out.join(counted, ["prefix_key", "set_key"], "left").select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+
+
+def _links(rows: DataFrame, signs: DataFrame, near: str, need: str, size: int, percent: int) -> DataFrame:
+    """(prefix_key, set_key, n_links) of each set; sets have ids of their own here, as rows of one doc_id may differ."""
+    filled = signs.where("n > 0 AND doc_id IS NOT NULL")
+    keys = ["prefix_key", "set_key", "n"]
+    sets = stored(filled.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("docs"), F.first("tokens").alias("tokens")).withColumn("id", F.xxhash64(*keys)), "sets")
+    tokens = sets.select(F.explode("tokens").alias("bucket"), F.struct("id", "n").alias("s"))
+    several = tokens.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
+    side = stored(tokens.join(several, "bucket"), "tokens")
+    both = side.withColumnRenamed("s", "x").join(side.withColumnRenamed("s", "y"), "bucket").where("x.id < y.id").where(near)
+    pairs = both.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("w"), F.first("x").alias("x"), F.first("y").alias("y"))
+    pairs = stored(pairs.where(f"w >= {need}").select("a", "b"), "pairs")
+    arrow = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("text", pa.string())])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(shingles(t, size), 0) for t in b.column(1).to_pylist()], pa.binary()), b.column(1).cast(pa.string())], schema=arrow)
+
+    wanted = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", "doc_id", "set_key")
+    texts = rows.join(wanted.select("doc_id").distinct(), "doc_id").select("doc_id", "text").mapInArrow(keyed, "doc_id long, set_key binary, text string")
+    texts = stored(texts.join(wanted, ["doc_id", "set_key"]).groupBy("id").agg(F.min("text").alias("text")), "texts")
+    linked_sets = stored(checked(pairs, texts, checker(size, percent)), "links")
+    ends = linked_sets.unionByName(linked_sets.select(F.col("a").alias("b"), F.col("b").alias("a")))
+    others = ends.join(sets.select(F.col("id").alias("b"), "docs"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("docs").alias("others"))
+    return sets.join(others, "id", "left").select("prefix_key", "set_key", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
 
 
 def _labelled(signs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Every row with the smallest doc_id of its component; rows of one doc_id agree."""
+    """Every row with its keys and the smallest doc_id of its component; rows of one doc_id agree."""
     own = classes.join(found, "id", "left").select("prefix_key", "set_key", F.coalesce("component", "id").alias("component"))
     named = signs.select("doc_id", "n", "prefix_key", "set_key").join(own, ["prefix_key", "set_key"], "left")
     single = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), single.alias("component_id"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), single.alias("component_id"), "prefix_key", "set_key")
 
 
 def _digest(x: np.ndarray, n: int) -> bytes:

@@ -36,5 +36,5 @@ def queries() -> dict[str, Query]:
         "op7_substring_dedup": documents(repeats.digests),
         "op8_secret_scan": documents(secret_scan.digests),
         "op9_main_text": lambda spark, sf: main_text.extract(_table(spark, sf, "pages")),
-        "op10_ngram_join": documents(ngram_join.join),
+        "op10_ngram_join": documents(lambda d: ngram_join.join(d, links=True)),
     }

@@ -356,6 +356,27 @@ def test_ngram_join_near_the_threshold(spark):
     assert got == {d: (len(sets[d]), component[d]) for d in sets}
 
 
+def test_ngram_links(spark):
+    """All links count, not only those that connect: chains, cliques, copies, and rows that share an id or have none."""
+    r = random.Random(10)
+    rows = []
+    for base in range(3):
+        start = [f"c{base}_{i}" for i in range(60)]
+        for _ in range(25):
+            w = list(start)
+            for k in r.sample(range(60), r.randrange(0, 4)):
+                w[k] = f"y{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(200, rows[0][1]), (201, "alone in this"), (202, None), (203, ""), (None, rows[0][1])]
+    sets, _ = brute.jaccard([x for x in rows if x[0] is not None])
+    got = {x.doc_id: x.n_links for x in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), links=True).collect()}
+    want = {a: sum(b != a and bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+    assert got == want | {None: 0}
+    chain = {0: " ".join(f"w{i}" for i in range(40)), 1: " ".join(f"w{i}" for i in range(5, 45)), 2: " ".join(f"w{i}" for i in range(10, 50))}
+    out = ngram_join.join(spark.createDataFrame(list(chain.items()), "doc_id long, text string"), links=True).collect()
+    assert {x.doc_id: (x.component_id, x.n_links) for x in out} == {0: (0, 1), 1: (0, 2), 2: (0, 1)}
+
+
 def test_prefixes_of_linked_sets_meet():
     r = np.random.default_rng(0)
     counts = r.integers(0, 9, 64)
