@@ -1,87 +1,321 @@
-"""Connected groups from candidate buckets, without all pairs of a bucket.
+"""Connected groups of ids that share keys and pass a check of their values, without all pairs of a key.
 
-Pairs of ids that share a bucket and pass a cheap condition are candidates; a check of both texts decides. Only
-connectivity is asked for, so candidates are checked in three rounds: every id against the smallest id that it
-shares most buckets with, then, in buckets that still hold several groups, against the largest such id, and then
-every pair of a bucket that is still in two groups. The last round leaves no candidate between groups unchecked,
-so the groups are those of all checked pairs; where copies abound, the first rounds have merged them by then.
+Ids that share a key and pass a cheap condition are candidates; a check of both values decides. Only connectivity is
+asked for. First every id is checked against the leader that it shares most keys with, twice, with other leaders the
+second time; groups are merged after each. Then keys that still lie in several groups are compared whole: all
+their pairs between groups pass the cheap condition in numpy, where no pair becomes a row, and each id's `most`
+best are checked; what had more is done again with a larger `most`, until nothing is left over. So no candidate
+between groups stays unchecked, and the groups are those of all checked pairs.
+
+Keys travel packed (see `packed`). A key that many ids of a task have is represented by one of them on its way, and
+a key of many ids is compared in blocks of BLOCK, so no task holds all ids of a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.kit import components, sliced, stored
+from glimmer.llm.kit import components, mixed, sliced, stored
+from glimmer.llm.packed import SCHEMA, dealt, flat, gathered, heads, lane_count, lanes, rows_of, shuffled, through
+
+BLOCK, MOST = 4096, 8
+#: Near(attributes, attributes, wide): whether pairs are candidates, and how far apart they are.
+Near = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+_KEY = np.dtype([("key", "<u8"), ("id", "<i8")])
+_BACK = np.dtype([("id", "<i8"), ("key", "<u8"), ("lead", "<i8")])
+
+
+def _rank(ids: np.ndarray, seed: int) -> np.ndarray:
+    return ids if not seed else mixed(ids.view(np.uint64) ^ np.uint64(seed)).view(np.int64)
+
 
-Check = Callable[[str, str], bool]
+def _alone(keys: np.ndarray) -> np.ndarray:
+    """Whether each of sorted keys occurs once."""
+    head = heads(keys)
+    return head & np.append(head[1:], True)[: len(head)]
 
 
-def checked(pairs: DataFrame, texts: DataFrame, make_check: Callable[[], Check]) -> DataFrame:
-    """The pairs (a, b) whose texts pass; texts are (id, text)."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("at"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("bt"))
+def _voted(ids: np.ndarray, keys: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by id: each id's most frequent lead other than itself (itself if there is none), and whether
+    an odd key is among those shared with it."""
+    first = np.flatnonzero(heads(ids))
+    best, wide = ids[first].copy(), np.zeros(len(first), bool)
+    some = np.flatnonzero(lead != ids)
+    if len(some):
+        order = some[np.lexsort((lead[some], ids[some]))]
+        i, x, odd = ids[order], lead[order], (keys[order] & np.uint64(1)).astype(np.int64)
+        start = np.flatnonzero(heads(i, x))
+        count, odd = np.diff(np.append(start, len(i))), np.add.reduceat(odd, start) > 0
+        i, x = i[start], x[start]
+        pick = np.lexsort((x, -count, i))
+        pick = pick[heads(i[pick])]
+        at = np.searchsorted(ids[first], i[pick])
+        best[at], wide[at] = x[pick], odd[pick]
+    return best, wide
+
+
+def shared_keys(rows: DataFrame, take: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """(id, keys, lead, wide): of each id the keys that other ids have too, and the leader that it shares most with.
+
+    rows: a stored table, as tasks that are run again must meet the same rows in the same order; take gives the
+    (key, id) entries of a batch, one for each key of an id. Keys that are odd count as wide.
+    """
+    n = lane_count(rows.sparkSession)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e in gathered(batches, take):
+            e = e[np.argsort(e["key"])]
+            alone = _alone(e["key"])
+            if not alone.all():
+                rest = e[~alone]
+                rest = rest[np.lexsort((rest["id"], rest["key"]))]
+                rest = rest[heads(rest["key"], rest["id"])]
+                apart = _alone(rest["key"])
+                e = np.concatenate([e[alone], rest[apart]])
+                rest = rest[~apart]
+            yield dealt(e, e["key"], n, 0)
+            if not alone.all() and len(rest):
+                e, head = rest, heads(rest["key"])
+                back = np.empty(len(e), _BACK)
+                back["id"], back["key"] = e["id"], e["key"]
+                back["lead"] = e["id"][np.maximum.accumulate(np.where(head, np.arange(len(e)), 0))]
+                yield dealt(e[head], e["key"][head], n, 2)
+                yield dealt(back, back["id"], n, 1)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lane, got in lanes(batches, {0: _KEY, 1: _BACK, 2: _KEY}):
+            if len(got[1]):
+                yield through(lane, 0, got[1])
+            e = np.concatenate([got[0], got[2]])
+            e = e[np.lexsort((e["id"], e["key"]))]
+            e = e[heads(e["key"], e["id"])]
+            e = e[~_alone(e["key"])]
+            if len(e):
+                head = heads(e["key"])
+                back = np.empty(len(e), _BACK)
+                back["id"], back["key"] = e["id"], e["key"]
+                back["lead"] = e["id"][np.maximum.accumulate(np.where(head, np.arange(len(e)), 0))]
+                yield dealt(back, back["id"], n, 0)
+
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, got in lanes(batches, {0: _BACK}):
+            e = got[0]
+            e = e[np.lexsort((e["lead"] == e["id"], e["key"], e["id"]))]  # a key's other leader first
+            e = e[heads(e["id"], e["key"])]
+            best, wide = _voted(e["id"], e["key"], e["lead"])
+            first = np.flatnonzero(heads(e["id"]))
+            yield pa.RecordBatch.from_arrays([pa.array(e["id"][first]), rows_of(e["key"], first), pa.array(best), pa.array(wide)], names=["id", "keys", "lead", "wide"])
+
+    return shuffled(shuffled(rows.mapInArrow(spread, SCHEMA)).mapInArrow(met, SCHEMA)).mapInArrow(owned, "id long, keys binary, lead long, wide boolean")
+
+
+_OWN = np.dtype([("chunk", "<i8"), ("key", "<u8"), ("id", "<i8"), ("component", "<i8")])
+_FOR = np.dtype([("key", "<u8"), ("chunk", "<i8"), ("n", "<i8"), ("low", "<i8"), ("high", "<i8"), ("lead", "<i8"), ("group", "<i8")])
+_SAY = np.dtype([("chunk", "<i8"), ("key", "<u8"), ("blocks", "<i8"), ("lead", "<i8"), ("group", "<i8")])
+
+
+def mixed_keys(rows: DataFrame, seed: int) -> DataFrame:
+    """(id, component, keys, blocks, lead, wide): of each id the keys that lie in several components, and of each key
+    the number of blocks that its ids make. rows: a stored table (id, component, keys), an id once.
+
+    A chunk of rows sends one entry for each of its keys and gets one back, however many of its ids have the key.
+    """
+    n = lane_count(rows.sparkSession)
+
+    def take(b: pa.RecordBatch) -> np.ndarray:
+        keys, counts = flat(b.column(2), np.uint64)
+        out = np.empty(len(keys), _OWN)
+        out["key"] = keys
+        for at, name in enumerate(("id", "component")):
+            out[name] = np.repeat(b.column(at).to_numpy(), counts)
+        return out
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 24
+        for e in gathered(batches, take):
+            e["chunk"] = chunk = chunk + 1
+            e = e[np.lexsort((_rank(e["id"], seed), e["key"]))]
+            start = np.flatnonzero(heads(e["key"]))
+            out = np.empty(len(start), _FOR)
+            out["key"], out["chunk"], out["lead"], out["group"] = e["key"][start], chunk, e["id"][start], e["component"][start]
+            out["n"] = np.diff(np.append(start, len(e)))
+            out["low"], out["high"] = np.minimum.reduceat(e["component"], start), np.maximum.reduceat(e["component"], start)
+            yield dealt(out, out["key"], n, 0)
+            yield dealt(e, e["chunk"], n, 1)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lane, got in lanes(batches, {0: _FOR, 1: _OWN}):
+            if len(got[1]):
+                yield through(lane, 1, got[1])
+            e = got[0]
+            if not len(e):
+                continue
+            e = e[np.lexsort((_rank(e["lead"], seed), e["key"]))]
+            start = np.flatnonzero(heads(e["key"]))
+            several = np.minimum.reduceat(e["low"], start) != np.maximum.reduceat(e["high"], start)
+            of = np.cumsum(heads(e["key"])) - 1
+            out = np.empty(len(e), _SAY)
+            out["chunk"], out["key"] = e["chunk"], e["key"]
+            out["blocks"] = -(-np.add.reduceat(e["n"], start) // BLOCK)[of]
+            out["lead"], out["group"] = e["lead"][start][of], e["group"][start][of]
+            out = out[several[of]]
+            if len(out):
+                yield dealt(out, out["chunk"], n, 0)
+
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, got in lanes(batches, {0: _SAY, 1: _OWN}):
+            say, e = got[0], got[1]
+            if not len(say) or not len(e):
+                continue
+            name = mixed(say["key"] ^ mixed(say["chunk"].view(np.uint64)))
+            order = np.argsort(name)
+            say, name = say[order], name[order]
+            own = mixed(e["key"] ^ mixed(e["chunk"].view(np.uint64)))
+            at = np.minimum(np.searchsorted(name, own), len(name) - 1)
+            there = name[at] == own
+            e, at = e[there], at[there]
+            order = np.argsort(e["id"], kind="stable")
+            e, say = e[order], say[at[order]]
+            if not len(e):
+                continue
+            lead = np.where(say["group"] != e["component"], say["lead"], e["id"])
+            best, wide = _voted(e["id"], e["key"], lead)
+            first = np.flatnonzero(heads(e["id"]))
+            yield pa.RecordBatch.from_arrays([pa.array(e["id"][first]), pa.array(e["component"][first]), rows_of(e["key"], first), rows_of(say["blocks"].astype("<u4"), first), pa.array(best), pa.array(wide)], names=["id", "component", "keys", "blocks", "lead", "wide"])
+
+    return shuffled(shuffled(rows.mapInArrow(spread, SCHEMA)).mapInArrow(met, SCHEMA)).mapInArrow(owned, "id long, component long, keys binary, blocks binary, lead long, wide boolean")
+
+
+def compared(rows: DataFrame, kind: np.dtype, near: Near, most: int) -> DataFrame:
+    """(a, b, wide): each id's `most` nearest candidates of other components in each lane of keys; a row of nulls
+    says that there were more. rows: (id, component, keys, blocks, attr)."""
+    n = lane_count(rows.sparkSession)
+    entry = np.dtype([("key", "<u8"), ("block", "<u4"), ("wide", "?"), ("id", "<i8"), ("component", "<i8"), ("attr", kind)])
+
+    def take(b: pa.RecordBatch) -> np.ndarray:
+        keys, counts = flat(b.column(2), np.uint64)
+        blocks, _ = flat(b.column(3), np.uint32)
+        row = np.repeat(np.arange(b.num_rows), counts)
+        ids, groups, attr = b.column(0).to_numpy(), b.column(1).to_numpy(), flat(b.column(4), kind)[0]
+        mine = (mixed(ids.view(np.uint64))[row] % np.maximum(blocks, 1)).astype(np.uint32)
+        # an id of block i takes part in the pairs of blocks (i, j) for every j
+        times = blocks.astype(np.int64)
+        which = np.repeat(np.arange(len(keys)), times)
+        other = (np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+        own = mine[which].astype(np.uint64)
+        pair = np.minimum(own, other) << np.uint64(32) | np.maximum(own, other)
+        out = np.empty(len(which), entry)
+        out["key"] = np.where(times[which] > 1, mixed(keys[which] ^ mixed(pair)), keys[which])
+        out["block"], out["wide"] = mine[which], (keys[which] & np.uint64(1)).astype(bool)
+        out["id"], out["component"], out["attr"] = ids[row[which]], groups[row[which]], attr[row[which]]
+        return out
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e in gathered(batches, take, 64):
+            yield dealt(e, e["key"], n)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("wide", pa.bool_())])
+        for _, got in lanes(batches, {0: entry}):
+            e = got[0]
+            e = e[np.lexsort((e["id"], e["key"]))]
+            start = np.flatnonzero(heads(e["key"]))
+            left = np.repeat(np.append(start[1:], len(e)), np.diff(np.append(start, len(e)))) - np.arange(len(e))
+            at, step, more = np.flatnonzero(left > 1), 1, False
+            found: list[tuple[np.ndarray, ...]] = []
+            held = 0
+            while len(at):
+                for part in np.array_split(at, -(-len(at) // 65_536)):
+                    x, y = e[part], e[part + step]
+                    apart = (x["component"] != y["component"]) & (x["id"] != y["id"])
+                    x, y = x[apart], y[apart]
+                    ok, far = near(x["attr"], y["attr"], x["wide"])
+                    found.append((x["id"][ok], y["id"][ok], x["wide"][ok], far[ok]))
+                    held += len(found[-1][0])
+                if held > 1_000_000:
+                    best, cut = _best(found, most)
+                    found, held, more = [best], len(best[0]), more or cut
+                step += 1
+                at = at[left[at] > step]
+            if held:
+                (a, b, wide, _), cut = _best(found, most)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(wide)], schema=arrow)
+                more = more or cut
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.array([None], f.type) for f in arrow], schema=arrow)
+
+    return shuffled(rows.mapInArrow(spread, SCHEMA)).mapInArrow(pairs, "a long, b long, wide boolean")
+
+
+def _best(found: list[tuple[np.ndarray, ...]], most: int) -> tuple[tuple[np.ndarray, ...], bool]:
+    """Different pairs that are among the `most` nearest of either id, and whether others were left out."""
+    a, b, wide, far = (np.concatenate(x) for x in zip(*found, strict=True))
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((far, ~wide, b, a))
+    order = order[heads(a[order], b[order])]
+    a, b, wide, far = a[order], b[order], wide[order], far[order]
+    kept = np.zeros(len(a), bool)
+    for side, other in ((a, b), (b, a)):
+        order = np.lexsort((other, far, side))
+        head = heads(side[order])
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+        kept[order[place < most]] = True
+    return (a[kept], b[kept], wide[kept], far[kept]), not kept.all()
+
+
+def checked(pairs: DataFrame, info: DataFrame, kind: np.dtype, near: Near, make_check: Callable[[], Callable]) -> DataFrame:
+    """The pairs (a, b) that are near and whose values pass. info: (id, attr, value)."""
+    left, right = (info.select(F.col("id").alias(x), F.col("attr").alias(f"{x}m"), F.col("value").alias(f"{x}v")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check = make_check()
         for batch in sliced(batches):
-            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "at", "bt")), strict=True)
-            kept = [(a, b) for a, b, s, t in rows if check(s, t)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "at", "bt").mapInArrow(run, "a long, b long").distinct()
+            if not batch.num_rows:
+                continue
+            ok, _ = near(flat(batch.column("am"), kind)[0], flat(batch.column("bm"), kind)[0], batch.column("wide").to_numpy(zero_copy_only=False).astype(bool))
+            some = batch.filter(pa.array(ok))
+            values = zip(some.column("av").to_pylist(), some.column("bv").to_pylist(), strict=True)
+            yield some.select(["a", "b"]).filter(pa.array([check(x, y) for x, y in values], pa.bool_()))
 
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "wide", "am", "bm", "av", "bv").mapInArrow(run, "a long, b long")
 
-def _led(members: DataFrame, pick, near: str, attributes: list[str]) -> DataFrame:
-    """(a, b): each id b with the leader a that it shares most buckets with, where they pass and differ in group."""
-    fields = ["id", "component", *attributes]
-    lead = members.groupBy("bucket").agg(pick(F.struct(*fields)).alias("l"))
-    both = members.select("bucket", F.struct(*fields).alias("m")).join(lead, "bucket").where("l.component <> m.component")
-    both = both.select(F.col("l").alias("x"), F.col("m").alias("y")).where(near)
-    votes = both.groupBy(F.col("y.id").alias("b"), F.col("x.id").alias("a")).agg(F.count("*").alias("n"))
-    return votes.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("neg"))).alias("best")).select((-F.col("best.neg")).alias("a"), "b")
 
+def linked(found: DataFrame, info: DataFrame, kind: np.dtype, near: Near, make_check: Callable[[], Callable]) -> tuple[DataFrame | None, DataFrame]:
+    """(links, groups): links (a, b) that passed the check, and (id, component) of every id with one.
 
-def _mixed(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Buckets that hold more than a group, with each member's group."""
-    named = buckets.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    return named.join(several, "bucket")
+    found: as `shared_keys` gives it, stored. info: (id, attr, value) of all its ids, attr as packed `kind`.
+    """
+    links: DataFrame | None = None
+    groups = found.sparkSession.createDataFrame([], "id long, component long")
+    attrs = info.select("id", "attr")
 
+    def merge(pairs: DataFrame) -> None:
+        nonlocal links, groups
+        new = stored(checked(pairs, info, kind, near, make_check), "links")
+        links = new if links is None else links.unionByName(new)
+        if not new.isEmpty():
+            groups = components(links)
 
-def linked(buckets: DataFrame, texts: DataFrame, near: str, make_check: Callable[[], Check], attributes: list[str], need: str | None = None) -> DataFrame:
-    """(id, component) of every id with a link.
+    def grouped(rows: DataFrame) -> DataFrame:
+        named = rows.select("id", "keys").join(groups, "id", "left")
+        return stored(named.select("id", F.coalesce("component", "id").alias("component"), "keys"), "members")
 
-    buckets: (bucket, id, attributes...), best without buckets of one id; near: SQL over structs x and y of id,
-    component and attributes; texts: (id, text) of all ids in buckets. need: SQL for the fewest buckets that a
-    linked pair shares, where buckets have a `weight` each; an id that is in fewer is no candidate, and pairs of
-    the last round are counted before they are checked.
-    """
-    if need is not None:
-        total = buckets.groupBy("id").agg(F.sum("weight").alias("weights"))
-        buckets = buckets.join(total, "id")
-        attributes = [*attributes, "weights"]
-        near = f"{near} AND least(x.weights, y.weights) >= {need}"
-    counted = F.lit(1).cast("long") if need is None else F.col("weight")
-    edges = None
-    groups = buckets.sparkSession.createDataFrame([], "id long, component long")
-    for pick in (F.min, F.max, None):
-        members = stored(_mixed(buckets, groups), "members")
-        if members.isEmpty():
+    merge(found.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b"), "wide"))
+    rows, most = stored(mixed_keys(grouped(found), 1), "mixed"), MOST
+    if not rows.isEmpty():
+        merge(rows.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b"), "wide"))
+        rows = stored(mixed_keys(grouped(rows), 2), "mixed")
+    while not rows.isEmpty():
+        pairs = stored(compared(rows.join(attrs, "id").select("id", "component", "keys", "blocks", "attr"), kind, near, most), "pairs")
+        more = not pairs.where("a IS NULL").isEmpty()
+        merge(pairs.where("a IS NOT NULL").groupBy("a", "b").agg(F.max("wide").alias("wide")))
+        if not more:
             break
-        if pick is not None:
-            pairs = _led(members, pick, near, attributes)
-        else:
-            fields = ["id", "component", *attributes]
-            side = members.select("bucket", counted.alias("w"), F.struct(*fields).alias("s"))
-            both = side.withColumnRenamed("s", "x").join(side.select("bucket", F.col("s").alias("y")), "bucket").where("x.id < y.id AND x.component <> y.component").where(near)
-            pairs = both.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.sum("w").alias("w"), F.first("x").alias("x"), F.first("y").alias("y"))
-            pairs = (pairs if need is None else pairs.where(f"w >= {need}")).select("a", "b")
-        found = stored(checked(pairs, texts, make_check), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        if not found.isEmpty():
-            groups = components(edges)
-    return groups
+        rows, most = stored(mixed_keys(grouped(rows), 2), "mixed"), most * 16
+    return links, groups

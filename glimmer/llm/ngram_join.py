@@ -3,32 +3,42 @@
 A text is the set of its distinct `size`-word shingles. Shingles are ordered by rising frequency (counted by hash
 bucket over all texts, so that the order is a table of fixed size) and then by hash. Two sets whose Jaccard
 similarity reaches the threshold share a shingle among the first |x| - ceil(t |x|) + 1 of each. Texts with the same
-prefix and set size form a group; groups, not texts, are joined on prefix shingles and filtered by size, pairs of
-groups are expanded to their different sets, and candidates are verified on whole sets. Equal sets are linked
-without a check. Shingles are compared as 64-bit hashes.
-
-Null and empty texts and texts without words have empty sets and no link; a text of fewer words than `size` is one
-shingle. Rows that share a doc_id are one document, linked if any of them is; rows without an id aren't linked.
-
-Components need no more links than connect them. With `links` all pairs of different sets that meet are verified too,
-and a row's n_links is the number of documents whose sets reach the threshold with its own, those with an equal set
-among them and itself not; a document whose rows have several sets counts once for each.
+prefix and set size form a group, which sends its prefix once: groups are joined on prefix shingles, each with the
+group that it shares most of them with, and a pair of groups is expanded to the members of the one and the other's
+representative, members of a group to their own. What those pairs leave apart is compared whole (see `linkage`):
+a candidate needs a size in range and, by parity bitmaps of the shingles (which differ in at most as many bits as the
+sets in shingles), an overlap that may reach the threshold; it is then verified on whole sets. Equal sets are one class.
+Shingles, prefixes and sets are compared as 64-bit hashes.
+
+Nulls, empty texts and texts without words have empty sets and no link; a text of fewer words than `size` is one
+shingle; texts may be of any length. Rows that share a doc_id are one document, linked if any of them is, and fully
+equal rows give equal results; rows without an id aren't linked. Other columns are not read.
+
+Components need no more links than connect them. With `links` a row's n_links is the number of documents whose sets
+reach the threshold with its own, those with an equal set among them and itself not; a document whose rows have
+several sets counts once for each. All pairs of a component's different sets are counted for that, as products of
+0/1 matrices of blocks of sets, so no pair becomes a row; the work still grows with the square of a group of near copies.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.kit import count_vector, mixed, signed, sliced, stored, window_hashes, word_hashes
-from glimmer.llm.linkage import checked, linked
+from glimmer.llm.kit import components, count_vector, mixed, signed, sliced, stored, wanted_rows, window_hashes, word_hashes
+from glimmer.llm.linkage import linked, shared_keys
+from glimmer.llm.packed import flat
 
 SIZE, PERCENT, COUNTS = 5, 75, 1 << 18
+#: Bits of a set's parity bitmap; sets and shingles of a block whose links are counted at a time.
+BITS, SETS, SHINGLES = 512, 2048, 1 << 21
+ATTR = np.dtype([("n", "<u4"), ("bits", "<u8", BITS // 64)])
 #: A-Z to lower case, other bytes as they are.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -48,27 +58,41 @@ def prefix(found: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.
     return found[order[: n - -(-percent * n // 100) + 1]] if n else found
 
 
-def checker(size: int, percent: int):
-    """Whether two texts' sets reach the threshold; remembers the last left set."""
+def _name(x: np.ndarray, n: int) -> int:
+    return xxhash.xxh3_64_intdigest(x.tobytes(), n) - (1 << 63)
 
-    def make():
-        last: list = [None, None]
 
-        def check(a: str, b: str) -> bool:
-            if last[0] is not a and last[0] != a:
-                last[:] = [a, shingles(a, size)]
-            x, y = last[1], shingles(b, size)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+def described(sets: list[np.ndarray]) -> np.ndarray:
+    """Size and parity bitmap of each set."""
+    out = np.empty(len(sets), ATTR)
+    for i, s in enumerate(sets):
+        out[i] = len(s), np.packbits((np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(bool)).view(np.uint64)
+    return out
 
-        return check
 
-    return make
+def nearness(percent: int):
+    def near(x: np.ndarray, y: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = x["n"].astype(np.int64) + y["n"]
+        far = np.bitwise_count(x["bits"] ^ y["bits"]).sum(axis=1, dtype=np.int64)
+        common = np.minimum((n - far) // 2, np.minimum(x["n"], y["n"]))
+        return (common > 0) & (100 * common >= percent * (n - common)), far / np.maximum(n, 1)
 
+    return near
 
-def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, links: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row, with links also n_links."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+
+def checker(percent: int):
+    """Whether two sets, as bytes, reach the threshold."""
+
+    def check(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+
+    return lambda: check
+
+
+def _signed_rows(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, n, group, set, prefix) of every row, stored."""
 
     def count(b: pa.RecordBatch) -> np.ndarray:
         out = np.zeros(COUNTS, np.int64)
@@ -81,8 +105,8 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, links: bool
                 held, n = [], 0
         return out
 
-    counts = docs.sparkSession.sparkContext.broadcast(count_vector(rows.select("text"), count, COUNTS))
-    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("prefix_key", pa.binary()), ("set_key", pa.binary()), ("tokens", pa.list_(pa.int64()))])
+    counts = rows.sparkSession.sparkContext.broadcast(count_vector(rows.select("text"), count, COUNTS))
+    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("group", pa.int64()), ("set", pa.int64()), ("prefix", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -90,75 +114,139 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, links: bool
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = shingles(t, size)
                 first = prefix(found, counts.value, percent)
-                out.append((d, len(found), _digest(first, len(found)), _digest(found, 0), signed(first)))
+                out.append((d, len(found), _name(first, len(found)), _name(found, len(found)), first.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    signs = stored(rows.mapInArrow(sign, "doc_id long, n long, prefix_key binary, set_key binary, tokens array<long>"), "signatures")
-    filled = signs.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(filled.groupBy("prefix_key", "set_key", "n").agg(F.min("doc_id").alias("id")), "classes")
-    groups = classes.groupBy("prefix_key").agg(F.min("id").alias("gid"), F.count("*").alias("sets"))
-    heads = filled.join(groups.select("prefix_key", F.col("gid").alias("doc_id")), ["prefix_key", "doc_id"]).select("doc_id", "n", F.explode("tokens").alias("bucket"))
-    # both uses of the tokens read the same columns under the same conditions, so that they are shuffled once
-    tokens = heads.where("bucket IS NOT NULL AND doc_id IS NOT NULL AND n > 0").repartition("bucket")
-    several = tokens.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("n").alias("m")).where("lo <> hi AND m > 0").select("bucket")
-    shared = tokens.join(several.hint("shuffle_hash"), "bucket").select("bucket", F.col("doc_id").alias("gid"), "n")
-    members = classes.join(groups.where("sets > 1"), "prefix_key").select("gid", "id", "n", F.xxhash64("prefix_key").alias("own"))
-    expanded = shared.join(members.select("gid", "id"), "gid", "left").select("bucket", F.coalesce("id", "gid").alias("id"), "n")
-    one = expanded.withColumn("weight", F.lit(1).cast("long"))
-    # sets of one group share their whole prefix, of which only what other groups have is in the buckets
-    buckets = stored(one.unionByName(members.select(F.col("own").alias("bucket"), "id", "n").withColumn("weight", F.lit(1 << 40))), "buckets")
-    texts = rows.join(buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text")
-    near = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    # Of two sets, all common shingles up to the end of the prefix that ends first are in both prefixes, so a linked
-    # pair shares at least the overlap that it needs less what lies behind the longer rest.
-    overlap = f"(({percent} * (x.n + y.n) + {99 + percent}) DIV {100 + percent})"
-    behind = f"(({percent} * greatest(x.n, y.n) + 99) DIV 100 - 1)"
-    need = f"({overlap} - {behind})"
-    found = linked(buckets, stored(texts, "texts"), near, checker(size, percent), ["n"], need)
-    out = _labelled(signs, classes, found)
-    if not links:
-        return out.drop("prefix_key", "set_key")
-    counted = _links(rows, signs, near, need, size, percent)
-    return out.join(counted, ["prefix_key", "set_key"], "left").select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
-
-
-def _links(rows: DataFrame, signs: DataFrame, near: str, need: str, size: int, percent: int) -> DataFrame:
-    """(prefix_key, set_key, n_links) of each set; sets have ids of their own here, as rows of one doc_id may differ."""
-    filled = signs.where("n > 0 AND doc_id IS NOT NULL")
-    keys = ["prefix_key", "set_key", "n"]
-    sets = stored(filled.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("docs"), F.first("tokens").alias("tokens")).withColumn("id", F.xxhash64(*keys)), "sets")
-    tokens = sets.select(F.explode("tokens").alias("bucket"), F.struct("id", "n").alias("s"))
-    several = tokens.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    side = stored(tokens.join(several, "bucket"), "tokens")
-    both = side.withColumnRenamed("s", "x").join(side.withColumnRenamed("s", "y"), "bucket").where("x.id < y.id").where(near)
-    pairs = both.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("w"), F.first("x").alias("x"), F.first("y").alias("y"))
-    pairs = stored(pairs.where(f"w >= {need}").select("a", "b"), "pairs")
-    arrow = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("text", pa.string())])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return stored(rows.mapInArrow(sign, "doc_id long, n long, group long, set long, prefix binary"), "signatures")
+
+
+def _candidates(signs: DataFrame, classes: DataFrame) -> DataFrame:
+    """What `linked` takes, of classes: the shared prefix shingles of each class's group, and the class to check it with."""
+
+    def take(b: pa.RecordBatch) -> np.ndarray:
+        keys, counts = flat(b.column(1), np.uint64)
+        out = np.empty(len(keys), [("key", "<u8"), ("id", "<i8")])
+        out["key"], out["id"] = keys, np.repeat(b.column(0).to_numpy(), counts)
+        return out
+
+    groups = stored(shared_keys(signs.where("n > 0 AND doc_id IS NOT NULL").select("group", "prefix"), take), "groups")
+    chief = classes.groupBy("group").agg(F.min("set").alias("chief"), F.count("*").alias("sets"))
+    ahead = chief.select(F.col("group").alias("lead"), F.col("chief").alias("ahead"))
+    led = groups.withColumnRenamed("id", "group").join(ahead, "lead", "left").drop("lead")
+    named = classes.select("set", "group").join(chief, "group").join(led, "group", "left").where("keys IS NOT NULL OR sets > 1")
+
+    # sets of one group share their whole prefix, of which only what other groups have too is in its keys
+    def with_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [(k or b"") + (np.int64(g).tobytes() if n > 1 else b"") for k, g, n in zip(*(b.column(c).to_pylist() for c in ("keys", "group", "sets")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("set"), pa.array(keys, pa.binary()), b.column("lead"), pa.array([False] * b.num_rows)], names=["id", "keys", "lead", "wide"])
+
+    lead = F.when(F.col("set") != F.col("chief"), F.col("chief")).otherwise(F.coalesce("ahead", "set"))
+    return stored(named.select("set", "group", "keys", "sets", lead.alias("lead")).mapInArrow(with_group, "id long, keys binary, lead long, wide boolean"), "candidates")
+
+
+def _sets(rows: DataFrame, classes: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, attr, value) of each class among ids, stored: its set, made again from a text that has it."""
+    wanted = classes.join(ids, classes["set"] == ids["id"], "left_semi").select("set", "doc_id")
+    arrow = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("attr", pa.binary()), ("value", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(shingles(t, size), 0) for t in b.column(1).to_pylist()], pa.binary()), b.column(1).cast(pa.string())], schema=arrow)
+            found = [shingles(t, size) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(s, len(s)) for s in found], pa.int64()), b.column(0), pa.array([x.tobytes() for x in described(found)], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], schema=arrow)
 
-    wanted = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", "doc_id", "set_key")
-    texts = rows.join(wanted.select("doc_id").distinct(), "doc_id").select("doc_id", "text").mapInArrow(keyed, "doc_id long, set_key binary, text string")
-    texts = stored(texts.join(wanted, ["doc_id", "set_key"]).groupBy("id").agg(F.min("text").alias("text")), "texts")
-    linked_sets = stored(checked(pairs, texts, checker(size, percent)), "links")
-    ends = linked_sets.unionByName(linked_sets.select(F.col("a").alias("b"), F.col("b").alias("a")))
-    others = ends.join(sets.select(F.col("id").alias("b"), "docs"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("docs").alias("others"))
-    return sets.join(others, "id", "left").select("prefix_key", "set_key", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    maybe = wanted_rows(rows.where("doc_id IS NOT NULL"), "doc_id", wanted.select("doc_id")).mapInArrow(run, "id long, doc_id long, attr binary, value binary")
+    mine = maybe.join(wanted.withColumnRenamed("set", "id"), ["id", "doc_id"]).drop("doc_id")
+    return stored(mine.dropDuplicates(["id"]), "sets")
 
 
-def _labelled(signs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Every row with its keys and the smallest doc_id of its component; rows of one doc_id agree."""
-    own = classes.join(found, "id", "left").select("prefix_key", "set_key", F.coalesce("component", "id").alias("component"))
-    named = signs.select("doc_id", "n", "prefix_key", "set_key").join(own, ["prefix_key", "set_key"], "left")
-    single = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), single.alias("component_id"), "prefix_key", "set_key")
+def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Signatures, classes (set, group, n, doc_id, docs), sets of all candidates, and (id, component) of linked classes."""
+    signs = _signed_rows(rows, size, percent)
+    filled = signs.where("n > 0 AND doc_id IS NOT NULL")
+    classes = stored(filled.groupBy("set", "group", "n").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("docs")), "classes")
+    found = _candidates(signs, classes)
+    info = _sets(rows, classes, found.select("id"), size)
+    _, groups = linked(found, info, ATTR, nearness(percent), checker(percent))
+    return signs, classes, info, groups
 
 
-def _digest(x: np.ndarray, n: int) -> bytes:
-    return hashlib.blake2b(n.to_bytes(8, "little") + x.tobytes(), digest_size=16).digest()
+def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row, with links also n_links."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    signs, classes, info, groups = _linked(rows, size, percent)
+    # sets of rows that share a doc_id hang together
+    one = signs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "set")
+    split = one.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("_b")).where("a <> _b").select("doc_id", "a")
+    same = stored(one.join(split, "doc_id").where("set <> a").select("a", F.col("set").alias("b")).distinct(), "same")
+    whole = groups
+    if not same.isEmpty():
+        whole = components(same.unionByName(groups.select(F.col("component").alias("a"), F.col("id").alias("b"))))
+    named = classes.select("set", "doc_id", "docs").join(whole.withColumnRenamed("id", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
+    label = named.join(least, "component").select("set", "least", "docs")
+    out = signs.select("doc_id", "n", "set")
+    if links:
+        label = label.join(_links(info, classes, groups, percent), "set", "left").withColumn("n_links", F.col("docs") - 1 + F.coalesce("others", F.lit(0)))
+    out = out.join(label, "set", "left")
+    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
+    columns = [F.col("doc_id"), F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")]
+    return out.select(*columns, *([F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links")] if links else []))
+
+
+def _links(info: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(set, others): of each class with links, how many documents the classes linked with it have."""
+    members = groups.join(classes.select(F.col("set").alias("id"), "n", "docs"), "id")
+    sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    placed = members.join(sizes, "component").withColumn("i", F.expr("CAST(pmod(xxhash64(id), blocks) AS int)"))
+    # a class of block i takes part in the pairs of blocks (i, j) for every j
+    pairs = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).selectExpr("component", "least(i, j) AS x", "greatest(i, j) AS y", "i", "id", "docs")
+    dealt = pairs.join(info.select("id", "value"), "id").repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in sliced(batches) for r in zip(*(b.column(c).to_pylist() for c in ("component", "x", "y", "i", "id", "docs", "value")), strict=True))
+        ids, others = [], []
+        for (_, x, y), group in groupby(rows, key=lambda r: r[:3]):
+            part = list(group)
+            near = linked_sets([np.frombuffer(r[6], np.uint64) for r in part], percent)
+            side = np.array([r[3] for r in part])
+            if x != y:
+                near &= side[:, None] != side[None, :]
+            np.fill_diagonal(near, False)
+            ids += [r[4] for r in part]
+            others += (near @ np.array([r[5] for r in part], np.int64)).tolist()
+            if len(ids) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64())], names=["set", "others"])
+                ids, others = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64())], names=["set", "others"])
+
+    return dealt.mapInArrow(run, "set long, others long").groupBy("set").agg(F.sum("others").alias("others"))
+
+
+def linked_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """[i, j]: whether the sets i and j reach the threshold. Overlaps come from products of 0/1 matrices."""
+    sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        common = np.diag(sizes)
+        common[0, 1] = common[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
+    else:
+        _, row, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        several = times > 1  # what one set has alone is in no overlap
+        place = np.cumsum(several) - 1
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        owner, at = owner[several[row]], place[row[several[row]]]
+        order = np.argsort(at, kind="stable")
+        owner, at = owner[order], at[order]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        step = 4096
+        for start in range(0, int(several.sum()), step):
+            a, b = np.searchsorted(at, [start, start + step])
+            part = np.zeros((len(sets), step), np.float32)
+            part[owner[a:b], at[a:b] - start] = 1
+            common += part @ part.T
+        common = common.astype(np.int64)
+    return (common > 0) & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
 
 
 def kept(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
