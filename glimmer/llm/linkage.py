@@ -269,37 +269,50 @@ def _best(found: list[tuple[np.ndarray, ...]], most: int) -> tuple[tuple[np.ndar
     return (a[kept], b[kept], wide[kept], far[kept]), not kept.all()
 
 
-def checked(pairs: DataFrame, info: DataFrame, kind: np.dtype, near: Near, make_check: Callable[[], Callable]) -> DataFrame:
-    """The pairs (a, b) that are near and whose values pass. info: (id, attr, value)."""
-    left, right = (info.select(F.col("id").alias(x), F.col("attr").alias(f"{x}m"), F.col("value").alias(f"{x}v")) for x in "ab")
+def nearby(pairs: DataFrame, attrs: DataFrame, kind: np.dtype, near: Near) -> DataFrame:
+    """The pairs (a, b, wide) that pass the cheap condition. attrs: (id, attr)."""
+    left, right = (attrs.select(F.col("id").alias(x), F.col("attr").alias(f"{x}m")) for x in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ok, _ = near(flat(b.column("am"), kind)[0], flat(b.column("bm"), kind)[0], b.column("wide").to_numpy(zero_copy_only=False).astype(bool))
+                yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "wide", "am", "bm").mapInArrow(run, "a long, b long")
+
+
+def checked(pairs: DataFrame, values: DataFrame, make_check: Callable[[], Callable]) -> DataFrame:
+    """The pairs (a, b) whose values pass. values: (id, value)."""
+    left, right = (values.select(F.col("id").alias(x), F.col("value").alias(f"{x}v")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check = make_check()
-        for batch in sliced(batches):
-            if not batch.num_rows:
-                continue
-            ok, _ = near(flat(batch.column("am"), kind)[0], flat(batch.column("bm"), kind)[0], batch.column("wide").to_numpy(zero_copy_only=False).astype(bool))
-            some = batch.filter(pa.array(ok))
-            values = zip(some.column("av").to_pylist(), some.column("bv").to_pylist(), strict=True)
-            yield some.select(["a", "b"]).filter(pa.array([check(x, y) for x, y in values], pa.bool_()))
+        for b in sliced(batches):
+            found = [check(x, y) for x, y in zip(b.column("av").to_pylist(), b.column("bv").to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "wide", "am", "bm", "av", "bv").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "av", "bv").mapInArrow(run, "a long, b long")
 
 
-def linked(found: DataFrame, info: DataFrame, kind: np.dtype, near: Near, make_check: Callable[[], Callable]) -> tuple[DataFrame | None, DataFrame]:
-    """(links, groups): links (a, b) that passed the check, and (id, component) of every id with one.
+def linked(found: DataFrame, attrs: DataFrame, kind: np.dtype, near: Near, values: Callable[[DataFrame], DataFrame], make_check: Callable[[], Callable]) -> DataFrame:
+    """(id, component) of every id with a link.
 
-    found: as `shared_keys` gives it, stored. info: (id, attr, value) of all its ids, attr as packed `kind`.
+    found: as `shared_keys` gives it, stored. attrs: (id, attr) of all its ids, attr as packed `kind`. values makes
+    (id, value), stored, for a table of ids (id); it is asked for those of near pairs alone.
     """
     links: DataFrame | None = None
     groups = found.sparkSession.createDataFrame([], "id long, component long")
-    attrs = info.select("id", "attr")
 
     def merge(pairs: DataFrame) -> None:
         nonlocal links, groups
-        new = stored(checked(pairs, info, kind, near, make_check), "links")
-        links = new if links is None else links.unionByName(new)
+        close = stored(nearby(pairs, attrs, kind, near), "near")
+        if close.isEmpty():
+            return
+        ids = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        new = stored(checked(close, values(ids), make_check), "links")
         if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
             groups = components(links)
 
     def grouped(rows: DataFrame) -> DataFrame:
@@ -318,4 +331,4 @@ def linked(found: DataFrame, info: DataFrame, kind: np.dtype, near: Near, make_c
         if not more:
             break
         rows, most = stored(mixed_keys(grouped(rows), 2), "mixed"), most * 16
-    return links, groups
+    return groups

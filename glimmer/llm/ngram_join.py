@@ -28,10 +28,11 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.kit import components, count_vector, mixed, signed, sliced, stored, wanted_rows, window_hashes, word_hashes
+from glimmer.llm.kit import components, count_vector, mixed, sliced, stored, wanted_rows, window_hashes, word_hashes
 from glimmer.llm.linkage import linked, shared_keys
 from glimmer.llm.packed import flat
 
@@ -80,19 +81,34 @@ def nearness(percent: int):
     return near
 
 
-def checker(percent: int):
-    """Whether two sets, as bytes, reach the threshold."""
+def checker(size: int, percent: int):
+    """Whether the sets of two packed texts reach the threshold; remembers the last left set."""
 
-    def check(a: bytes, b: bytes) -> bool:
-        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+    def make():
+        last: list = [None, None]
 
-    return lambda: check
+        def check(a: bytes, b: bytes) -> bool:
+            if last[0] != a:
+                last[:] = [a, shingles(unpacked(a), size)]
+            x, y = last[1], shingles(unpacked(b), size)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+
+        return check
+
+    return make
+
+
+def packed(text: str) -> bytes:
+    return zstandard.compress(text.encode(), 1)
+
+
+def unpacked(value: bytes) -> str:
+    return zstandard.decompress(value).decode()
 
 
 def _signed_rows(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, group, set, prefix) of every row, stored."""
+    """(doc_id, th, n, group, set, attr, prefix) of every row, stored."""
 
     def count(b: pa.RecordBatch) -> np.ndarray:
         out = np.zeros(COUNTS, np.int64)
@@ -106,19 +122,19 @@ def _signed_rows(rows: DataFrame, size: int, percent: int) -> DataFrame:
         return out
 
     counts = rows.sparkSession.sparkContext.broadcast(count_vector(rows.select("text"), count, COUNTS))
-    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("group", pa.int64()), ("set", pa.int64()), ("prefix", pa.binary())])
+    arrow = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("group", pa.int64()), ("set", pa.int64()), ("prefix", pa.binary()), ("attr", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            out = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = shingles(t, size)
-                first = prefix(found, counts.value, percent)
-                out.append((d, len(found), _name(first, len(found)), _name(found, len(found)), first.tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+            if not b.num_rows:
+                continue
+            sets = [shingles(t, size) for t in b.column(2).to_pylist()]
+            firsts = [prefix(s, counts.value, percent) for s in sets]
+            names = [(len(s), _name(p, len(s)), _name(s, len(s)), p.tobytes()) for s, p in zip(sets, firsts, strict=True)]
+            attr = [x.tobytes() for x in described(sets)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, f.type) for c, f in zip([*zip(*names, strict=True), attr], list(arrow)[2:], strict=True))], schema=arrow)
 
-    return stored(rows.mapInArrow(sign, "doc_id long, n long, group long, set long, prefix binary"), "signatures")
+    return stored(rows.select("doc_id", "th", "text").mapInArrow(sign, "doc_id long, th long, n long, group long, set long, prefix binary, attr binary"), "signatures")
 
 
 def _candidates(signs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -146,36 +162,34 @@ def _candidates(signs: DataFrame, classes: DataFrame) -> DataFrame:
     return stored(named.select("set", "group", "keys", "sets", lead.alias("lead")).mapInArrow(with_group, "id long, keys binary, lead long, wide boolean"), "candidates")
 
 
-def _sets(rows: DataFrame, classes: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, attr, value) of each class among ids, stored: its set, made again from a text that has it."""
-    wanted = classes.join(ids, classes["set"] == ids["id"], "left_semi").select("set", "doc_id")
-    arrow = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("attr", pa.binary()), ("value", pa.binary())])
+def _texts(rows: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, value) of each class among ids, stored: a text that has its set, packed."""
+    wanted = stored(classes.join(ids.withColumnRenamed("id", "set"), "set", "left_semi").select(F.col("set").alias("id"), "source.doc_id", "source.th"), "wanted")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            found = [shingles(t, size) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(s, len(s)) for s in found], pa.int64()), b.column(0), pa.array([x.tobytes() for x in described(found)], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([packed(t) for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "th", "value"])
 
-    maybe = wanted_rows(rows.where("doc_id IS NOT NULL"), "doc_id", wanted.select("doc_id")).mapInArrow(run, "id long, doc_id long, attr binary, value binary")
-    mine = maybe.join(wanted.withColumnRenamed("set", "id"), ["id", "doc_id"]).drop("doc_id")
-    return stored(mine.dropDuplicates(["id"]), "sets")
+    maybe = wanted_rows(rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "th", "text"), "doc_id", wanted.select("doc_id"))
+    found = maybe.mapInArrow(pack, "doc_id long, th long, value binary").join(wanted, ["doc_id", "th"])
+    return stored(found.groupBy("id").agg(F.min("value").alias("value")), "texts")
 
 
-def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Signatures, classes (set, group, n, doc_id, docs), sets of all candidates, and (id, component) of linked classes."""
+def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures, classes (set, group, n, attr, source, doc_id, docs), and (id, component) of linked classes."""
     signs = _signed_rows(rows, size, percent)
     filled = signs.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(filled.groupBy("set", "group", "n").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("docs")), "classes")
+    counted = filled.groupBy("set", "group", "n").agg(F.min(F.struct("doc_id", "th")).alias("source"), F.min("attr").alias("attr"), F.countDistinct("doc_id").alias("docs"))
+    classes = stored(counted.withColumn("doc_id", F.col("source.doc_id")), "classes")
     found = _candidates(signs, classes)
-    info = _sets(rows, classes, found.select("id"), size)
-    _, groups = linked(found, info, ATTR, nearness(percent), checker(percent))
-    return signs, classes, info, groups
+    attrs = classes.select(F.col("set").alias("id"), "attr")
+    return signs, classes, linked(found, attrs, ATTR, nearness(percent), lambda ids: _texts(rows, classes, ids), checker(size, percent))
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, links: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row, with links also n_links."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    signs, classes, info, groups = _linked(rows, size, percent)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").alias("text"))
+    signs, classes, groups = _linked(rows, size, percent)
     # sets of rows that share a doc_id hang together
     one = signs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "set")
     split = one.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("_b")).where("a <> _b").select("doc_id", "a")
@@ -188,28 +202,28 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, links: bool
     label = named.join(least, "component").select("set", "least", "docs")
     out = signs.select("doc_id", "n", "set")
     if links:
-        label = label.join(_links(info, classes, groups, percent), "set", "left").withColumn("n_links", F.col("docs") - 1 + F.coalesce("others", F.lit(0)))
+        label = label.join(_links(_texts(rows, classes, groups.select("id")), classes, groups, size, percent), "set", "left").withColumn("n_links", F.col("docs") - 1 + F.coalesce("others", F.lit(0)))
     out = out.join(label, "set", "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     columns = [F.col("doc_id"), F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")]
     return out.select(*columns, *([F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links")] if links else []))
 
 
-def _links(info: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _links(texts: DataFrame, classes: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
     """(set, others): of each class with links, how many documents the classes linked with it have."""
     members = groups.join(classes.select(F.col("set").alias("id"), "n", "docs"), "id")
     sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
     placed = members.join(sizes, "component").withColumn("i", F.expr("CAST(pmod(xxhash64(id), blocks) AS int)"))
     # a class of block i takes part in the pairs of blocks (i, j) for every j
     pairs = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).selectExpr("component", "least(i, j) AS x", "greatest(i, j) AS y", "i", "id", "docs")
-    dealt = pairs.join(info.select("id", "value"), "id").repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
+    dealt = pairs.join(texts, "id").repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in sliced(batches) for r in zip(*(b.column(c).to_pylist() for c in ("component", "x", "y", "i", "id", "docs", "value")), strict=True))
         ids, others = [], []
         for (_, x, y), group in groupby(rows, key=lambda r: r[:3]):
             part = list(group)
-            near = linked_sets([np.frombuffer(r[6], np.uint64) for r in part], percent)
+            near = linked_sets([shingles(unpacked(r[6]), size) for r in part], percent)
             side = np.array([r[3] for r in part])
             if x != y:
                 near &= side[:, None] != side[None, :]
