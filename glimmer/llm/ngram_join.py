@@ -38,7 +38,7 @@ from glimmer.llm.packed import flat
 
 SIZE, PERCENT, COUNTS = 5, 75, 1 << 18
 #: Bits of a set's parity bitmap; sets and shingles of a block whose links are counted at a time.
-BITS, SETS, SHINGLES = 512, 2048, 1 << 21
+BITS, SETS, SHINGLES = 2048, 2048, 1 << 21
 ATTR = np.dtype([("n", "<u4"), ("bits", "<u8", BITS // 64)])
 #: A-Z to lower case, other bytes as they are.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -4,14 +4,15 @@ A repeat is a run of `width` words that also starts earlier (smaller doc_id, or
 Equal runs hold the same anchor: the leftmost position among their first starts whose `order`-word prefix has the
 smallest hash. So only suffixes at anchors are indexed, each with the words of all runs that it anchors. They are
 partitioned by prefix: of `order` words at first, and where more than `group` suffixes share one, of the whole
-run's words, so that every group fits in memory (groups of equal whole runs need no tree, only their earliest
-member: each batch settles its own runs and sends its earliest of each on). In a group the sorted suffixes are the leaves of the prefix's subtree, common
-prefix lengths of neighbours give its internal nodes, and nodes of depth `width` or more are the repeats.
+run's words, so that every group fits in memory. In a group the sorted suffixes are the leaves of the prefix's
+subtree, the common prefixes of neighbours give its internal nodes, and nodes of depth `width` or more are the repeats;
+a prefix of a whole run is such a node by itself, of which only the earliest leaf is looked for. Overlapping runs cover
+longer repeats word by word; a repeat's maximal length is not a result of its own.
 
 Documents that equal an earlier one in full are settled first. Prefixes that occur once are dropped before any
-words are sent. Null and empty texts have no words; texts of fewer than `width` words have no runs. Rows that
-share a doc_id are ordered by a hash of their texts; fully equal rows get the same result. A null doc_id counts as
-the smallest integer.
+words are sent. Null and empty texts have no words; texts of fewer than `width` words have no runs; texts may be of any
+length. Rows that share a doc_id are ordered by a hash of their texts; fully equal rows get the same result. A null
+doc_id counts as the smallest integer. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.kit import signed, sliced, window_hashes, word_hashes
+from glimmer.llm.kit import mixed, signed, sliced, window_hashes, word_hashes
+from glimmer.llm.packed import SCHEMA, dealt, gathered, heads, lane_count, lanes, rows_of, shuffled, through
 
 #: A group of 16,384 suffixes takes about 4 MB, and some 40 MB while its tree is made.
 WIDTH, ORDER, GROUP = 20, 8, 16_384
@@ -51,14 +53,22 @@ def anchors(h: np.ndarray, width: int, order: int) -> tuple[np.ndarray, np.ndarr
     return g[place[first]], place[first], first, last
 
 
-def deep_nodes(suffixes: np.ndarray) -> np.ndarray:
-    """A number for each row: rows of one number are the leaves below one internal node that is as deep as rows are long."""
+def common_prefixes(leaves: np.ndarray) -> np.ndarray:
+    """How many words each of sorted suffixes has in common with the one before; 0 for the first."""
+    same = leaves[1:] == leaves[:-1]
+    return np.concatenate([[0], np.where(same.all(axis=1), leaves.shape[1], same.argmin(axis=1))])
+
+
+def deep_nodes(suffixes: np.ndarray, depth: int) -> np.ndarray:
+    """A number for each suffix: those of one number are the leaves below one internal node of that depth at least.
+
+    Sorted suffixes are the leaves of the tree in its order; between two leaves the common prefix of neighbours is at
+    least as long as their own, so a node's leaves are a run of them whose common prefixes reach its depth.
+    """
     wide = np.ascontiguousarray(suffixes).view(np.dtype((np.void, suffixes.dtype.itemsize * suffixes.shape[1]))).ravel()
     order = np.argsort(wide, kind="stable")
-    leaves = suffixes[order]
-    common = np.all(leaves[1:] == leaves[:-1], axis=1)  # the common prefix reaches the full depth
     node = np.empty(len(order), np.int64)
-    node[order] = np.cumsum(np.concatenate([[True], ~common]))
+    node[order] = np.cumsum(common_prefixes(suffixes[order]) < depth)
     return node
 
 
@@ -91,7 +101,7 @@ def _resolved(rows: pa.RecordBatch | pa.Table, width: int) -> pa.RecordBatch:
     suffixes[:, 0] = key.astype(np.int64).view(np.uint64)[member]
     suffixes[:, 1] = (off[member] - step).astype(np.uint64)  # equal runs hold their anchor at the same place
     suffixes[:, 2:] = flat[(begin[member] + step)[:, None] + np.arange(width)]
-    first = _earliest(deep_nodes(suffixes), (start[member] + step, th[member], d[member]))
+    first = _earliest(deep_nodes(suffixes, width + 2), (start[member] + step, th[member], d[member]))
     mask = np.zeros(n, np.int64)
     np.bitwise_or.at(mask, member, np.where(first, 0, 1 << step))
     hit = np.flatnonzero(mask)
@@ -99,7 +109,7 @@ def _resolved(rows: pa.RecordBatch | pa.Table, width: int) -> pa.RecordBatch:
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, order: int = ORDER, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """docs as (d, th, text, copy), and (d, th, hits): the starts of its repeats as places and bit masks."""
+    """docs as (d, th, text, copy), and (d, th, hits, starts): the starts of its repeats, as places and bit masks and as places."""
     if not 0 < width - order < 60:
         raise ValueError("a run needs between 1 and 59 words more than its prefix")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -146,18 +156,6 @@ def repeats(docs: DataFrame, width: int = WIDTH, order: int = ORDER, group: int
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SUFFIX, strict=True)], schema=_SUFFIX)
 
-    def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, 2048):
-            held: list[tuple[np.ndarray, ...]] = []
-            for d, th, t, keep in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                h = word_hashes(t.encode().split())
-                k, _, a, z = anchors(h, width, order)
-                for i in np.flatnonzero(np.isin(signed(k), np.array(keep, np.int64))).tolist():
-                    n = z[i] - a[i] + 1
-                    held.append((np.full(n, k[i]), window_hashes(h[a[i] : z[i] + width], width), np.full(n, d), np.full(n, th), np.arange(a[i], z[i] + 1), np.full(n, a[i])))
-            if held:
-                yield _settled(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for b in batches:
@@ -172,39 +170,71 @@ def repeats(docs: DataFrame, width: int = WIDTH, order: int = ORDER, group: int
 
     few = wanted.select("d", "th", "text", "few").mapInArrow(suffixes, _SUFFIX_SQL).repartition("key").sortWithinPartitions("key")
     found = few.mapInArrow(trees, "d long, th int, start int, mask long")
-    runs = wanted.where("size(many) > 0").select("d", "th", "text", "many").mapInArrow(whole_runs, "key long, run long, d long, th int, start int, mask long")
-    ahead = runs.where("run IS NOT NULL")
-    earliest = ahead.groupBy("key", "run").agg(F.min(F.struct("d", "th", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    late = ahead.join(earliest, ["key", "run"]).where("struct(d, th, start) <> first").select("d", "th", "start", F.lit(1).cast("long").alias("mask"))
-    found = found.unionByName(runs.where("run IS NULL").select("d", "th", "start", "mask")).unionByName(late)
-    hits = found.groupBy("d", "th").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
-    return marked, hits
-
-
-_RUN = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("d", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("mask", pa.int64())])
-
-
-def _settled(key: np.ndarray, run: np.ndarray, d: np.ndarray, th: np.ndarray, start: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """The batch's earliest of each run, and bit masks (without a run) of those that come later, by their anchor's
-    first run. Runs are equal if both the hash of their anchor's prefix and that of all their words are."""
-    order = np.lexsort((start, th, d, run, key))
-    key, run, d, th, start, at = (x[order] for x in (key, run, d, th, start, at))
-    head = np.concatenate([[True], (key[1:] != key[:-1]) | (run[1:] != run[:-1])])
-    lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-    late = ~((d == d[lead]) & (th == th[lead]) & (start == start[lead]))
-    places, where = np.unique(np.stack([d[late], th[late].astype(np.int64), at[late]]), axis=1, return_inverse=True)
-    mask = np.zeros(places.shape[1], np.int64)
-    np.bitwise_or.at(mask, where.ravel(), 1 << (start[late] - at[late]))
-    n, m = int(head.sum()), len(mask)
-    out = [
-        pa.array([*signed(key[head]).tolist(), *[None] * m], pa.int64()),
-        pa.array([*signed(run[head]).tolist(), *[None] * m], pa.int64()),
-        pa.array(np.concatenate([d[head], places[0]]), pa.int64()),
-        pa.array(np.concatenate([th[head], places[1]]).astype(np.int32)),
-        pa.array(np.concatenate([start[head], places[2]]).astype(np.int32)),
-        pa.array([*[None] * n, *mask.tolist()], pa.int64()),
-    ]
-    return pa.RecordBatch.from_arrays(out, schema=_RUN)
+    few_hits = found.groupBy("d", "th").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
+    late = _late_runs(wanted.where("size(many) > 0").select("d", "th", "text", "many"), width, order)
+    # a document has a row in either where it has hits there
+    return marked, few_hits.join(late, ["d", "th"], "full")
+
+
+_RUN = np.dtype([("run", "<u8"), ("d", "<i8"), ("th", "<i4"), ("start", "<i4")])
+
+
+def _is_late(e: np.ndarray) -> np.ndarray:
+    """Of sorted runs, those that don't lie where the first of their run lies."""
+    head = heads(e["run"])
+    lead = e[np.maximum.accumulate(np.where(head, np.arange(len(e)), 0))]
+    return (e["d"] != lead["d"]) | (e["th"] != lead["th"]) | (e["start"] != lead["start"])
+
+
+def _late_runs(rows: DataFrame, width: int, order: int) -> DataFrame:
+    """(d, th, starts): the starts of runs that also start earlier, of the prefixes that too many suffixes share.
+
+    Such prefixes are lengthened to the whole run: its suffixes need no tree, only their earliest. A task keeps the
+    earliest that it meets of a run and sends that one on, so what meets of a run is an entry a task at most.
+    """
+    n = lane_count(rows.sparkSession)
+
+    def take(b: pa.RecordBatch) -> np.ndarray:
+        out = [np.empty(0, _RUN)]
+        for d, th, t, keep in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            h = word_hashes(t.encode().split())
+            k, _, a, z = anchors(h, width, order)
+            some = np.flatnonzero(np.isin(signed(k), np.array(keep, np.int64)))
+            if len(some):
+                size = z[some] - a[some] + 1
+                start = np.repeat(a[some], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                e = np.empty(len(start), _RUN)
+                # runs are equal if both the hash of their anchor's prefix and that of all their words are
+                e["run"], e["d"], e["th"], e["start"] = mixed(np.repeat(k[some], size) ^ window_hashes(h, width)[start]), d, th, start
+                out.append(e)
+        return np.concatenate(out)
+
+    def sent(e: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield dealt(e, mixed(e["d"].view(np.uint64)) ^ e["th"].astype(np.uint64), n, 1)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e in gathered(batches, take, 64):
+            e = e[np.lexsort((e["start"], e["th"], e["d"], e["run"]))]
+            late = _is_late(e)
+            first = e[heads(e["run"])]
+            yield dealt(first, first["run"], n, 0)
+            yield from sent(e[late])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lane, got in lanes(batches, {0: _RUN, 1: _RUN}):
+            if len(got[1]):
+                yield through(lane, 1, got[1])
+            e = got[0][np.lexsort((got[0]["start"], got[0]["th"], got[0]["d"], got[0]["run"]))]
+            if len(e):
+                yield from sent(e[_is_late(e)])
+
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, got in lanes(batches, {1: _RUN}):
+            e = got[1][np.lexsort((got[1]["start"], got[1]["th"], got[1]["d"]))]
+            at = np.flatnonzero(heads(e["d"], e["th"]))
+            yield pa.RecordBatch.from_arrays([pa.array(e["d"][at]), pa.array(e["th"][at]), rows_of(np.ascontiguousarray(e["start"]), at)], names=["d", "th", "starts"])
+
+    return shuffled(shuffled(rows.mapInArrow(spread, SCHEMA)).mapInArrow(met, SCHEMA)).mapInArrow(owned, "d long, th int, starts binary")
 
 
 def _groups(table: pa.Table, size: int) -> Iterator[pa.Table]:
@@ -218,13 +248,14 @@ def _groups(table: pa.Table, size: int) -> Iterator[pa.Table]:
         at = end
 
 
-def removed(words: int, hits: list[dict] | None, copy: bool, width: int) -> np.ndarray:
+def removed(words: int, hits: list[dict] | None, more: bytes | None, copy: bool, width: int) -> np.ndarray:
     """Whether each word lies in a repeat."""
     gone = np.zeros(words, bool)
     if copy and words >= width:
         gone[:] = True
-    elif hits:
-        starts = np.concatenate([h["start"] + np.flatnonzero([h["mask"] >> k & 1 for k in range(h["mask"].bit_length())]) for h in hits]).astype(np.int64)
+    elif hits or more:
+        starts = [h["start"] + np.flatnonzero([h["mask"] >> k & 1 for k in range(h["mask"].bit_length())]) for h in hits or ()]
+        starts = np.concatenate([*starts, np.frombuffer(more or b"", "<i4")]).astype(np.int64)
         edge = np.zeros(words + 1, np.int64)
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + width, -1)
@@ -235,15 +266,15 @@ def removed(words: int, hits: list[dict] | None, copy: bool, width: int) -> np.n
 def digests(docs: DataFrame, width: int = WIDTH, order: int = ORDER, group: int = GROUP, texts: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row, and with texts what is kept of it."""
     marked, hits = repeats(docs, width, order, group)
-    joined = marked.join(hits.hint("shuffle_hash"), ["d", "th"], "left").select("d", "th", "text", "copy", "hits")
+    joined = marked.join(hits.hint("shuffle_hash"), ["d", "th"], "left").select("d", "th", "text", "copy", "hits", "starts")
     arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("text", pa.string())] if texts else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             out = []
-            for i, t, copy, found in zip(*(b.column(c).to_pylist() for c in ("d", "text", "copy", "hits")), strict=True):
+            for i, t, copy, found, more in zip(*(b.column(c).to_pylist() for c in ("d", "text", "copy", "hits", "starts")), strict=True):
                 words = t.encode().split()
-                gone = removed(len(words), found, copy, width)
+                gone = removed(len(words), found, more, copy, width)
                 kept = b" ".join(words if not gone.any() else [w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                 out.append((None if i == NO_ID else i, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if texts else [])))
             if out:
