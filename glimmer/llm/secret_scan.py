@@ -11,14 +11,17 @@ discoveries are held per encoding and length class over all documents: the count
 the upper half of p, where nothing else is, and the cut is the lowest one above which at most `rate` of candidates
 are more than that. Classes without evidence of random strings give no finding.
 
-Null and empty texts have no spans. All offsets count code points, ends are exclusive.
+Null and empty texts have no spans; repeated rows and rows that share an id have a result each, other columns are not read.
+Texts may be of any length. All offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -155,9 +158,11 @@ def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int,
     spans += [(point[a], kind, point[b]) for a, kind, b in found]
     spans.sort()
     candidates = []
+    starts, reach = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
     for a, b in tokens:
         start, end = point[a], point[b]
-        if any(s < end and start < e for s, _, e in spans):
+        before = bisect_left(starts, end)
+        if before and reach[before - 1] > start:
             continue
         token = raw[a:b]
         if (kind := infer(token)) and len(kind[1]) >= LEAST:
