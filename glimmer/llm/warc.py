@@ -4,7 +4,8 @@ Every record is a gzip member of its own. The reader checks each member, the rec
 payload's digest. After a failed check it looks for the next member (or, in a plain archive, the next version
 line) that starts a valid record, goes on from there and logs the bytes between as a quarantined gap.
 
-A null html is an empty payload. Payloads of under `least` bytes are never revisits. Rows that repeat both page_id
+An archive is read as one row, so archives of up to 2 GB can be read; those written here have 16 MB. Payloads may be of any
+length below that. A null html is an empty payload. Payloads of under `least` bytes are never revisits. Rows that repeat both page_id
 and payload are each written as what that page is. A null page_id is read back as null and can't be referred to.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from glimmer.llm import files
 from glimmer.llm.kit import scratch_path, sliced, stored
 
-FILE_BYTES, LEAST = 16 << 20, 100
+FILE_BYTES, LEAST, PIECE = 16 << 20, 100, 1 << 14
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _PAGE = re.compile(r"^<urn:page:(-?\d+)>$")
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -91,17 +92,20 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
 
 def _member_at(data: bytes, at: int) -> tuple[dict, int]:
     """The record in the gzip member at `at` and where the member ends."""
-    z = zlib.decompressobj(31)
+    z, parts, view = zlib.decompressobj(31), [], memoryview(data)
     try:
-        plain = z.decompress(memoryview(data)[at:])
-        if not z.eof:
-            raise Damaged("member is cut off")
+        while not z.eof:  # piece by piece, as what follows the member is copied from the last piece
+            if at >= len(data):
+                raise Damaged("member is cut off")
+            parts.append(z.decompress(view[at : at + PIECE]))
+            at = min(at + PIECE, len(data))
     except zlib.error as e:
         raise Damaged(f"member: {e}") from None
+    plain = b"".join(parts)
     found, end = parse(plain)
     if end != len(plain):
         raise Damaged("member has more than a record")
-    return found, len(data) - len(z.unused_data)
+    return found, at - len(z.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[dict]:
@@ -195,4 +199,5 @@ def digests(pages: DataFrame) -> DataFrame:
     folder = scratch_path(spark, "archives")
     if write(pages, folder).isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read(spark, folder, payloads=False).where("error IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = F.when(F.col("error").isNull(), F.col("page_id")).otherwise(F.raise_error(F.concat(F.lit("gap in "), "file", F.lit(": "), "error")).cast("long"))
+    return read(spark, folder, payloads=False).select(whole.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
