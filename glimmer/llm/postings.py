@@ -5,8 +5,9 @@ the places where it occurs, counted through the segment and stored as difference
 terms from rarest to most common, shifts every list by the term's offset and intersects; nothing is scored or
 sampled, so phrase matches are exact. A query set that is too large to send to executors goes in blocks.
 
-Null and empty texts have no words and match nothing; an item without words or without an id is no query. Terms are compared as
-64-bit hashes.
+Null and empty texts have no words and match nothing; an item without words or without an id is no query. Repeated rows and
+rows that share an id, or have none, are rows of their own; items that share an id count as one. Texts may be of any length:
+a text is never cut, so a segment has its words at least. Other columns are not read. Terms are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -155,26 +156,31 @@ def _matched(batches: Iterator[pa.RecordBatch], windows: list[tuple[int, np.ndar
     """Of each segment: its number, its documents, their lengths, and (row of the document, item, place, length) of each match."""
     wanted = np.unique(np.concatenate([w for _, w in windows])) if windows else np.empty(0, np.uint64)
     local = [(item, np.searchsorted(wanted, w)) for item, w in windows]
+    # windows of one length as a matrix, so that a segment is asked for all of them at once
+    by_length: dict[int, list[int]] = {}
+    for at, (_, w) in enumerate(local):
+        by_length.setdefault(len(w), []).append(at)
+    grids = [(np.array(at), np.stack([local[i][1] for i in at])) for at in by_length.values()]
     for b in batches:
         for number, docs, sizes, terms, counts, places in zip(*(b.column(n).to_pylist() for n in _SEGMENT.names), strict=True):
             segment, sizes = Segment(terms, counts, places), np.array(sizes, np.int64)
             ends = np.cumsum(sizes)
             rows = segment.rank(wanted)
             there, matches = rows >= 0, []
-            for item, w in local:
-                if there[w].all():
-                    length = len(w) if span is None else 1
-                    starts = segment.phrase(rows[w]) if span is None else segment.near(rows[w], span)
-                    owner = np.searchsorted(ends, starts, "right")
-                    begin = (ends - sizes)[owner]
-                    if span is None:
-                        whole = starts + length <= ends[owner]  # a match lies within one document
-                    else:
-                        whole = np.ones(len(starts), bool)
-                        for r in rows[w]:  # and so do its neighbours
-                            other = segment.places(r)
-                            whole &= np.searchsorted(other, np.minimum(starts + span, ends[owner] - 1), "right") > np.searchsorted(other, np.maximum(starts - span, begin), "left")
-                    matches += [(int(d), item, int(s - f), length) for d, s, f, ok in zip(owner, starts, begin, whole, strict=True) if ok]
+            whole_there = np.sort(np.concatenate([at[there[grid].all(axis=1)] for at, grid in grids])) if grids else []
+            for item, w in (local[i] for i in whole_there):
+                length = len(w) if span is None else 1
+                starts = segment.phrase(rows[w]) if span is None else segment.near(rows[w], span)
+                owner = np.searchsorted(ends, starts, "right")
+                begin = (ends - sizes)[owner]
+                if span is None:
+                    whole = starts + length <= ends[owner]  # a match lies within one document
+                else:
+                    whole = np.ones(len(starts), bool)
+                    for r in rows[w]:  # and so do its neighbours
+                        other = segment.places(r)
+                        whole &= np.searchsorted(other, np.minimum(starts + span, ends[owner] - 1), "right") > np.searchsorted(other, np.maximum(starts - span, begin), "left")
+                matches += [(int(d), item, int(s - f), length) for d, s, f, ok in zip(owner, starts, begin, whole, strict=True) if ok]
             yield number, docs, sizes, matches
 
 
@@ -227,7 +233,6 @@ def digests(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
 
 
 
-
 def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The rows of docs in which no window of any item occurs, columns as they were. Rows share the verdict of their doc_id."""
     bad = contaminated(build(docs), items, size).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
