@@ -3,8 +3,9 @@
 A record is an unsigned 64-bit length, that length's masked CRC-32C, the payload and the payload's masked CRC-32C,
 all little-endian. A payload is a flags byte (1: the key is null; 2: ids take four bytes instead of two), the
 signed 64-bit key, and the ids. Files hold ascending keys; null keys come first, and rows that share a key
-follow each other. The index has a row per record: key, file, offset, size, number of ids. Null and empty texts
-give a record with the end id alone.
+follow each other. Beside each file lies its index, `.idx`, with an entry per record of a fixed width: flags (1: the key is
+null), key, offset, size and number of ids. Null and empty texts give a record with the end id alone; texts may be of any
+length, a record is never split. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -170,11 +171,12 @@ def parsed(p: bytes) -> tuple[int | None, np.ndarray]:
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode every text, append end_id, write record files to folder in ascending key order; the index as a table."""
+    """Encode every text, append end_id, write record files and their indexes to folder in ascending key order; the index
+    as `read_index` gives it."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    arrow = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("file", pa.int32()), ("offset", pa.int64()), ("size", pa.int64()), ("n_ids", pa.int64())])
+    arrow = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, part, number = WordCodec.at(path), TaskContext.get().partitionId(), 0
@@ -187,10 +189,14 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, key: str = "doc_
             framed = frame([payload(k, ids, codec.wide) for k, ids, _ in held])
             sizes = [len(x) for x in framed]
             starts = np.cumsum([0, *sizes[:-1]])
+            index = np.empty(len(held), INDEX)
+            index["flags"], index["key"] = [k is None for k, _, _ in held], [k or 0 for k, _, _ in held]
+            index["offset"], index["size"], index["n_ids"] = starts, sizes, [c for _, _, c in held]
             files.put(folder, f"part-{part:05d}-{number:05d}.rec", b"".join(framed))
-            out = [[k for k, _, _ in held], [part] * len(held), [number] * len(held), starts, sizes, [c for _, _, c in held]]
+            files.put(folder, f"part-{part:05d}-{number:05d}.idx", index.tobytes())
+            out = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, number, len(held)), arrow, strict=True)], schema=arrow)
             held, room, number = [], FILE_BYTES, number + 1
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+            return out
 
         for b in sliced(batches):
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -203,7 +209,29 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, key: str = "doc_
             yield flush()
 
     ordered = rows.repartitionByRange(n, "k").sortWithinPartitions("k")
-    return stored(ordered.mapInArrow(run, "key long, part int, file int, offset long, size long, n_ids long"), "index")
+    written = stored(ordered.mapInArrow(run, "part int, file int, records long"), "written")
+    return spark.createDataFrame([], _INDEX_SQL) if written.isEmpty() else read_index(spark, folder)
+
+
+#: An index entry, and the columns of an index as a table.
+INDEX = np.dtype([("flags", "<u1"), ("key", "<i8"), ("offset", "<u8"), ("size", "<u8"), ("n_ids", "<u8")])
+_INDEX_SQL = "key long, part int, file int, offset long, size long, n_ids long"
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, part, file, offset, size, n_ids) of every record, from the index files of a folder."""
+    arrow = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("file", pa.int32()), ("offset", pa.int64()), ("size", pa.int64()), ("n_ids", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                part, number = map(int, re.search(r"part-(\d+)-(\d+)\.idx$", name).groups())
+                e = np.frombuffer(data.as_py(), INDEX)
+                key = pa.array(np.ascontiguousarray(e["key"]), pa.int64(), mask=e["flags"] & 1 == 1)
+                yield pa.RecordBatch.from_arrays([key, *(pa.array(np.full(len(e), x), pa.int32()) for x in (part, number)), *(pa.array(e[c].astype(np.int64)) for c in ("offset", "size", "n_ids"))], schema=arrow)
+
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.idx").load(folder).select("path", "content")
+    return content.mapInArrow(run, _INDEX_SQL)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -252,7 +280,7 @@ def digests(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     if index.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     found = read(spark, folder).mapInArrow(run, "part int, file int, place long, doc_id long, n_tokens long, ids_crc32 long")
-    # one row a file goes through the only window that isn't partitioned
+    # the index is read back; one row a file goes through the only window that isn't partitioned
     sums = index.groupBy("part", "file").agg(F.sum("n_ids").alias("n"))
     before = sums.withColumn("base", F.sum("n").over(Window.orderBy("part", "file")) - F.col("n")).select("part", "file", "base")
     inside = Window.partitionBy("part", "file").orderBy("place")
