@@ -1,12 +1,14 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped into lines, one a block element; elements that hold no article text by their name or by a word
-of their class or id (menus, footers, adverts, forms, scripts, comments and the like) leave no line. Text lengths,
-links not counted, are summed over sliding windows of lines. A run of windows that starts where the sum surges and
-ends where it dives is a candidate; the run with the most text wins, grown to the article or main element that
-it lies in, so that short paragraphs and headings there stay. All text between the two points is kept.
-
-A null or empty page gives an empty text.
+of their class or id (menus, footers, adverts, forms, scripts, comments and the like) leave no line. A line weighs its
+text outside links, and at least BONUS in an article or main element; a short line outside the page's article or main
+elements weighs nothing. Weights are summed over sliding windows of lines. A run of lines begins where the sum surges
+and ends where it dives, and the run with the most weight is the main text. What surrounds an article that makes up most
+of the run is trimmed off its ends.
+
+A null or empty page gives an empty text. Pages may be of any length (tags are found in one pass, and a tag ends
+before the next "<"); repeated rows and null ids have a result each, other columns than the three are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from glimmer.llm.kit import sliced
 
-SPAN, SURGE = 3, 80
+SPAN, SURGE, BONUS = 3, 80, 30
 #: HTML's element names by their part here.
 RAW = frozenset({"script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "math", "object", "noembed", "noframes", "xmp"})
 OUTSIDE = frozenset({"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset", "audio", "video", "canvas"})
@@ -37,7 +39,8 @@ MARKS = frozenset(
 )
 #: Class and id words of a page's own header, and first parts of words that tell of a layout.
 HEADERS, LAYOUT = frozenset("header masthead page-header site-header top-bar topbar".split()), frozenset("has no not with without".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_NAMES = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)(?=[\s/>])")
 #: One attribute, name by name: what is in a value is stepped over with it.
 _ATTR = re.compile(r"([^\s\"'>/=][^\s\"'>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -70,6 +73,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     free = at = depth = count = skipping = links = 0
     skipped = ""
     lowered: str | None = None
+    closed: frozenset[int] | None = None
 
     def flush() -> None:
         nonlocal text, free
@@ -115,9 +119,11 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             continue
         if _outside(name, attributes, depth > 0):
             if name == "p":
-                end = _end_of_paragraph(page, at)
-                at = end
-            elif _closes(page, name, at):
+                at = _end_of_paragraph(page, at)
+                continue
+            if closed is None:
+                closed = _closed(page)
+            if m.start() in closed:
                 flush()
                 skipped, skipping = name, 1
             continue
@@ -131,14 +137,17 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _closes(page: str, name: str, at: int) -> bool:
-    """Whether an element opened before `at` has an end tag; one that has none leaves what follows in place."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])", re.I).finditer(page, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return True
-    return False
+def _closed(page: str) -> frozenset[int]:
+    """Where elements begin that have an end tag; one that has none leaves what follows in place."""
+    opened: dict[str, list[int]] = {}
+    found = []
+    for m in _NAMES.finditer(page):
+        own = opened.setdefault(m[2].lower(), [])
+        if not m[1]:
+            own.append(m.start())
+        elif own:
+            found.append(own.pop())
+    return frozenset(found)
 
 
 def _end_of_paragraph(page: str, at: int) -> int:
@@ -148,32 +157,41 @@ def _end_of_paragraph(page: str, at: int) -> int:
     return len(page)
 
 
+def weights(found: list[tuple[str, int, int]], bonus: int = BONUS, surge: int = SURGE) -> list[int]:
+    """What each line weighs in the distribution."""
+    contained = any(c for _, _, c in found)
+    return [max(free, bonus) if c else free if not contained or free >= surge else 0 for _, free, c in found]
+
+
 def main_text(page: str | None, span: int = SPAN, surge: int = SURGE) -> str:
     """The text between surge and dive of the page's line blocks."""
     found = lines(page) if page else []
     if not found:
         return ""
-    free = [f for _, f, _ in found]
-    total = list(accumulate(free, initial=0))
-    window = [total[min(i + span, len(free))] - total[i] for i in range(len(free))]
+    weight = weights(found)
+    total = list(accumulate(weight, initial=0))
+    window = [total[min(i + span, len(weight))] - total[i] for i in range(len(weight))]
     runs, i = [], 0
-    while i < len(free):
+    while i < len(weight):
         if window[i] >= surge:
             j = i
-            while j < len(free) and window[j] > 0 and (window[j] >= surge // 4 or free[j]):
+            while j < len(weight) and window[j] > 0 and (window[j] >= surge // 4 or weight[j]):
                 j += 1
             runs.append((total[j] - total[i], -i, j))
             i = j
         i += 1
     if runs:
         _, start, stop = max(runs)
-        keep = set(range(-start, stop))
-    else:
-        keep = {k for k, (_, _, c) in enumerate(found) if c} or set(range(len(found)))
-    inside = {found[k][2] for k in keep} - {0}
-    if inside:
-        keep = {k for k, (_, _, c) in enumerate(found) if c in inside}
-    return " ".join(t for k, (t, _, _) in enumerate(found) if k in keep)
+        start = -start
+    else:  # no surge: what the elements say, or all there is
+        inside = [k for k, (_, _, c) in enumerate(found) if c]
+        start, stop = (inside[0], inside[-1] + 1) if inside else (0, len(found))
+    inside = [k for k in range(start, stop) if found[k][2]]
+    if 2 * sum(weight[k] for k in inside) > total[stop] - total[start]:
+        start, stop = inside[0], inside[-1] + 1
+    while start < stop and runs and not weight[start]:
+        start += 1
+    return " ".join(t for t, _, _ in found[start:stop])
 
 
 def extract(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
