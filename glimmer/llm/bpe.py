@@ -1,13 +1,15 @@
 """BPE encoding and decoding by tree concatenation.
 
 Long texts are cut into pieces that executors encode in parallel; neighbours are then joined pairwise, level by
-level. At a join the text around the cut is encoded again in a window that grows until its tokens agree with
-those of both sides at a boundary between pre-tokens. The pattern that splits pre-tokens reads left to right and
-looks at most one character ahead, so from a common boundary on both encodings are the same, and agreement is exact.
-Where one pre-token is longer than any window, the window grows to the whole of both sides.
+level, FAN of them in a task. At a join the text around the cut is encoded again in a window that grows until its tokens
+agree with those of both sides: at a boundary between pre-tokens, from which on both encodings are the same, as the pattern
+reads left to right and looks at most one character ahead; or, inside one long pre-token, where the window's first and
+last tokens stay apart from the tokens beside them when both are encoded together. Only where neither is found (long
+runs of white space or apostrophes, special tokens) does the window grow to the whole of both sides.
 
 Special-token strings in a text become the special token, as the tokenizers library does it by default.
-Null and empty texts have no tokens. Texts beyond what the fast splitter covers (white space outside ASCII,
+Null and empty texts have no tokens. Repeated rows, rows that share a key and null keys have a result each; other columns
+are not read. Texts beyond what the fast splitter covers (white space outside ASCII,
 code points beyond U+024F, or `<|`) go to the tokenizers library itself, so ids never differ from it.
 """
 
@@ -22,6 +24,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Texts of only these code points split alike in Python's re, tiktoken and tokenizers.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e¡-ɏ]*").fullmatch
 _CUTS = re.compile(r"\s*\S+|\s+")
-LONG, WINDOW = 32_768, 256
+LONG, WINDOW, FAN = 32_768, 256, 8
 
 
 def library(path: str):
@@ -69,6 +72,7 @@ class Codec:
         for token, i in [*ranks.items(), *((k.encode(), v) for k, v in self.special.items())]:
             self.of_id[i] = token
         self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoded = 0  # bytes that seams have encoded again
         self.memo = Memo(lambda piece: np.array(self.core.encode_ordinary(piece), "<u4").tobytes(), 150_000)
 
     @cached_property
@@ -89,28 +93,84 @@ class Codec:
 
     def joined(self, left: str, left_ids: bytes, right: str, right_ids: bytes) -> bytes:
         """Ids of left + right from the ids of both: the window around the cut grows until both sides agree."""
-        whole, cut, reach = left + right, len(left), WINDOW
+        reach = WINDOW
         while True:
-            a, b = max(0, cut - reach), min(len(whole), cut + reach)
-            found = self._agreement(left, left_ids, right, right_ids, a, b)
+            tail, head = left[-reach:], right[:reach]
+            found = self._agreed(tail, left_ids, head, right_ids, len(tail) < len(left), len(head) < len(right))
             if found is not None:
                 return found
-            if a == 0 and b == len(whole):
-                return self.encode(whole)
+            if len(tail) == len(left) and len(head) == len(right):
+                return self.encode(left + right)
             reach *= 4
 
-    def _agreement(self, left: str, left_ids: bytes, right: str, right_ids: bytes, a: int, b: int) -> bytes | None:
-        # the left side's last safe boundary: white space that follows other text, well inside the left text
-        tail, head = left[a:], right[: b - len(left)]
-        p = _safe_from_left(tail) if a else 0
-        q = _safe_from_right(head) if b < len(left) + len(right) else len(head)
-        if p is None or q is None:
+    def _agreed(self, tail: str, left_ids: bytes, head: str, right_ids: bytes, more_left: bool, more_right: bool) -> bytes | None:
+        """The joined ids, if the window tail + head shows where both sides' tokens stay as they are.
+
+        Either side ends at a boundary between pre-tokens that no text beyond it can move, or, where the window lies
+        inside one long pre-token, at a seam: between two tokens that stay apart when they are encoded together. A
+        sequence in which that holds for all neighbours is what the whole pre-token encodes to.
+        """
+        window = tail + head
+        plain = "<|" not in window
+        p = _first_boundary(tail, plain) if more_left else 0
+        q = _last_boundary(head, plain) if more_right else len(head)
+        if p is not None and q is not None:
+            kept_l = self._split_at(left_ids, len(tail[p:].encode()), from_end=True)
+            kept_r = self._split_at(right_ids, len(head[:q].encode()), from_end=False)
+            return None if kept_l is None or kept_r is None else left_ids[:kept_l] + self.encode(tail[p:] + head[:q]) + right_ids[kept_r:]
+        if not plain:
             return None
-        kept_l = self._split_at(left_ids, len(tail[p:].encode()), from_end=True)
-        kept_r = self._split_at(right_ids, len(head[:q].encode()), from_end=False)
-        if kept_l is None or kept_r is None:
+        # the parts of the window that lie in the long pre-token, and what lies before or behind it
+        start = 0 if p is None else max([p, *(m.start() for m in _BOUNDARY.finditer(window, p) if p <= m.start() <= len(tail))])
+        stop = len(window) if q is None else min([len(tail) + q, *(m.start() for m in _BOUNDARY.finditer(window) if m.start() >= len(tail) and m.start() > start)])
+        if start > len(tail) or stop < len(tail) or not _RUN.fullmatch(window, start, stop):
             return None
-        return left_ids[:kept_l] + self.encode(tail[p:] + head[:q]) + right_ids[kept_r:]
+        if (p is None and not _INSIDE.fullmatch(window, 0, stop)) or (q is None and not _INSIDE.fullmatch(window, start + (window[start] == " "))):
+            return None
+        l_ids, r_ids = np.frombuffer(left_ids, "<u4"), np.frombuffer(right_ids, "<u4")
+        if p is None:
+            keep_l, first = self._seam(l_ids[::-1], len(tail.encode()))
+            keep_l = len(l_ids) - keep_l
+            before = b""
+        else:
+            at = self._split_at(left_ids, len(tail[p:].encode()), from_end=True)
+            if at is None:
+                return None
+            keep_l, first, before = at // 4, len(tail[start:].encode()), self.encode(tail[p:start])
+        if q is None:
+            keep_r, last = self._seam(r_ids, len(head.encode()))
+            behind = b""
+        else:
+            at = self._split_at(right_ids, len(head[:q].encode()), from_end=False)
+            if at is None:
+                return None
+            keep_r, last, behind = at // 4, len(window[len(tail) : stop].encode()), self.encode(window[stop : len(tail) + q])
+        raw_tail, raw_head = tail.encode(), head.encode()
+        middle = raw_tail[len(raw_tail) - first :] + raw_head[:last]
+        if not middle:
+            return None
+        self.encoded += len(middle)
+        ids = self.core._core_bpe.encode_single_piece(middle)
+        if p is None and (keep_l < 1 or not self._apart(int(l_ids[keep_l - 1]), ids[0])):
+            return None
+        if q is None and (keep_r >= len(r_ids) or not self._apart(ids[-1], int(r_ids[keep_r]))):
+            return None
+        return left_ids[: 4 * keep_l] + before + np.array(ids, "<u4").tobytes() + behind + right_ids[4 * keep_r :]
+
+    def _seam(self, ids: np.ndarray, room: int) -> tuple[int, int]:
+        """How many ids next to the cut to encode again, and their bytes: one less than lie in the window whole, so that
+        the next one does too."""
+        sizes: list[int] = []
+        total = 0
+        for i in ids.tolist():
+            if total + len(self.of_id[i]) > room:
+                break
+            sizes.append(len(self.of_id[i]))
+            total += sizes[-1]
+        return max(0, len(sizes) - 1), sum(sizes[:-1])
+
+    def _apart(self, a: int, b: int) -> bool:
+        return self.core._core_bpe.encode_single_piece(self.of_id[a] + self.of_id[b]) == [a, b]
 
     def _split_at(self, ids: bytes, n_bytes: int, from_end: bool) -> int | None:
         """Where in ids the last (first) n_bytes of text begin (end); None if no token ends there."""
@@ -125,17 +185,26 @@ class Codec:
         return 4 * k if total == n_bytes else None
 
 
-def _safe_from_left(text: str) -> int | None:
-    """The first pre-token boundary that no earlier text can move: white space after other text."""
-    m = re.search(r"[^\s](?=[\t-\r ])", text)
-    return m.end() if m else None
+#: Boundaries between pre-tokens that hold whatever surrounds them: white space after other text, and a change between
+#: letters, digits and other characters away from apostrophes (which may begin a contraction).
+_SPACE_AFTER = regex.compile(r"(?<=\S)(?=[\t-\r ])")
+_BOUNDARY = regex.compile(r"(?<=\S)(?=[\t-\r ])|(?<=\p{L})(?=[^\s\p{L}'])|(?<=\p{N})(?=[^\s\p{N}'])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
+#: What one pre-token may be, and part of one.
+_RUN, _INSIDE = regex.compile(r" ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}']+)"), regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}']+")
+
+
+def _first_boundary(text: str, plain: bool) -> int | None:
+    """The first boundary that no earlier text can move; plain texts have no special token that one could split."""
+    m = (_BOUNDARY if plain else _SPACE_AFTER).search(text)
+    return m.start() if m else None
 
 
-def _safe_from_right(text: str) -> int | None:
+def _last_boundary(text: str, plain: bool) -> int | None:
     """The last such boundary; white space that it starts must go on to other text inside the window."""
     last = None
-    for m in re.finditer(r"\S(?=[\t-\r ]+\S)", text):
-        last = m.end()
+    for m in (_BOUNDARY if plain else _SPACE_AFTER).finditer(text):
+        if not text[m.start()].isspace() or text[m.start() :].lstrip("\t\n\v\f\r "):
+            last = m.start()
     return last
 
 
@@ -146,12 +215,12 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def fold(codec: Codec, parts: list[tuple[str, bytes]]) -> bytes:
-    """The ids of all parts joined pairwise, level by level."""
+def fold(codec: Codec, parts: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+    """The text and ids of all parts joined pairwise, level by level."""
     while len(parts) > 1:
         level = [(x[0] + y[0], codec.joined(x[0], x[1], y[0], y[1])) for x, y in zip(parts[::2], parts[1::2], strict=False)]
         parts = level + ([parts[-1]] if len(parts) % 2 else [])
-    return parts[0][1] if parts else b""
+    return parts[0]
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", long: int = LONG) -> DataFrame:
@@ -180,7 +249,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     def join(group):
         codec = Codec.at(path)
         group = group.sort_values("n")
-        return group.iloc[:1][["k"]].assign(tokens=[fold(codec, list(zip(group["t"], group["tokens"], strict=True)))])
+        text, tokens = fold(codec, list(zip(group["t"], group["tokens"], strict=True)))
+        return group.iloc[:1][["k", "row"]].assign(n=group["n"].iloc[0] // FAN, t=text, tokens=tokens)
 
     size = F.length("t")
     done = base.where(size <= long).mapInArrow(short, f"k {kind}, tokens binary")
@@ -191,8 +261,12 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         .select("k", "row", "n", F.substring("t", F.col("n") * long + 1, F.lit(long)).alias("t"))
     )
     parts = cut.repartition("row", "n").mapInArrow(pieces, f"k {kind}, row long, n int, t string, tokens binary")
-    far = parts.groupBy("row").applyInPandas(join, f"k {kind}, tokens binary")
-    return done.unionByName(far).withColumnRenamed("k", key)
+    # a level joins FAN neighbours a task, so that a long text's joins run side by side; as many levels as its pieces need
+    left = (base.agg(F.max(size)).first()[0] or 0) // long
+    while left:
+        parts = parts.groupBy("row", F.floor(F.col("n") / FAN)).applyInPandas(join, f"k {kind}, row long, n int, t string, tokens binary")
+        left //= FAN
+    return done.unionByName(parts.select("k", "tokens")).withColumnRenamed("k", key)
 
 
 def decode(tokens: DataFrame, path: str, key: str = "doc_id", column: str = "tokens") -> DataFrame:

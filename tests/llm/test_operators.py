@@ -531,3 +531,72 @@ def test_empty_tables(spark, none, run):
 def test_empty_pages(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.digests(empty).count() == 0 and main_text.extract(empty).count() == 0
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for p in ("<a " * 100_000, "<form>" * 50_000, '<a x="' * 50_000, "<p class=ad>" * 20_000, "<nav>x" * 20_000):
+        began = time.process_time()
+        main_text.main_text(p)
+        assert time.process_time() - began < 5
+
+
+def test_main_text_without_containers(spark, sf):
+    """The run between surge and dive finds the text where no article or main element tells of it."""
+    import re
+
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect()]
+    same = sum(main_text.main_text(h) == main_text.main_text(re.sub(r"(?i)<(/?)(article|main)\b", r"<\1div", h)) for h in pages)
+    assert same >= 0.95 * len(pages)
+    cards = "".join(f"<article><p>Card {i}</p></article>" for i in range(4))
+    assert main_text.main_text(page(f"{cards}<div>x</div><div>y</div><div>z</div><div><p>{LONG}</p><p>{LONG}</p></div>")) == " ".join([LONG.strip()] * 2)
+
+
+def test_index_lies_beside_the_records(spark, small, tmp_path):
+    folder = f"file://{tmp_path}/beside"
+    index = records.write(small, vocabulary(WORDS), folder, 2)
+    again = records.read_index(spark, folder)
+    assert sorted(map(tuple, index.collect())) == sorted(map(tuple, again.collect()))
+    assert again.count() == small.count()
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    r = random.Random(2)
+    text = " ".join("".join(r.choice(string.ascii_letters + string.digits) for _ in range(30)) + " password=hunter22" for _ in range(20_000))
+    began = time.process_time()
+    found, _ = secret_scan.scan(text)
+    assert len(found) == 20_000 and time.process_time() - began < 60
+
+
+def test_gaps_in_own_archives_are_errors(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 300)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/archives"
+    warc.write(pages, folder)
+    name = next((tmp_path / "archives").glob("*.warc.gz"))
+    name.write_bytes(name.read_bytes()[:-5])
+    rows = warc.read(spark, folder, payloads=False).collect()
+    assert [r.error is None for r in rows] == [False]
+
+
+@pytest.mark.parametrize("alphabet", ["".join(map(chr, range(0x4E00, 0x4F00))), string.ascii_lowercase, "0123456789", "!?#-="])
+def test_joins_inside_one_pre_token(alphabet):
+    """Text without a boundary is joined by a window of tokens, not encoded again as a whole."""
+    codec, r = bpe.Codec.at(vocabulary(BYTES)), random.Random(1)
+    text = "".join(r.choice(alphabet) for _ in range(40_000))
+    parts = [text[i : i + 10_000] for i in range(0, 40_000, 10_000)]
+    before = codec.encoded
+    whole, ids = bpe.fold(codec, [(p, codec.encode(p)) for p in parts])
+    assert whole == text and ids == np.array(codec.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert 0 < codec.encoded - before < 20_000
+
+
+def test_long_texts_are_joined_by_levels(spark):
+    r = random.Random(4)
+    rows = [(1, "".join(r.choice("ab 日本1!") for _ in range(3_000))), (2, "x" * 2_000), (1, " " * 700), (None, "é" * 1_300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = vocabulary(BYTES)
+    got = sorted((x.doc_id or -1, brute.sha(bytes(x.tokens))) for x in bpe.encode(docs, path, long=32).collect())
+    assert got == sorted((k or -1, v[1]) for k, v in brute.bpe(rows, path))
