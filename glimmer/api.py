@@ -16,41 +16,61 @@ from glimmer.plans import fts
 class Library:
     """An index: photos (schemas.PHOTOS), vectors, full-text rows and thumbnails (photo_id, size), and an embedder."""
 
-    def __init__(self, photos: DataFrame, vectors: DataFrame, texts: DataFrame, thumbnails: DataFrame | None = None, embed=None, options: Options | None = None):
-        self.photos, self.vectors, self.texts, self.embed = photos, vectors, texts, embed
+    def __init__(self, photos: DataFrame, vectors: DataFrame, texts: DataFrame, thumbnails: DataFrame | None = None, embed=None, options: Options | None = None, embed_image=None):
+        self.photos, self.vectors, self.texts, self.embed, self.embed_image = photos, vectors, texts, embed, embed_image
         self.thumbnails = photos.where("false").select("photo_id", F.lit(0).cast("long").alias("size")) if thumbnails is None else thumbnails
         self.options = options or Options()
 
     def health(self) -> dict:
         return {"status": "ok"}
 
-    def search(self, query: str = "", *, like: Sequence[float] | None = None, limit: int | None = None, offset: int = 0, threshold: float | None = None, mode: str = "hybrid") -> DataFrame:
-        """Photos for a text, a vector, or both by fusion; offset and threshold apply to the vector list alone."""
+    def search(self, query: str = "", *, like: Sequence[float] | None = None, image: bytes | None = None, limit: int | None = None, offset: int = 0, threshold: float | None = None, mode: str = "hybrid") -> DataFrame:
+        """Photos for a text, a vector or an image's bytes, or a text and either by fusion; texts are stemmed; offset and threshold apply to the vector list alone."""
         o = self.options
         limit = o.results if limit is None else limit
         threshold = o.threshold if threshold is None else threshold
         limited(limit, threshold)
         k_vec, k_text = fusion.widened(limit, o.vector_candidates, o.text_candidates)
+        if image is not None:
+            like = self._embedded(image)
         v = t = None
         if mode in ("hybrid", "vector"):
             point = like if like is not None else self.embed([query])[0] if self.embed and query else None
             if point is not None:
                 v = vector.topk(self.vectors, point, "photo_id", distance=o.distance, limit=k_vec, offset=offset, threshold=threshold)
         if mode in ("hybrid", "text") and query:
-            t = vector.ranked(fts.search(self.texts, fts.normalized(query), "photo_id", limit=k_text), "photo_id")
+            t = vector.ranked(fts.search(self.texts, fts.normalized(query), "photo_id", limit=k_text, stem=True), "photo_id")
         if v is None and t is None:
             raise ValueError("nothing to search by")
         return self._items(fusion.hybrid(v, t, "photo_id", limit, o.rrf_k))
 
     def similar(self, path: str, limit: int = 50, threshold: float = 0.0) -> DataFrame:
-        """Neighbours of the photo at a path, itself included; LookupError if there is none."""
+        """Neighbours of the photo at a path, itself included; LookupError if there is none. A photo without a vector is
+        embedded again from its file, where an image embedder is plugged in."""
         limited(limit, threshold)
         row = metadata.by_path(self.photos, path).select("photo_id").first()
         if row is None:
             raise LookupError(path)
+        if self.embed_image and self.vectors.where(F.col("photo_id") == row[0]).isEmpty():
+            return self.search(image=self._content(self._placed(metadata.by_key(self.photos, row[0])).first().absolute_path), limit=limit, threshold=threshold, mode="vector")
         hits = vector.similar(self.vectors, "photo_id", row[0], limit=limit, threshold=threshold, distance=self.options.distance)
         return self._items(fusion.hybrid(hits, None, "photo_id", limit))
 
+    def like_file(self, file: str, query: str = "", **settings) -> DataFrame:
+        """Photos like an image file, fused with a text's if there is one."""
+        return self.search(query, image=self._content(file), **settings)
+
+    def _content(self, file: str) -> bytes:
+        rows = self.photos.sparkSession.read.format("binaryFile").load(file).select("content").head(1)
+        if not rows:
+            raise LookupError(file)
+        return bytes(rows[0][0])
+
+    def _embedded(self, image: bytes) -> Sequence[float]:
+        if self.embed_image is None:
+            raise ValueError("no image embedder is plugged in")
+        return self.embed_image([image])[0]
+
     def photo(self, photo_id: str) -> DataFrame:
         return self._placed(metadata.by_key(self.photos, photo_id))
 

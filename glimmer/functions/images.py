@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 
 import numpy as np
 
@@ -80,15 +81,41 @@ def decoded(data: bytes, target: int | None = None, raw: bool = False) -> np.nda
         return None
 
 
-def area_resized(gray: np.ndarray, side: int) -> np.ndarray:
-    """Mean over side x side areas of a gray image."""
+def ppm_decoded(data: bytes) -> np.ndarray | None:
+    """Pixels of a binary portable pixmap, which needs no codec."""
+    m = re.match(rb"P6(?:\s+#[^\n]*)*\s+(\d+)\s+(\d+)\s+255\s", data)
+    if m is None:
+        return None
+    width, height = int(m[1]), int(m[2])
+    body = data[m.end() : m.end() + 3 * width * height]
+    return np.frombuffer(body, np.uint8).reshape(height, width, 3) if len(body) == 3 * width * height else None
+
 
-    def weights(n: int) -> np.ndarray:
-        edges = np.linspace(0, n, side + 1)
-        cover = np.clip(np.minimum(edges[1:, None], np.arange(1, n + 1)) - np.maximum(edges[:-1, None], np.arange(n)), 0, None)
-        return cover / cover.sum(axis=1, keepdims=True)
+def ppm_encoded(pixels: np.ndarray) -> bytes:
+    return b"P6 %d %d 255\n" % (pixels.shape[1], pixels.shape[0]) + np.ascontiguousarray(pixels, np.uint8).tobytes()
 
-    return weights(gray.shape[0]) @ gray @ weights(gray.shape[1]).T
+
+def webp_encoded(pixels: np.ndarray, quality: int = 85) -> bytes | None:
+    """None where no codec is installed."""
+    try:
+        from PIL import Image
+    except ImportError:
+        return None
+    out = io.BytesIO()
+    Image.fromarray(np.ascontiguousarray(pixels)).save(out, "WEBP", quality=quality)
+    return out.getvalue()
+
+
+def area_weights(n: int, side: int) -> np.ndarray:
+    """[i, j]: the share of pixel j of n in area i of side."""
+    edges = np.linspace(0, n, side + 1)
+    cover = np.clip(np.minimum(edges[1:, None], np.arange(1, n + 1)) - np.maximum(edges[:-1, None], np.arange(n)), 0, None)
+    return cover / cover.sum(axis=1, keepdims=True)
+
+
+def area_resized(gray: np.ndarray, side: int) -> np.ndarray:
+    """Mean over side x side areas of a gray image."""
+    return area_weights(gray.shape[0], side) @ gray @ area_weights(gray.shape[1], side).T
 
 
 def phash(pixels: np.ndarray, hash_size: int = 16) -> str:

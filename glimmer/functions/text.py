@@ -14,12 +14,23 @@ MARKED = "".join(c for c in map(chr, range(0xE0, 0x180)) if c.islower() and c !=
 PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in MARKED)
 #: Characters that make a query word need quotes, punctuation that a query loses, operator words.
 QUOTED, DROPPED, OPERATORS = "\"'()*-+,:^.", ",;:!?", ("AND", "OR", "NOT")
-#: Words that are no tag, in alphabetical order; shorter ones can't be tags anyway.
+#: Words that are no tag.
 STOP_WORDS = (
-    "about above after again all also and appears are been before being below between but can could dare depicted did does during each else few for from further had has have her here his how "
-    "image into its just may might mine more most must need nor not now once only other our own photo picture same scene shall she should showing shows some such than that the their them "
-    "then there these they this those through too under very visible was were what when where which who whom why will with would you your yours"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "must", "shall", "can", "need", "dare",
+    "and", "or", "but", "if", "then", "else", "when", "where", "why",
+    "how", "what", "which", "who", "whom", "this", "that", "these",
+    "those", "i", "you", "he", "she", "it", "we", "they", "them",
+    "my", "your", "his", "her", "its", "our", "their", "mine", "yours",
+    "in", "on", "at", "to", "for", "of", "with", "by", "from", "up",
+    "about", "into", "through", "during", "before", "after", "above",
+    "below", "between", "under", "again", "further", "once", "here",
+    "there", "all", "each", "few", "more", "most", "other", "some",
+    "such", "no", "nor", "not", "only", "own", "same", "so", "than",
+    "too", "very", "just", "also", "now", "image", "photo", "picture",
+    "shows", "showing", "depicted", "scene", "visible", "appears",
+)
 
 
 def folded(text: Column) -> Column:
@@ -52,8 +63,8 @@ def normalized_query(query: Column) -> Column:
 
 def tags(description: Column, limit: int = 20) -> Column:
     """Words of three ASCII letters or more, lower case, without stop words, first occurrences, at most limit."""
-    words = F.regexp_extract_all(F.lower(description), F.lit(r"\b([a-zA-Z]{3,})\b"), F.lit(1))
-    kept = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+    words = F.regexp_extract_all(F.lower(description), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    kept = F.filter(words, lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin(*STOP_WORDS))
     return F.slice(F.array_distinct(kept), 1, limit)
 
 

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.functions.hashes import chunks
 
 
-def similar_pairs(rows: DataFrame, key: str, phash: str, threshold: int = 10, digits: int = 64) -> DataFrame:
-    """(a, b, distance) of all pairs a < b at most threshold bits apart.
+def _near_hashes(rows: DataFrame, key: str, phash: str, threshold: int, digits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, h) of rows with a hash, (h) different hashes, and (x, y, distance) of those x < y at most threshold bits apart.
 
-    Of threshold + 1 bands of a hash, such a pair has one in common, so the join is on (band, value). Equal hashes
-    are joined once, by hash, and expanded afterwards.
+    Of threshold + 1 bands of a hash, such a pair has one in common, so the join is on (band, value).
     """
     clean = rows.where(F.length(phash) == digits).select(F.col(key).alias("id"), F.lower(phash).alias("h"))
     bits, bands = 4 * digits, min(threshold + 1, 4 * digits)
@@ -30,7 +31,12 @@ def similar_pairs(rows: DataFrame, key: str, phash: str, threshold: int = 10, di
     left, right = (banded.select(F.col("h").alias(n), "band", *(F.col(c).alias(f"{n}_{c}") for c in names)) for n in ("x", "y"))
     distance = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in names])
     near = left.join(right, "band").where("x < y").withColumn("distance", distance).where(F.col("distance") <= threshold)
-    near = near.select("x", "y", F.col("distance").cast("long").alias("distance")).distinct()
+    return clean, hashes, near.select("x", "y", F.col("distance").cast("long").alias("distance")).distinct()
+
+
+def similar_pairs(rows: DataFrame, key: str, phash: str, threshold: int = 10, digits: int = 64) -> DataFrame:
+    """(a, b, distance) of all pairs a < b at most threshold bits apart, equal hashes among them."""
+    clean, hashes, near = _near_hashes(rows, key, phash, threshold, digits)
     equal = hashes.select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(0).cast("long").alias("distance"))
     members = clean.withColumnRenamed("h", "x").withColumnRenamed("id", "p")
     other = clean.withColumnRenamed("h", "y").withColumnRenamed("id", "q")
@@ -38,10 +44,39 @@ def similar_pairs(rows: DataFrame, key: str, phash: str, threshold: int = 10, di
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def near_groups(rows: DataFrame, key: str, phash: str, threshold: int = 10, digits: int = 64) -> DataFrame:
+    """(id, component) of all ids with a similar one. Copies are linked to the smallest id of their hash, and hashes by
+    those ids, so the pairs of copies are never made."""
+    clean, _, near = _near_hashes(rows, key, phash, threshold, digits)
+    chief = clean.groupBy("h").agg(F.min("id").alias("chief"))
+    copies = clean.join(chief, "h").where("id <> chief").select(F.col("chief").alias("a"), F.col("id").alias("b"))
+    x, y = (chief.select(F.col("h").alias(n), F.col("chief").alias(m)) for n, m in (("x", "a"), ("y", "b")))
+    return connected(near.join(x, "x").join(y, "y").select("a", "b").unionByName(copies))
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges that this task gets, by union-find."""
+    above: dict = {}
+
+    def top(x):
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.schema.field(0).type
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            u, v = top(u), top(v)
+            above[max(u, v)] = min(u, v)
+    if above:
+        yield pa.RecordBatch.from_arrays([pa.array(list(above), kind), pa.array([top(x) for x in list(above)], kind)], names=["id", "component"])
+
+
+def connected(edges: DataFrame, rounds: int = 60, small: int = 100_000) -> DataFrame:
     """(id, component) of all ids in edges (a, b); a component is named by its smallest id.
 
-    Labels fall to the smallest neighbour's and then to that one's own label, until none changes; every round is
+    At most `small` edges, a few MB, go to one task. Beyond that labels fall to the smallest neighbour's and then to that one's own label, until none changes; every round is
     checkpointed to the shared folder.
     """
     spark = edges.sparkSession
@@ -49,7 +84,15 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix=f"glimmer-{uuid.uuid4().hex}"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix=f"glimmer-{uuid.uuid4().hex}"))
+    once = edges.select("a", "b").where("a <> b").distinct().checkpoint()
+    if once.count() <= small:
+        kind = once.schema["a"].dataType.simpleString()
+        return once.coalesce(1).mapInArrow(_united, f"id {kind}, component {kind}")
+    edges = once
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("n")).select("id", F.least("id", "n").alias("component")).checkpoint()
     for _ in range(rounds):
@@ -63,6 +106,11 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def members(labels: DataFrame) -> DataFrame:
+    """(component, ids): sorted members of each group of several."""
+    return labels.groupBy("component").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """(component, ids) of pairs (a, b): sorted members of each connected group."""
     return connected(pairs).groupBy("component").agg(F.array_sort(F.collect_set("id")).alias("ids"))

@@ -41,6 +41,14 @@ def shadowed(files: DataFrame, path: str = "relative_path", raw: DataFrame | Non
     return _shadowed(files, path, "left_semi", raw)
 
 
+def purged(photos: DataFrame, texts: DataFrame, vectors: DataFrame, path: str = "path", key: str = "photo_id") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The three tables without images that have a raw file, and a row of how many rows go from each."""
+    gone = shadowed(photos, path).select(key).distinct()
+    kept = [t.join(gone, key, "left_anti") for t in (photos, texts, vectors)]
+    counts = [t.join(gone, key, "left_semi").agg(F.count("*").alias(name)) for t, name in ((photos, "photos"), (texts, "texts"), (vectors, "vectors"))]
+    return *kept, counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # a row each
+
+
 def pending(files: DataFrame, *done: DataFrame, path: str = "relative_path") -> DataFrame:
     """files whose path is in none of the tables of paths."""
     skip = None

@@ -43,3 +43,16 @@ def exact_hash(photos: DataFrame, phash: str) -> DataFrame:
 def config_value(config: DataFrame, key: str, default: str | None = None) -> str | None:
     row = config.where(F.col("key") == key).select("value").first()
     return default if row is None or row[0] is None else row[0]
+
+
+def page_after(df: DataFrame, key: str, after, size: int) -> DataFrame:
+    """The `size` rows that follow the key `after` (None: from the first), in the order of unique keys."""
+    return (df if after is None else df.where(F.col(key) > F.lit(after))).orderBy(key).limit(size)
+
+
+def paged(df: DataFrame, key: str, size: int = 1000):
+    """All rows in pages by key, each a list; a page's filter reaches the scan, so none is read by an offset."""
+    after = None
+    while rows := page_after(df, key, after, size).collect():
+        yield rows
+        after = rows[-1][key]

@@ -15,12 +15,29 @@ def _double(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def same_length(a: Column, b: Column, value: Column) -> Column:
+    """value, and an error where two vectors differ in length; null where one is null."""
+    return F.when(F.size(a) != F.size(b), F.raise_error(F.concat(F.lit("vectors of lengths "), F.size(a), F.lit(" and "), F.size(b))).cast("double")).otherwise(value)
+
+
+def checked(vectors: DataFrame, dimension: int, column: str = "embedding", distance: str = "Cosine") -> DataFrame:
+    """vectors as a collection of one dimension takes them: others, and unknown metrics, are errors."""
+    if distance not in METRICS or dimension < 1:
+        raise ValueError(f"no collection of {dimension} values by {distance}")
+    wrong = F.raise_error(F.concat(F.lit(f"a collection of {dimension} values got "), F.size(column))).cast(vectors.schema[column].dataType)
+    return vectors.withColumn(column, F.when(F.size(column) != dimension, wrong).otherwise(F.col(column)))
+
+
 def dot(a: Column, b: Column) -> Column:
+    return same_length(a, b, _dot(a, b))
+
+
+def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(_double(a), _double(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(v: Column) -> Column:
-    return F.sqrt(dot(v, v))
+    return F.sqrt(_dot(v, v))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -30,7 +47,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def euclid(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(_double(a), _double(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    return same_length(a, b, F.sqrt(F.aggregate(F.zip_with(_double(a), _double(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)))
 
 
 def normalized(v: Column) -> Column:

@@ -485,10 +485,10 @@ def raw_jpeg_purge(spark, sf):
     return ingest.shadowed(files(spark, sf))
 
 
-@query(f"WITH f AS ({_FILES_SQL}), a AS (SELECT relative_path FROM f WHERE mtime < 1200 UNION SELECT relative_path FROM f WHERE size % 10 = 3) SELECT * FROM f WHERE relative_path NOT IN (SELECT relative_path FROM a)")
+@query(f"WITH f AS ({_FILES_SQL}), a AS (SELECT relative_path FROM f WHERE size % 7 = 2 UNION SELECT relative_path FROM f WHERE size % 10 = 3) SELECT * FROM f WHERE relative_path NOT IN (SELECT relative_path FROM a)")
 def skip_set(spark, sf):
     f = files(spark, sf)
-    return ingest.pending(f, f.where("mtime < 1200"), f.where("size % 10 = 3"))
+    return ingest.pending(f, f.where("size % 7 = 2"), f.where("size % 10 = 3"))
 
 
 _STORED = f"SELECT relative_path, max(size)::VARCHAR AS photo_id FROM ({_FILES_SQL}) GROUP BY relative_path"
@@ -518,9 +518,9 @@ def id_replacement(spark, sf):
     return ingest.superseded(_rescanned(spark, sf), _stored(spark, sf))
 
 
-@query(f"SELECT * FROM ({_STORED}) WHERE relative_path NOT IN (SELECT relative_path FROM ({_FILES_SQL}) WHERE mtime < 1500)")
+@query(f"SELECT * FROM ({_STORED}) WHERE relative_path NOT IN (SELECT relative_path FROM ({_FILES_SQL}) WHERE size % 10 <> 3)")
 def missing_prune(spark, sf):
-    return ingest.missing(_stored(spark, sf), files(spark, sf).where("mtime < 1500"))
+    return ingest.missing(_stored(spark, sf), files(spark, sf).where("size % 10 <> 3"))
 
 
 _OUTCOME = "SELECT count(*) AS scanned, count(*) FILTER (WHERE value >= 5 AND value < 90) AS processed, count(*) FILTER (WHERE value >= 90) AS skipped, count(*) FILTER (WHERE value < 5) AS errors FROM events"
@@ -585,32 +585,62 @@ def similar_hash_pairs(spark, sf):
 @query(f"""WITH RECURSIVE {_NEAR}, e AS (SELECT a, b FROM n WHERE distance <= 18 UNION SELECT b, a FROM n WHERE distance <= 18),
 r AS (SELECT a AS id, a AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other) SELECT id, min(other) AS component FROM r GROUP BY id""")
 def duplicate_groups(spark, sf):
-    return duplicates.connected(duplicates.similar_pairs(hashed(spark, sf), "vec_id", F.col("phash"), 18, 16))
+    return duplicates.near_groups(hashed(spark, sf), "vec_id", F.col("phash"), 18, 16)
 
 
-# --- captions, queries, paths ------------------------------------------------------------------------------------
+_WIDE = f"SELECT vec_id * 10 + i AS id, CASE WHEN i = 0 THEN b ELSE substr(b, 1, 40 * i) || CASE WHEN b[40 * i + 1] = '1' THEN '0' ELSE '1' END || substr(b, 40 * i + 2) END AS bits FROM (SELECT vec_id, bits || reverse(bits) || bits || reverse(bits) AS b FROM ({_HASHED})), range(3) t(i)"
+
+
+@query(f"WITH w AS ({_WIDE}) SELECT a.id AS a, b.id AS b, hamming(a.bits, b.bits)::BIGINT AS distance FROM w a JOIN w b ON a.id < b.id AND hamming(a.bits, b.bits) <= 10")
+def hamming_pairs_wide(spark, sf):
+    """256-bit hashes, each with two neighbours that differ in a bit."""
+    half = hashes.median_bits(F.col("embedding").cast("array<double>"))
+    wide = vec(spark, sf).select("vec_id", F.concat(half, F.reverse(half), half, F.reverse(half)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    flipped = F.when(F.expr("substr(b, 40 * i + 1, 1)") == "1", "0").otherwise("1")
+    bits = F.when(F.col("i") == 0, F.col("b")).otherwise(F.concat(F.expr("substr(b, 1, 40 * i)"), flipped, F.expr("substr(b, 40 * i + 2)")))
+    rows = wide.select((F.col("vec_id") * 10 + F.col("i")).alias("id"), hashes.bits_to_hex(bits, 256).alias("phash"))
+    return duplicates.similar_pairs(rows, "id", F.col("phash"))
 
-_ASCII = "regexp_replace(text, '[^\\x00-\\x7f]+', ' ', 'g')"
+
+@query(f"""WITH RECURSIVE {_NEAR}, e AS (SELECT a, b FROM n WHERE distance <= 18 UNION SELECT b, a FROM n WHERE distance <= 18),
+r AS (SELECT a AS id, a AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other), c AS (SELECT id, min(other) AS component FROM r GROUP BY id)
+SELECT component, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, count(*) AS n FROM c GROUP BY component HAVING count(*) > 1""")
+def duplicate_members(spark, sf):
+    found = duplicates.members(duplicates.near_groups(hashed(spark, sf), "vec_id", F.col("phash"), 18, 16))
+    return found.select("component", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.size("ids").cast("long").alias("n"))
 
 
-def ascii_text(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", F.regexp_replace("text", r"[^\x00-\x7f]+", " ").alias("text"))
+@query(f"""WITH f AS (SELECT relative_path, min(size) AS photo_id FROM ({_FILES_SQL}) GROUP BY relative_path), r AS (SELECT DISTINCT {_STEM} AS s FROM f WHERE {_RAW_WRITTEN}),
+g AS (SELECT photo_id FROM f WHERE {_SUFFIX_SQL} IN {_JPEGS} AND {_STEM} IN (SELECT s FROM r))
+SELECT (SELECT count(*) FROM g) AS photos, (SELECT count(*) FROM g WHERE photo_id % 2 = 0) AS texts, (SELECT count(*) FROM g WHERE photo_id % 3 = 0) AS vectors""")
+def purge_report(spark, sf):
+    photos = files(spark, sf).groupBy("relative_path").agg(F.min("size").alias("photo_id"))
+    ids = photos.select("photo_id")
+    return ingest.purged(photos, ids.where("photo_id % 2 = 0"), ids.where("photo_id % 3 = 0"), "relative_path")[3]
 
 
+@query("SELECT doc_id, lang FROM documents WHERE doc_id > 40 ORDER BY doc_id LIMIT 25")
+def key_page(spark, sf):
+    """The page after a key: full scans go on from the last key they have seen."""
+    return metadata.page_after(docs(spark, sf).select("doc_id", "lang"), "doc_id", 40, 25)
+
+
+# --- captions, queries, paths ------------------------------------------------------------------------------------
+
 _STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-_TAGS = f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower({_ASCII}), '\\b[a-zA-Z]{{3,}}\\b'), lambda x: NOT list_contains([{_STOPS}], x)) AS w FROM documents),
+_TAGS = f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}') AND NOT list_contains([{_STOPS}], x)) AS w FROM documents),
 t AS (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:20] AS tags FROM w)"""
 
 
 @query(f"{_TAGS} SELECT doc_id, array_to_string(tags, ',') AS tags, len(tags)::BIGINT AS n FROM t")
 def extract_tags(spark, sf):
-    found = ascii_text(spark, sf).select("doc_id", T.tags(F.col("text")).alias("t"))
+    found = docs(spark, sf).select("doc_id", T.tags(F.col("text")).alias("t"))
     return found.select("doc_id", F.array_join("t", ",").alias("tags"), F.size("t").cast("long").alias("n"))
 
 
 @query(f"{_TAGS} SELECT doc_id, array_to_string(tags, ' ') AS tags FROM t")
 def join_tags(spark, sf):
-    return ascii_text(spark, sf).select("doc_id", T.joined_tags(T.tags(F.col("text"))).alias("tags"))
+    return docs(spark, sf).select("doc_id", T.joined_tags(T.tags(F.col("text"))).alias("tags"))
 
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<h1>(.*?)</h1>') THEN regexp_replace(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1), '^\\s+|\\s+$', '', 'g')
@@ -619,15 +649,14 @@ def parse_output(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.parsed_output(F.col("html"), "<H1>").alias("output"))
 
 
-_HEAD = "substr(text, 1, 60)"
 _ESCAPED = "CASE WHEN regexp_matches(x, '[\"''()*+,:^.-]') THEN '\"' || replace(x, '\"', '\"\"') || '\"' ELSE x END"
-_CLEAN_WORDS = f"list_filter(regexp_split_to_array(regexp_replace({_HEAD}, '[,;:!?]+', ' ', 'g'), '\\s+'), lambda x: x <> '')"
+_CLEAN_WORDS = f"list_filter(regexp_split_to_array(regexp_replace(text, '[,;:!?]+', ' ', 'g'), '\\s+'), lambda x: x <> '')"
 
 
-@query(f"""WITH w AS (SELECT doc_id, {_HEAD} AS q, {_CLEAN_WORDS} AS w FROM documents)
+@query(f"""WITH w AS (SELECT doc_id, text AS q, {_CLEAN_WORDS} AS w FROM documents)
 SELECT doc_id, CASE WHEN len(w) > 1 AND list_has_any(w, ['AND', 'OR', 'NOT']) THEN q ELSE array_to_string(list_transform(w, lambda x: {_ESCAPED}), ' ') END AS query FROM w""")
 def normalize_query_col(spark, sf):
-    return docs(spark, sf).select("doc_id", T.normalized_query(F.substring("text", 1, 60)).alias("query"))
+    return docs(spark, sf).select("doc_id", T.normalized_query(F.col("text")).alias("query"))
 
 
 @query(f"WITH w AS (SELECT page_id, url AS x FROM pages) SELECT page_id, {_ESCAPED} AS word FROM w")

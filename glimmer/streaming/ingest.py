@@ -14,11 +14,13 @@ from glimmer.sources.snapshots import Snapshots
 
 
 def merged(store: Snapshots, processed: DataFrame, now: float) -> None:
-    """Apply processed rows (schemas.PROCESSED) to photos, vectors and dead letters in one commit. Applying a batch
-    again changes nothing, so a batch that is retried after a failure does no harm."""
+    """Apply processed rows (schemas.PROCESSED) to photos, full-text rows, vectors and dead letters in one commit. Of a
+    path's versions in a batch the last by mtime and id counts. Applying a batch again changes nothing, so a batch that
+    is retried after a failure does no harm."""
     from pyspark.sql import functions as F
 
     good, bad = ingest.dead_letters(processed)
+    good = merge.last_of(good.withColumn("_s", F.struct("mtime", "photo_id")), "relative_path", "_s").select(*processed.columns)
     photos, vectors = store.read("photos", schemas.PHOTOS), store.read("vectors", schemas.VECTORS)
     letters = store.read("dead", schemas.PROCESSED)
     renamed = good.withColumnRenamed("relative_path", "path")
@@ -26,10 +28,11 @@ def merged(store: Snapshots, processed: DataFrame, now: float) -> None:
     changes = renamed.select("photo_id", "path", "mtime", F.lit(None).cast("string").alias("caption"), F.lit(None).cast("string").alias("tags"), "phash", F.lit(now).alias("embedded_at"), F.lit(None).cast("double").alias("captioned_at"))
     changes = merge.last_of(changes.withColumn("_s", F.col("mtime")), "photo_id", "_s")
     photos = merge.upsert(merge.deleted(photos, old, "photo_id"), changes, "photo_id", schemas.OVERWRITTEN, schemas.MERGED)
+    texts = merge.refreshed_text(merge.deleted(store.read("fts", schemas.FTS), old, "photo_id"), photos, changes)
     new = good.where("embedding IS NOT NULL").select("photo_id", "embedding", "mtime")
     vectors = merge.replaced(merge.deleted(vectors, old, "photo_id"), merge.last_of(new, "photo_id", "mtime"), "photo_id")
     letters = merge.replaced(merge.deleted(letters, good.select("photo_id"), "photo_id"), bad.dropDuplicates(["photo_id"]), "photo_id")
-    store.commit({"photos": photos, "vectors": vectors, "dead": letters})
+    store.commit({"photos": photos, "fts": texts, "vectors": vectors, "dead": letters})
 
 
 def stream(spark: SparkSession, source: str, schema: StructType, process: Callable[[DataFrame], DataFrame], store: Snapshots, checkpoint: str, clock: Callable[[], float]) -> StreamingQuery:
