@@ -38,3 +38,46 @@ def queries() -> dict[str, Query]:
         "op9_main_text": lambda spark, sf: main_text.extract(_table(spark, sf, "pages")),
         "op10_ngram_join": documents(lambda d: ngram_join.join(d, links=True)),
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL of the queries that SQL can express over whole tables; brute force in tests holds the others."""
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+    plain = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(low)
+    return {
+        "op2_decontamination": f"""
+WITH d AS (SELECT doc_id, {plain} AS w FROM documents), i AS (SELECT item_id, {plain} AS w FROM benchmark WHERE item_id IS NOT NULL),
+x AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda p: array_to_string(w[p:p + least(10, len(w)) - 1], ' '))) AS win FROM i WHERE len(w) > 0),
+s AS (SELECT DISTINCT n FROM x),
+y AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p, unnest(list_transform(range(1, len(w) - n + 2), lambda p: array_to_string(w[p:p + n - 1], ' '))) AS win FROM d, s WHERE len(w) >= n),
+h AS (SELECT y.doc_id, y.p, y.n, x.item_id FROM y JOIN x USING (n, win)),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)""",
+        "op6_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)""",
+        "op7_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
+y AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, unnest(list_transform(range(1, len(w) - 18), lambda p: sha256(array_to_string(w[p:p + 19], ' ')))) AS win FROM d WHERE len(w) >= 20),
+late AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS r FROM y) WHERE r > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM late),
+o AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+k AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS kept FROM o ANTI JOIN g USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+        "op10_ngram_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {words.format(low)} AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda p: array_to_string(w[p:p + 4], ' '))) AS s FROM d WHERE len(w) > 0),
+u AS MATERIALIZED (SELECT doc_id, hash(x) AS x FROM (SELECT doc_id, unnest(s) AS x FROM s)),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS id, a AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
+m AS (SELECT id AS doc_id, min(other) AS component_id FROM r GROUP BY id), k AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(len(s.s), 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    }
