@@ -18,9 +18,11 @@ _U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and Spark runs in one process (tests)."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
+    if configured is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="glimmer-checkpoints-"))
     return configured or str(sc._jsc.sc().getCheckpointDir().get())

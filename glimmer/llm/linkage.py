@@ -282,9 +282,8 @@ def nearby(pairs: DataFrame, attrs: DataFrame, kind: np.dtype, near: Near) -> Da
     return pairs.join(right, "b").join(left, "a").select("a", "b", "wide", "am", "bm").mapInArrow(run, "a long, b long")
 
 
-def checked(pairs: DataFrame, values: DataFrame, make_check: Callable[[], Callable]) -> DataFrame:
-    """The pairs (a, b) whose values pass. values: (id, value)."""
-    left, right = (values.select(F.col("id").alias(x), F.col("value").alias(f"{x}v")) for x in "ab")
+def in_python(make_check: Callable[[], Callable]) -> Callable[[DataFrame], DataFrame]:
+    """A check of (a, b, av, bv) by a function of two values, made once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check = make_check()
@@ -292,25 +291,32 @@ def checked(pairs: DataFrame, values: DataFrame, make_check: Callable[[], Callab
             found = [check(x, y) for x, y in zip(b.column("av").to_pylist(), b.column("bv").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "av", "bv").mapInArrow(run, "a long, b long")
+    return lambda pairs: pairs.mapInArrow(run, "a long, b long")
 
 
-def linked(found: DataFrame, attrs: DataFrame, kind: np.dtype, near: Near, values: Callable[[DataFrame], DataFrame], make_check: Callable[[], Callable]) -> DataFrame:
+def linked(found: DataFrame, attrs: DataFrame, kind: np.dtype, near: Near, values: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, component) of every id with a link.
 
     found: as `shared_keys` gives it, stored. attrs: (id, attr) of all its ids, attr as packed `kind`. values makes
-    (id, value), stored, for a table of ids (id); it is asked for those of near pairs alone.
+    (id, value), stored, for a table of ids (id); it is asked for those of near pairs alone. check keeps the pairs
+    (a, b) of (a, b, av, bv) whose values pass; no pair is checked twice.
     """
     links: DataFrame | None = None
+    tried: DataFrame | None = None
     groups = found.sparkSession.createDataFrame([], "id long, component long")
 
     def merge(pairs: DataFrame) -> None:
-        nonlocal links, groups
-        close = stored(nearby(pairs, attrs, kind, near), "near")
+        nonlocal links, groups, tried
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "wide")
+        close = nearby(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), attrs, kind, near)
+        close = stored(close, "near")
         if close.isEmpty():
             return
         ids = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        new = stored(checked(close, values(ids), make_check), "links")
+        tried = close if tried is None else tried.unionByName(close)
+        found = values(ids)
+        left, right = (found.select(F.col("id").alias(x), F.col("value").alias(f"{x}v")) for x in "ab")
+        new = stored(check(close.join(right, "b").join(left, "a").select("a", "b", "av", "bv")), "links")
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             groups = components(links)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.llm.kit import components, count_vector, mixed, sliced, stored, wanted_rows, window_hashes, word_hashes
-from glimmer.llm.linkage import linked, shared_keys
+from glimmer.llm.linkage import in_python, linked, shared_keys
 from glimmer.llm.packed import flat
 
 SIZE, PERCENT, COUNTS = 5, 75, 1 << 18
@@ -183,7 +183,7 @@ def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     classes = stored(counted.withColumn("doc_id", F.col("source.doc_id")), "classes")
     found = _candidates(signs, classes)
     attrs = classes.select(F.col("set").alias("id"), "attr")
-    return signs, classes, linked(found, attrs, ATTR, nearness(percent), lambda ids: _texts(rows, classes, ids), checker(size, percent))
+    return signs, classes, linked(found, attrs, ATTR, nearness(percent), lambda ids: _texts(rows, classes, ids), in_python(checker(size, percent)))
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, links: bool = False) -> DataFrame:
