@@ -15,7 +15,6 @@ code points beyond U+024F, or `<|`) go to the tokenizers library itself, so ids
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
 import re
