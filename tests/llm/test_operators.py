@@ -9,6 +9,7 @@ import brute
 import numpy as np
 import pytest
 from glimmer.llm import bpe, lines, main_text, ngram_join, postings, quality, records, repeats, secret_scan, warc
+from glimmer.llm.kit import window_hashes
 from glimmer.llm.queries import vocabulary
 
 BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -467,6 +468,46 @@ def test_line_dedup_tables(odd, none):
     assert lines.digests(none).count() == 0 and lines.deduped(none).columns == none.columns
 
 
+def test_bounds_of_edit_distance_agree_with_it():
+    """Long lines with a few or many changed words, and lines that end or begin alike: what the bounds decide is right."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh é") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    said = []
+    for k in range(120):
+        own = [r.choice(words) for _ in range(60)]
+        other = [r.choice(words) if r.random() < (k % 12) / 12 else w for w in own]
+        a, b = " ".join(own), " ".join(other[k % 3 :] + own[: k % 2])
+        want = 100 * brute.distance(a, b) <= 20 * max(len(a), len(b))
+        got = lines.quick_similar(a, b, 80)
+        assert got is None or got == want
+        assert lines.edit_similar(a, b, 80) == want
+        said.append((got, want))
+    assert sum(got is True for got, want in said) > 0.8 * sum(want for _, want in said)
+    assert lines.quick_similar("x" * 300, "", 80) is False and lines.quick_similar("x" * 300, "x" * 300, 80) is True
+
+
+def test_very_long_lines_are_compared(spark):
+    """Lines beyond what the JVM compares: near copies are linked, others aren't."""
+    r = random.Random(6)
+    own = ["".join(r.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(1200)]
+    near = [w if i % 40 else "other" for i, w in enumerate(own)]
+    far = [w if i % 2 else "other" + w[:2] for i, w in enumerate(own)]
+    docs = spark.createDataFrame([(1, " ".join(own)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert len(" ".join(own)) > lines.LONG
+    assert {r.doc_id: r.n_removed for r in lines.digests(docs, bands=lines.BANDS).collect()} == {1: 0, 2: 1, 3: 0}
+
+
+def test_window_hashes_of_many_rows():
+    h = np.arange(1, 40, dtype=np.uint64)
+    sizes = np.array([5, 1, 9, 4, 3, 17])
+    found, starts = lines.windows(h, sizes, 4)
+    ends = np.append(starts[1:], len(found))
+    at = 0
+    for n, a, b in zip(sizes.tolist(), starts, ends, strict=True):
+        assert found[a:b].tolist() == window_hashes(h[at : at + n], min(n, 4)).tolist()
+        at += n
+
+
 def test_edit_similarity():
     r = random.Random(1)
     for _ in range(300):
