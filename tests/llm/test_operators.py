@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import string
+from collections import Counter
 
 import brute
 import numpy as np
 import pytest
 from glimmer.llm import bpe, lines, main_text, ngram_join, postings, quality, records, repeats, secret_scan, warc
-from glimmer.llm.kit import window_hashes
+from glimmer.llm.kit import mixed, window_hashes, word_hashes
 from glimmer.llm.queries import vocabulary
 
 BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -146,6 +149,62 @@ def test_quality_without_labels(spark, odd, none):
     assert quality.filtered(odd, empty).columns == odd.columns
 
 
+def test_quality_of_held_out_labels(spark):
+    """Verdicts on labels that the operator never sees."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r.kept for r in quality.judge(docs, labels.where("doc_id % 2 = 0")).where("NOT base_failed").collect()}
+    unseen = [(got[r.doc_id], r.quality) for r in labels.where("doc_id % 2 = 1").collect() if r.doc_id in got]
+    right = sum(k and q == 1 for k, q in unseen)
+    assert right / sum(k for k, _ in unseen) >= 0.95 and right / sum(q == 1 for _, q in unseen) >= 0.95
+
+
+def test_quality_scores(spark, sf):
+    """Scores against ratios counted apart."""
+    docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r for r in quality.judge(docs, seen).where("NOT base_failed").collect()}
+    target, _ = quality.trusted(seen)
+    tables = [[Counter(), Counter()], [Counter(), Counter()]]
+    rows = {}
+    for r in docs.collect():
+        w = re.findall(rb"[^\x20\x09-\x0d]+", (r.text or "").encode())
+        keys = [int(mixed(word_hashes([x]))[0]) % quality.BUCKETS for x in w], [int(window_hashes(word_hashes(w[i : i + 2]), 2)[0]) % quality.BUCKETS for i in range(len(w) - 1)]
+        rows[r.doc_id] = keys
+        for n, ks in enumerate(keys):
+            tables[n][0].update(ks)
+            if r.doc_id in target:
+                tables[n][1].update(ks)
+    sums = [sum(t[0].values()) + quality.BUCKETS * quality.PRIOR for t in tables]
+    mass = [sum(t[1].values()) for t in tables]
+
+    def ratio(n: int, k: int) -> float:
+        raw = (tables[n][0][k] + quality.PRIOR) / sums[n]
+        return math.log((tables[n][1][k] + quality.MIX * mass[n] * raw) / (mass[n] * (1 + quality.MIX)) / raw)
+
+    for d in sorted(got)[:40]:
+        want = [ratio(n, k) for n in (0, 1) for k in rows[d][n]]
+        assert abs(got[d].score - sum(want) / len(want)) < 1e-9
+
+
+def test_quality_cut():
+    assert quality.best_cut([1.0, 2.0], [-1.0, 0.0]) == 0.5
+    assert quality.best_cut([1.0], []) == quality.best_cut([], [1.0]) == -math.inf
+    assert quality.best_cut([0.0] * 9 + [-3.0], [-2.0, -1.0]) == -0.5
+    assert quality.best_cut([1.0, 1.0], [1.0]) == 1.0  # ties are kept
+
+
+def test_quality_of_long_texts(spark, monkeypatch):
+    rng = random.Random(9)
+    made = [" ".join(rng.choices(string.ascii_letters, k=n)) for n in (3000, 100, 100)]
+    rows = [(1, made[0]), (1, made[1]), (None, made[2]), (2, None)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    whole = quality.ratios(df, frozenset([1]))
+    monkeypatch.setattr(quality, "_PART", 10)
+    assert (quality.ratios(df, frozenset([1])) == whole).all()
+    assert quality.trusted(labels)[0] == {1}  # a sole trusted id is the target, held out or not
+    assert quality.judge(df, labels).count() == 4
+
+
 def test_log_ratios():
     words = b"a b c a".split()
     assert len(quality.features(words)) == 7
