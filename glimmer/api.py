@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from glimmer.functions import paths
 from glimmer.operators import fusion, metadata, vector
 from glimmer.options import Options, limited
-from glimmer.plans import fts
+from glimmer.plans import fts, text_index
 
 
 class Library:
-    """An index: photos (schemas.PHOTOS), vectors, full-text rows and thumbnails (photo_id, size), and an embedder."""
+    """An index: photos (schemas.PHOTOS), vectors, full-text rows and thumbnails (photo_id, size), and an embedder.
 
-    def __init__(self, photos: DataFrame, vectors: DataFrame, texts: DataFrame, thumbnails: DataFrame | None = None, embed=None, options: Options | None = None, embed_image=None):
-        self.photos, self.vectors, self.texts, self.embed, self.embed_image = photos, vectors, texts, embed, embed_image
+    index: the path of a stemmed plans.text_index of texts, which searches read instead of the texts themselves.
+    """
+
+    def __init__(self, photos: DataFrame, vectors: DataFrame, texts: DataFrame, thumbnails: DataFrame | None = None, embed=None, options: Options | None = None, embed_image=None, index: str | None = None):
+        self.photos, self.vectors, self.texts, self.embed, self.embed_image, self.index = photos, vectors, texts, embed, embed_image, index
         self.thumbnails = photos.where("false").select("photo_id", F.lit(0).cast("long").alias("size")) if thumbnails is None else thumbnails
         self.options = options or Options()
 
@@ -39,7 +42,9 @@ class Library:
             if point is not None:
                 v = vector.topk(self.vectors, point, "photo_id", distance=o.distance, limit=k_vec, offset=offset, threshold=threshold)
         if mode in ("hybrid", "text") and query:
-            t = vector.ranked(fts.search(self.texts, fts.normalized(query), "photo_id", limit=k_text, stem=True), "photo_id")
+            words = fts.normalized(query)
+            hits = text_index.search(self.photos.sparkSession, self.index, words, "photo_id", limit=k_text) if self.index else fts.search(self.texts, words, "photo_id", limit=k_text, stem=True)
+            t = vector.ranked(hits, "photo_id")
         if v is None and t is None:
             raise ValueError("nothing to search by")
         return self._items(fusion.hybrid(v, t, "photo_id", limit, o.rrf_k))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -152,9 +153,9 @@ def _in_column(tree, column: str):
     return tree
 
 
-def _leaves(tree, scored: bool = True) -> list[tuple[object, bool]]:
+def leaves(tree, scored: bool = True) -> list[tuple[object, bool]]:
     if isinstance(tree, Op):
-        return _leaves(tree.left, scored) + _leaves(tree.right, scored and tree.kind != "NOT")
+        return leaves(tree.left, scored) + leaves(tree.right, scored and tree.kind != "NOT")
     return [(tree, scored)] if tree is not None else []
 
 
@@ -180,13 +181,15 @@ def _occurrences(tokens: Column, phrase: Phrase) -> Column:
     return F.size(_starts(tokens, phrase))
 
 
-def _near(tokens: Column, near: Near) -> Column:
+def phrases(leaf) -> tuple[Phrase, ...]:
+    return leaf.phrases if isinstance(leaf, Near) else (leaf,)
+
+
+def _near(starts: Callable[[Phrase], Column], near: Near) -> Column:
     """Whether all phrases have an occurrence with at most `distance` tokens between one's end and the next one's start."""
     first, *rest = near.phrases
-    tests = []
-    for p in rest:
-        tests.append(F.exists(_starts(tokens, first), _close(_starts(tokens, p), len(first.words), len(p.words), near.distance)))
-    return reduce(lambda a, b: a & b, tests, F.size(_starts(tokens, first)) > 0)
+    tests = [F.exists(starts(first), _close(starts(p), len(first.words), len(p.words), near.distance)) for p in rest]
+    return reduce(lambda a, b: a & b, tests, F.size(starts(first)) > 0)
 
 
 def _once(value: Column) -> Column:
@@ -215,23 +218,33 @@ def search(texts: DataFrame, query: str, key: str, column: str = "text", limit:
         from glimmer.functions.porter import stem as stem_word
         from glimmer.functions.porter import stemmed
 
-        tokens, tree = stemmed(tokens), _mapped(tree, stem_word)
-    leaves = [x for x, _ in _leaves(tree)]
-    phrases = list(dict.fromkeys(p for x in leaves for p in (x.phrases if isinstance(x, Near) else (x,))))
-    at = {p: f"_f{i}" for i, p in enumerate(phrases)}
+        tokens, tree = stemmed(tokens), mapped(tree, stem_word)
+    at = {p: f"_f{i}" for i, p in enumerate(dict.fromkeys(p for x, _ in leaves(tree) for p in phrases(x)))}
     base = texts.select(key, _once(F.coalesce(tokens, F.array().cast("array<string>"))).alias("_t"))
     counted = base.select(key, "_t", _once(F.size("_t") + key_tokens).alias("_n"), *((F.lit(0) if p.column not in (None, column) else _occurrences(F.col("_t"), p)).alias(c) for p, c in at.items()))
+    hits = scored(counted, tree, at, lambda p: _starts(F.col("_t"), p))
+    return hits.select(key, "score").orderBy(F.col("score").desc(), key).limit(limit or 200)
+
+
+def scored(counted: DataFrame, tree, at: dict[Phrase, str], starts: Callable[[Phrase], Column], total: Column | None = None, average: Column | None = None) -> DataFrame:
+    """The rows of counted that the tree holds for, with a BM25 score.
+
+    counted has a length _n and, in the columns that `at` names, each phrase's number of occurrences; starts gives where
+    they are. total and average are the corpus's number of texts and mean length where counted isn't all of it.
+    """
 
     def holds(node) -> Column:
         if isinstance(node, Phrase):
             return F.col(at[node]) > 0
         if isinstance(node, Near):
-            return reduce(lambda a, b: a & b, [F.col(at[p]) > 0 for p in node.phrases]) & _near(F.col("_t"), node)
+            return reduce(lambda a, b: a & b, [F.col(at[p]) > 0 for p in node.phrases]) & _near(starts, node)
         left, right = holds(node.left), holds(node.right)
         return left & right if node.kind == "AND" else left | right if node.kind == "OR" else left & ~right
 
-    scored = [at[p] for x, counts in _leaves(tree) if counts for p in (x.phrases if isinstance(x, Near) else (x,))]
-    stats = counted.agg(F.count("*").alias("_total"), F.avg("_n").alias("_avg"), *(F.count_if(F.col(c) > 0).alias(f"{c}_df") for c in dict.fromkeys(scored)))
+    names = [at[p] for x, counts in leaves(tree) if counts for p in phrases(x)]
+    whole = F.count("*") if total is None else F.max(total)
+    mean = F.avg("_n") if average is None else F.max(average)
+    stats = counted.agg(whole.alias("_total"), mean.alias("_avg"), *(F.count_if(F.col(c) > 0).alias(f"{c}_df") for c in dict.fromkeys(names)))
 
     def part(c: str) -> Column:
         df = F.col(f"{c}_df")
@@ -241,16 +254,15 @@ def search(texts: DataFrame, query: str, key: str, column: str = "text", limit:
         return idf * (f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / F.col("_avg"))))
 
     hits = counted.where(holds(tree)).crossJoin(F.broadcast(stats))  # one row
-    score = reduce(lambda a, b: a + b, [part(c) for c in scored])
-    return hits.select(key, score.alias("score")).orderBy(F.col("score").desc(), key).limit(limit or 200)
+    return hits.withColumn("score", reduce(lambda a, b: a + b, [part(c) for c in names]))
 
 
-def _mapped(tree, fn):
+def mapped(tree, fn):
     if isinstance(tree, Phrase):
         return Phrase(tuple(w if tree.prefix and i == len(tree.words) - 1 else fn(w) for i, w in enumerate(tree.words)), tree.prefix, tree.column)
     if isinstance(tree, Near):
-        return Near(tuple(_mapped(p, fn) for p in tree.phrases), tree.distance)
-    return Op(tree.kind, _mapped(tree.left, fn), _mapped(tree.right, fn))
+        return Near(tuple(mapped(p, fn) for p in tree.phrases), tree.distance)
+    return Op(tree.kind, mapped(tree.left, fn), mapped(tree.right, fn))
 
 
 def normalized(query: str) -> str:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from glimmer.functions import hashes, paths
 from glimmer.functions import text as T
 from glimmer.operators import duplicates, fusion, ingest, merge, metadata, vector
-from glimmer.plans import fts
+from glimmer.plans import fts, text_index
+from glimmer.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,6 +201,39 @@ for _name, _query, _sql in (
 QUERIES["text_bm25_porter"] = _bm25("licenses OR rights", stem=True)
 
 
+_indexes: dict[tuple[str, str, bool], str] = {}
+
+
+def _index(spark: SparkSession, sf: str, stem: bool = False) -> str:
+    """The stored index of documents, written once a session to the folder all executors share."""
+    place = spark.sparkContext.applicationId, sf, stem
+    if place not in _indexes:
+        _indexes[place] = text_index.write(docs(spark, sf), scratch_path(spark, "text_index"), "doc_id", stem=stem)
+    return _indexes[place]
+
+
+def _stored(query_text: str, stem: bool = False) -> Query:
+    def run(spark, sf):
+        return rounded(text_index.search(spark, _index(spark, sf, stem), query_text, "doc_id"), "score")
+
+    return run
+
+
+for _name, _query in (
+    ("and", "the and that"),
+    ("or", "licensed OR pathetic OR clown"),
+    ("not", "the NOT this"),
+    ("nested", "(clown OR idiot) AND the NOT licensed"),
+    ("repeated", "clown clown"),
+    ("folded", "ÈTRE"),
+):
+    QUERIES[f"stored_text_{_name}"], ORACLES[f"stored_text_{_name}"] = _stored(_query), ORACLES[f"text_bm25_{_name}"]
+for _name, _query in (("phrase", '"of the"'), ("prefix", "theat*"), ("near", "NEAR(clown the, 3)")):
+    QUERIES[f"stored_text_{_name}"], ORACLES[f"stored_text_{_name}"] = _stored(_query), ORACLES[f"text_{_name}"]
+QUERIES["stored_text_column"] = _stored("text: clown OR title: the")
+ORACLES["stored_text_column"] = _bm25_sql({"a": _count("clown"), "b": "0 * len(w)"}, "a > 0 OR b > 0", ["a", "b"])
+
+
 @query("SELECT doc_id, 0.0::DOUBLE AS score FROM documents WHERE false")
 def text_empty_query(spark, sf):
     return fts.search(docs(spark, sf), "", "doc_id")

@@ -15,7 +15,7 @@ from glimmer.functions import hashes, images, paths, porter
 from glimmer.functions import text as T
 from glimmer.operators import duplicates, fusion, ingest, merge, metadata, vector
 from glimmer.options import Options, limited
-from glimmer.plans import fts
+from glimmer.plans import fts, text_index
 from glimmer.sources import files
 from glimmer.sources.snapshots import Snapshots
 
@@ -113,6 +113,25 @@ def test_index(spark):
     assert sorted(tuple(r) for r in lengths.collect()) == [(1, 3), (2, 0)]
 
 
+def test_stored_index_equals_scan(spark, sf, tmp_path):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    df = rows.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "runs a b a b a"), (-4, "running a c b")], rows.schema))
+    for stem in (False, True):
+        path = text_index.write(df, str(tmp_path / f"index{stem}"), "doc_id", stem=stem)
+        for q in ("run", "runs NOT c", '"a b"', '"a b a"', "NEAR(a b, 0)", 'NEAR("a b" runs, 2)', "ru* OR the", "text: a", "title: a", "title: a OR c", "the the", "nowhere", "", " ?! ", "and OR (licensed AND the)"):
+            want = [(r.doc_id, round(r.score, 9)) for r in fts.search(df, q, "doc_id", limit=500, stem=stem).collect()]
+            assert [(r.doc_id, round(r.score, 9)) for r in text_index.search(spark, path, q, "doc_id", limit=500).collect()] == want, (stem, q)
+
+
+def test_stored_index_of_nothing(spark, tmp_path):
+    df = spark.createDataFrame([], "id string, text string")
+    path = text_index.write(df, str(tmp_path / "index"), "id")
+    found = text_index.search(spark, path, "a", "id")
+    assert found.count() == 0 and found.schema["id"].dataType.simpleString() == "string"
+    with pytest.raises(fts.QueryError):
+        text_index.search(spark, path, "a AND", "id", strict=True)
+
+
 # --- vectors and fusion
 
 
