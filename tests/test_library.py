@@ -398,3 +398,12 @@ def test_library(spark, vectors):
     body = json.loads(api.response("tree", lib.search("tree", limit=3)).first().json)
     assert body["total"] == 3 and body["results"][0]["score"] >= body["results"][-1]["score"]
     assert metadata.uncaptioned(photos, limit=3).count() == 3
+
+
+def test_library_with_an_index(spark, vectors, tmp_path):
+    photos = spark.createDataFrame([(f"p{i}", f"d/{i}.jpg", 1.0, "photos of trees" if i % 2 else "a tree, photographed", None, None, 1.0, None) for i in range(12)], schemas.PHOTOS)
+    texts = photos.select("photo_id", F.col("caption").alias("text"))
+    path = text_index.write(texts, str(tmp_path / "index"), "photo_id", stem=True)
+    scanned, indexed = (api.Library(photos, vectors, texts, embed=models.hashing_embedder(8), index=i) for i in (None, path))
+    for query, mode in (("tree", "text"), ("photo trees", "hybrid"), ("tree & photo", "text"), ("none", "text")):
+        assert [tuple(r) for r in indexed.search(query, mode=mode).collect()] == [tuple(r) for r in scanned.search(query, mode=mode).collect()]
