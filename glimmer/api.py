@@ -7,23 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glimmer import schemas
 from glimmer.functions import paths
 from glimmer.operators import fusion, metadata, vector
 from glimmer.options import Options, limited
-from glimmer.plans import fts, text_index
+from glimmer.plans import fts
+from glimmer.plans.text_index import TextIndex
+from glimmer.sources.snapshots import Snapshots
 
 
 class Library:
     """An index: photos (schemas.PHOTOS), vectors, full-text rows and thumbnails (photo_id, size), and an embedder.
 
-    index: the path of a stemmed plans.text_index of texts, which searches read instead of the texts themselves.
+    index: a stemmed plans.text_index.TextIndex of texts, or the path of one, which searches read instead of the texts
+    themselves; one that was opened stays at its commit, as the tables do.
     """
 
-    def __init__(self, photos: DataFrame, vectors: DataFrame, texts: DataFrame, thumbnails: DataFrame | None = None, embed=None, options: Options | None = None, embed_image=None, index: str | None = None):
-        self.photos, self.vectors, self.texts, self.embed, self.embed_image, self.index = photos, vectors, texts, embed, embed_image, index
+    def __init__(self, photos: DataFrame, vectors: DataFrame, texts: DataFrame, thumbnails: DataFrame | None = None, embed=None, options: Options | None = None, embed_image=None, index: TextIndex | str | None = None):
+        self.photos, self.vectors, self.texts, self.embed, self.embed_image = photos, vectors, texts, embed, embed_image
+        self.index = TextIndex(Snapshots(photos.sparkSession, index)) if isinstance(index, str) else index
         self.thumbnails = photos.where("false").select("photo_id", F.lit(0).cast("long").alias("size")) if thumbnails is None else thumbnails
         self.options = options or Options()
 
+    @classmethod
+    def opened(cls, store: Snapshots, **kw) -> Library:
+        """The library that an ingest keeps in a store, all of it as of the last commit."""
+        view = store.view()
+        photos, vectors, texts = (store.read(name, kind, view) for name, kind in (("photos", schemas.PHOTOS), ("vectors", schemas.VECTORS), ("fts", schemas.FTS)))
+        index = TextIndex(store, view=view)
+        return cls(photos, vectors, texts, index=index if index.note else None, **kw)
+
     def health(self) -> dict:
         return {"status": "ok"}
 
@@ -43,7 +56,7 @@ class Library:
                 v = vector.topk(self.vectors, point, "photo_id", distance=o.distance, limit=k_vec, offset=offset, threshold=threshold)
         if mode in ("hybrid", "text") and query:
             words = fts.normalized(query)
-            hits = text_index.search(self.photos.sparkSession, self.index, words, "photo_id", limit=k_text) if self.index else fts.search(self.texts, words, "photo_id", limit=k_text, stem=True)
+            hits = self.index.search(words, "photo_id", limit=k_text) if self.index else fts.search(self.texts, words, "photo_id", limit=k_text, stem=True)
             t = vector.ranked(hits, "photo_id")
         if v is None and t is None:
             raise ValueError("nothing to search by")

@@ -28,7 +28,7 @@ def main(arguments: list[str] | None = None) -> list[str]:
     vectors = store.read("vectors", schemas.VECTORS)
     row = vectors.where("embedding IS NOT NULL").select(F.size("embedding")).first()
     size = row[0] if row else 64  # the stand-in embedder takes the index's dimension
-    library = Library(store.read("photos", schemas.PHOTOS), vectors, store.read("fts", schemas.FTS), embed=hashing_embedder(size), embed_image=hashing_embedder(size))
+    library = Library.opened(store, embed=hashing_embedder(size), embed_image=hashing_embedder(size))
     settings = {"limit": a.n, "threshold": a.t}
     found = library.like_file(a.image, a.query, mode="hybrid", **settings) if a.image else library.search(a.query, mode=a.m, **settings)
     found = found.withColumn("shown", truncated(F.coalesce("caption", F.lit(""))))

@@ -10,20 +10,22 @@ from pyspark.sql import functions as F
 from glimmer.operators.vector import ranked
 
 
-def rrf(lists: list[DataFrame], key: str, k: int | None = None) -> DataFrame:
+def rrf(lists: list[DataFrame], key: str, k: int | None = None, scores: bool = False) -> DataFrame:
     """(key, score, rank_1, rank_2, ...): the sum of 1 / (k + rank) over lists of (key, rank); k of none or 0 means 60.
 
-    The order is by score, then by rank in the first list, the second and so on; an id may repeat in a list.
+    The order is by score, then by rank in the first list, the second and so on; an id may repeat in a list. scores:
+    each list's own score of an id, at its best rank there, comes along as score_1, score_2 and so on.
     """
     k = k or 60
-    tagged = [x.select(key, F.col("rank"), F.lit(i).alias("_list")) for i, x in enumerate(lists)]
+    tagged = [x.select(key, F.col("rank"), *([F.col("score").alias("_score")] if scores else []), F.lit(i).alias("_list")) for i, x in enumerate(lists)]
     every = reduce(DataFrame.unionByName, tagged)
     best = [F.min(F.when(F.col("_list") == i, F.col("rank"))).alias(f"rank_{i + 1}") for i in range(len(lists))]
     # each list's share is added up in list order, so that sums don't depend on how rows arrive
     share = [F.sum(F.when(F.col("_list") == i, 1.0 / (k + F.col("rank")))).alias(f"_share_{i}") for i in range(len(lists))]
-    summed = every.groupBy(key).agg(*best, *share)
+    own = [F.min_by("_score", F.when(F.col("_list") == i, F.col("rank"))).alias(f"score_{i + 1}") for i in range(len(lists) * scores)]
+    summed = every.groupBy(key).agg(*best, *share, *own)
     score = reduce(lambda a, b: a + b, [F.coalesce(f"_share_{i}", F.lit(0.0)) for i in range(len(lists))])
-    return summed.select(key, score.alias("score"), *(f"rank_{i + 1}" for i in range(len(lists))))
+    return summed.select(key, score.alias("score"), *(f"rank_{i + 1}" for i in range(len(lists))), *(f"score_{i + 1}" for i in range(len(lists) * scores)))
 
 
 def order(lists: int) -> list:
@@ -44,11 +46,9 @@ def hybrid(vector: DataFrame | None, text: DataFrame | None, key: str, limit: in
         page = only.orderBy("rank").limit(limit)
         cols = {f"{name}_score": F.col("score"), f"{name}_rank": F.col("rank"), f"{other}_score": none["double"], f"{other}_rank": none["long"]}
         return page.select(key, "score", *(cols[c].alias(c) for c in ("vector_score", "vector_rank", "text_score", "text_rank")))
-    fused = rrf([vector, text], key, k)
-    page = fused.orderBy(*order(2), key).limit(limit)
-    scores = [x.select(key, F.col("score").alias(f"{n}_score")) for x, n in ((vector, "vector"), (text, "text"))]
-    out = page.join(scores[0], key, "left").join(scores[1], key, "left")
-    return out.select(key, "score", "vector_score", F.col("rank_1").alias("vector_rank"), "text_score", F.col("rank_2").alias("text_rank"))
+    page = rrf([vector, text], key, k, scores=True).orderBy(*order(2), key).limit(limit)
+    names = {"score_1": "vector_score", "rank_1": "vector_rank", "score_2": "text_score", "rank_2": "text_rank"}
+    return page.select(key, "score", *(F.col(c).alias(n) for c, n in names.items()))
 
 
 def with_metadata(hits: DataFrame, photos: DataFrame, key: str, photo_key: str, columns: list[str]) -> DataFrame:

@@ -1,15 +1,25 @@
-"""A stored full-text index with positions, and the search that reads the postings of a query's words alone.
+"""A stored full-text index that is kept up to date, and searches that read what can be among their results.
 
-The index is two tables below one path. `postings` has a row for each text and term: (key, dl, term, positions, lead).
-Files are ordered by term, below a folder for each hash of a term's first letter (`lead`), so words and prefixes alike
-prune folders and, by the terms' ranges, row groups. `totals` is one row: texts, their tokens, whether words are stemmed, and a null of the key's type.
+An index is a set of segments, each written once. A segment has its texts in order of their keys, in blocks of 1,024, and
+`postings` with a row for each term and block: keys, lengths, counts and positions of the block's texts that have the
+term, and two bounds, the greatest count and the least length. Files are ordered by term, below a folder for each hash of
+a term's first letter (`lead`), so words and prefixes prune folders and, by the terms' ranges, row groups.
 
-A search groups postings by text, which shuffles what the query's words have and nothing else; scores and grammar are
-those of fts.search. No term's postings need fit in one task. Keys must be unique; texts without tokens count in totals.
+Changed and deleted texts are marked in their old segments by bits, a row for each block that has any; a batch writes a
+segment of its own. Texts and tokens are sums over segments less what is marked, and so equal a new index's. Segments of about the same size are merged once there are `FAN` of them, without what is
+marked, so a text is rewritten a number of times that grows with the logarithm of the index's size. What an index consists
+of is a note of one commit (sources.snapshots): searches see a batch whole or not at all, and of two writers one goes again.
+
+A search first reads bounds and counts alone. They give each word's number of texts, the blocks that can hold a result at
+all (AND needs all its words in the block), and no less than the best score each block can have. The blocks with the
+highest bounds are scored; of the others those follow whose bound reaches the worst score that is kept. Results, ties and
+scores are those of fts.search over the texts. Keys must be unique; texts without tokens count in totals.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,65 +29,331 @@ from glimmer.functions import text as T
 from glimmer.functions.porter import stem as stem_word
 from glimmer.functions.porter import stemmed
 from glimmer.plans import fts
+from glimmer.sources.snapshots import Conflict, Snapshots, View
 
-LEADS = 64
+LEADS, BLOCK, FAN, WAVE, RETRIES = 64, 1024, 4, 64, 10
+#: Bits of a block's number below its segment's number.
+_SEGMENT_BITS = 43
 
 
 def _lead(term: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(term, 1, 1)), F.lit(LEADS)).cast("int")
 
 
-def write(texts: DataFrame, path: str, key: str, column: str = "text", stem: bool = False) -> str:
-    """Write the index of texts, over one that may lie there; the path is returned."""
-    tokens = T.tokens(F.col(column))
-    if stem:
-        tokens = stemmed(tokens)
-    base = texts.select(F.col(key).alias("key"), F.coalesce(tokens, F.array().cast("array<string>")).alias("t")).withColumn("dl", F.size("t"))
-    placed = base.select("key", "dl", F.posexplode("t").alias("at", "term")).withColumn("lead", _lead(F.col("term")))
-    # ordered ranges of (lead, term, key) also hold each group whole, so grouping needs no second shuffle
-    ranged = placed.repartitionByRange("lead", "term", "key")
-    rows = ranged.groupBy("lead", "term", "key", "dl").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    rows.sortWithinPartitions("lead", "term", "key").write.mode("overwrite").partitionBy("lead").parquet(f"{path}/postings")
-    totals = base.agg(F.count("*").alias("texts"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("tokens"))
-    totals.select("*", F.lit(stem).alias("stem"), F.lit(None).cast(base.schema["key"].dataType).alias("key")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
-    return path
+def _marked(bits: Column, ord_: Column) -> Column:
+    """Whether a text of a block is marked; bits may be null."""
+    word = F.element_at(bits, (F.shiftright(ord_, 6) + 1).cast("int"))
+    return F.coalesce(F.getbit(word, ord_.bitwiseAND(F.lit(63))) == 1, F.lit(False))
 
 
-def _starts(phrase: fts.Phrase, at: dict) -> Column:
-    """Where the phrase starts, from its words' positions."""
-    n = len(phrase.words)
-    first, *rest = [F.col(at[w, phrase.prefix and i == n - 1]) for i, w in enumerate(phrase.words)]
-    return F.filter(first, lambda p: reduce(lambda a, b: a & b, (F.array_contains(c, p + k) for k, c in enumerate(rest, 1)))) if rest else first
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda p: p - by)
 
 
-def search(spark: SparkSession, path: str, query: str, key: str, column: str = "text", limit: int | None = None, strict: bool = False, key_tokens: int = 1) -> DataFrame:
-    """(key, score): what fts.search gives for the texts that were indexed, words stemmed if the index's are."""
-    stored = spark.read.parquet(f"{path}/totals")
-    totals, kind = stored.first(), stored.schema["key"].dataType.simpleString()
-    postings = spark.read.schema(f"term string, key {kind}, dl int, positions array<int>, lead int").parquet(f"{path}/postings")
-    tree = fts.parse(query, strict) if strict or query.strip() else None
-    if tree is None:
-        return postings.where("false").select(F.col("key").alias(key), F.lit(0.0).alias("score"))
-    if totals.stem:
-        tree = fts.mapped(tree, stem_word)
-    leaves = fts.leaves(tree)
-    phrases = list(dict.fromkeys(p for x, _ in leaves for p in fts.phrases(x)))
-    mine = [p for p in phrases if p.column in (None, column)]
-    words = dict.fromkeys((w, p.prefix and i == len(p.words) - 1) for p in mine for i, w in enumerate(p.words))
-    at = {w: f"_w{i}" for i, w in enumerate(words)}
-
-    def is_word(word: str, prefix: bool) -> Column:
+class TextIndex:
+    """The index of that name in a store of tables, which may hold other tables too."""
+
+    def __init__(self, store: Snapshots, name: str = "index", view: View | None = None):
+        self.store, self.name, self.spark = store, name, store.spark
+        self.base = f"{store.root}/{name}"
+        self.view = view or store.view()
+
+    @property
+    def note(self) -> dict | None:
+        return self.view.notes.get(self.name)
+
+    def refreshed(self) -> TextIndex:
+        """The index as the last commit has it."""
+        return TextIndex(self.store, self.name)
+
+    # --- tables
+
+    def _texts(self, segments: list[dict]) -> DataFrame:
+        read = self.spark.read.schema(f"key {self.note['kind']}, dl int, t array<string>, block long, ord int")
+        return read.parquet(*(f"{self.base}/texts/segment={s['folder']}" for s in segments))
+
+    def _postings(self, segments: list[dict]) -> DataFrame:
+        kind = self.note["kind"]
+        schema = f"term string, block long, n int, max_tf int, min_dl int, ords array<int>, keys array<{kind}>, dls array<int>, tfs array<int>, positions array<array<int>>, segment string, lead int"
+        return self.spark.read.schema(schema).option("basePath", f"{self.base}/postings").parquet(*(f"{self.base}/postings/segment={s['folder']}" for s in segments))
+
+    def _marks(self, segments: list[dict]) -> DataFrame | None:
+        """(block, bits) of the blocks with marked texts; None if there are none."""
+        places = [s["marks"] for s in segments if s["marks"]]
+        return self.spark.read.schema("block long, bits array<long>").parquet(*(f"{self.base}/marks/{p}" for p in places)) if places else None
+
+    def _live(self, segments: list[dict]) -> DataFrame:
+        texts, marks = self._texts(segments), self._marks(segments)
+        return texts if marks is None else texts.join(marks, "block", "left").where(~_marked(F.col("bits"), F.col("ord"))).drop("bits")
+
+    # --- writing
+
+    def _segment(self, tokens: DataFrame, number: int) -> dict:
+        """Write a segment of (key, t) and describe it."""
+        folder = f"{number}-{uuid.uuid4().hex}"
+        ordered = tokens.select("key", F.size("t").alias("dl"), "t").repartitionByRange("key").sortWithinPartitions("key").withColumn("_n", F.monotonically_increasing_id())
+        at = F.col("_n")
+        placed = ordered.select("key", "dl", "t", (F.lit(number << _SEGMENT_BITS) + F.shiftright(at, BLOCK.bit_length() - 1)).alias("block"), at.bitwiseAND(F.lit(BLOCK - 1)).cast("int").alias("ord"))
+        place = f"{self.base}/texts/segment={folder}"
+        placed.write.parquet(place)
+        texts = self.spark.read.schema(placed.schema).parquet(place)
+        words = texts.select("block", "ord", "key", "dl", F.posexplode("t").alias("at", "term")).withColumn("lead", _lead(F.col("term")))
+        # ordered ranges of (lead, term, block) also hold each group whole, so grouping needs no second shuffle
+        ranged = words.repartitionByRange("lead", "term", "block")
+        each = ranged.groupBy("lead", "term", "block", "ord", "key", "dl").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+        rows = each.groupBy("lead", "term", "block").agg(F.sort_array(F.collect_list(F.struct("ord", "key", "dl", F.size("positions").alias("tf"), "positions"))).alias("p"))
+        columns = [F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.dl").alias("min_dl"), *(F.col(f"p.{c}").alias(n) for c, n in (("ord", "ords"), ("key", "keys"), ("dl", "dls"), ("tf", "tfs"), ("positions", "positions")))]
+        rows.select("lead", "term", "block", *columns).sortWithinPartitions("lead", "term", "block").write.partitionBy("lead").parquet(f"{self.base}/postings/segment={folder}")
+        total = texts.agg(F.count("*").alias("texts"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
+        return {"folder": folder, "number": number, "texts": total.texts, "tokens": total.tokens, "gone": 0, "gone_tokens": 0, "marks": None}
+
+    def rebuilt(self, texts: DataFrame, key: str, column: str = "text", stem: bool = False) -> dict:
+        """Write texts as the index's only segment; the note to commit."""
+        kind = texts.schema[key].dataType.simpleString()
+        return {"kind": kind, "stem": stem, "next": 1, "segments": self._filled(self._segment(self._tokens(texts, key, column, stem), 0))}
+
+    @staticmethod
+    def _filled(segment: dict) -> list[dict]:
+        return [segment] if segment["texts"] else []
+
+    @staticmethod
+    def _tokens(texts: DataFrame, key: str, column: str, stem: bool) -> DataFrame:
+        tokens = T.tokens(F.col(column))
+        if stem:
+            tokens = stemmed(tokens)
+        return texts.select(F.col(key).alias("key"), F.coalesce(tokens, F.array().cast("array<string>")).alias("t"))
+
+    def changed(self, texts: DataFrame | None, removed: DataFrame | None, key: str, column: str = "text") -> dict:
+        """Write a batch: texts that are new or replace those of their keys, and keys that are removed; the note to commit."""
+        note = self.note
+        segments = [dict(s) for s in note["segments"]]
+        keys = [x.select(F.col(key).alias("key")) for x in (texts, removed) if x is not None]
+        segments = self._without(segments, reduce(DataFrame.unionByName, keys).distinct())
+        if texts is not None:
+            segments += self._filled(self._segment(self._tokens(texts, key, column, note["stem"]), note["next"]))
+        return self._merged(note | {"next": note["next"] + 1, "segments": segments})
+
+    def _without(self, segments: list[dict], keys: DataFrame) -> list[dict]:
+        """The segments with the texts of these keys marked."""
+        if not segments:
+            return segments
+        hit = self._live(segments).select("key", "block", "ord", "dl").join(keys, "key", "left_semi").withColumn("number", F.shiftright("block", _SEGMENT_BITS)).persist()
+        try:
+            lost = {r.number: r for r in hit.groupBy("number").agg(F.count("*").alias("n"), F.sum("dl").alias("tokens")).collect()}  # a row a segment
+            touched = [s for s in segments if s["number"] in lost]
+            if not touched:
+                return segments
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("ord").bitwiseAND(F.lit(63)))
+            word = F.shiftright("ord", 6)
+            new = hit.groupBy("block").agg(F.array(*(F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")) for i in range(BLOCK // 64))).alias("bits"))
+            old = self._marks(touched)
+            both = new if old is None else new.unionByName(old)
+            folded = both.groupBy("block").agg(F.array(*(F.bit_or(F.get("bits", F.lit(i))) for i in range(BLOCK // 64))).alias("bits"))
+            place = uuid.uuid4().hex
+            folded.withColumn("number", F.shiftright("block", _SEGMENT_BITS)).write.partitionBy("number").parquet(f"{self.base}/marks/{place}")
+        finally:
+            hit.unpersist()
+        return [s | {"gone": s["gone"] + lost[s["number"]].n, "gone_tokens": s["gone_tokens"] + lost[s["number"]].tokens, "marks": f"{place}/number={s['number']}"} if s["number"] in lost else s for s in segments]
+
+    def _merged(self, note: dict) -> dict:
+        """The note with segments merged, as long as FAN of them are of about one size or one is marked for the most part."""
+        while True:
+            tiers: dict[int, list[dict]] = {}
+            for s in note["segments"]:
+                live = s["texts"] - s["gone"]
+                tiers.setdefault(int(math.log(max(live, 1), FAN)), []).append(s)
+            full = next((x for x in tiers.values() if len(x) >= FAN), None) or next(([s] for s in note["segments"] if 2 * s["gone"] > s["texts"]), None)
+            if full is None:
+                return note
+            reader = TextIndex(self.store, self.name, View(0, {}, {self.name: note}))
+            one = reader._segment(reader._live(full).select("key", "t"), note["next"])
+            rest = [s for s in note["segments"] if s not in full]
+            note = note | {"next": note["next"] + 1, "segments": rest + self._filled(one)}
+
+    def _committed(self, make) -> TextIndex:
+        """make(index) written and committed, again if another writer was first."""
+        for _ in range(RETRIES):
+            fresh = self.refreshed()
+            note = make(fresh)
+            try:
+                self.store.commit({}, {self.name: note}, since=fresh.view)
+            except Conflict:
+                continue
+            return self.refreshed()
+        raise Conflict(f"{self.name} changed {RETRIES} times meanwhile")
+
+    def rebuild(self, texts: DataFrame, key: str, column: str = "text", stem: bool = False) -> TextIndex:
+        return self._committed(lambda x: x.rebuilt(texts, key, column, stem))
+
+    def upsert(self, texts: DataFrame, key: str, column: str = "text", removed: DataFrame | None = None) -> TextIndex:
+        return self._committed(lambda x: x.changed(texts, removed, key, column))
+
+    def delete(self, keys: DataFrame, key: str) -> TextIndex:
+        return self._committed(lambda x: x.changed(None, keys, key))
+
+    def vacuum(self) -> int:
+        """Delete folders that the last commit doesn't use, so none may be in writing; how many went."""
+        fs, now, gone = self.store._fs(), self.refreshed(), 0
+        used = {f"segment={s['folder']}" for s in now.note["segments"]} | {s["marks"].split("/")[0] for s in now.note["segments"] if s["marks"]}
+        for kind in ("texts", "postings", "marks"):
+            place = self.store._path(self.name, kind)
+            for status in fs.listStatus(place) if fs.exists(place) else ():
+                if status.getPath().getName() not in used:
+                    gone += fs.delete(status.getPath(), True)
+        return gone
+
+    # --- searching
+
+    def search(self, query: str, key: str, column: str = "text", limit: int | None = None, strict: bool = False, key_tokens: int = 1, report: dict | None = None) -> DataFrame:
+        """(key, score): what fts.search gives for the index's texts, words stemmed if the index's are. report gets the
+        number of blocks that can hold results, and of those that were scored."""
+        return _Search(self, query, column, limit or 200, strict, key_tokens, {} if report is None else report).run(key)
+
+
+class _Search:
+    """One search: words of its phrases, bounds of blocks, and scores."""
+
+    def __init__(self, index: TextIndex, query: str, column: str, limit: int, strict: bool, key_tokens: int, report: dict):
+        note = index.note
+        if note is None:
+            raise LookupError(f"no index in {index.base}")
+        self.index, self.spark, self.segments = index, index.spark, note["segments"]
+        self.limit, self.key_tokens, self.kind, self.report = limit, key_tokens, note["kind"], report
+        self.texts = sum(s["texts"] - s["gone"] for s in self.segments)
+        self.average = sum(s["tokens"] - s["gone_tokens"] for s in self.segments) / max(self.texts, 1) + key_tokens
+        tree = fts.parse(query, strict) if strict or query.strip() else None
+        self.tree = fts.mapped(tree, stem_word) if tree is not None and note["stem"] else tree
+        self.leaves = fts.leaves(self.tree)
+        self.phrases = list(dict.fromkeys(p for x, _ in self.leaves for p in fts.phrases(x)))
+        self.mine = [p for p in self.phrases if p.column in (None, column)]
+        self.words = {w: i for i, w in enumerate(dict.fromkeys(w for p in self.mine for w in self._of(p)))}
+        self.names = {p: f"_f{i}" for i, p in enumerate(self.phrases)}
+        self.marks = index._marks(self.segments) if self.segments else None
+
+    @staticmethod
+    def _of(p: fts.Phrase) -> list[tuple[str, bool]]:
+        return [(w, p.prefix and i == len(p.words) - 1) for i, w in enumerate(p.words)]
+
+    @staticmethod
+    def _is(word: str, prefix: bool) -> Column:
         return F.col("term").startswith(word) if prefix else F.col("term") == word
 
-    wanted = reduce(lambda a, b: a | b, (is_word(*w) for w in words), F.lit(False))
-    heads = sorted({w[:1] for w, _ in words})
-    leads = [r[0] for r in spark.createDataFrame([(h,) for h in heads], "h string").select(_lead(F.col("h"))).distinct().collect()] if heads else []
-    found = postings.where(F.col("lead").isin(leads) & wanted)
-    gathered = [F.sort_array(F.flatten(F.collect_list(F.when(is_word(*w), F.col("positions"))))).alias(c) for w, c in at.items()]
-    by_text = found.groupBy("key", "dl").agg(*(gathered or [F.count("*")]))
-    names = {p: f"_f{i}" for i, p in enumerate(phrases)}
-    none = F.array().cast("array<int>")
-    held = by_text.select("key", (F.col("dl") + key_tokens).alias("_n"), *((_starts(p, at) if p in mine else none).alias(f"{c}_at") for p, c in names.items()))
-    counted = held.select("*", *(F.size(f"{c}_at").alias(c) for c in names.values()))
-    hits = fts.scored(counted, tree, names, lambda p: F.col(f"{names[p]}_at"), F.lit(totals.texts), F.lit(totals.tokens / max(totals.texts, 1) + key_tokens))
-    return hits.select(F.col("key").alias(key), "score").orderBy(F.col("score").desc(), key).limit(limit or 200)
+    def _rows(self, words) -> DataFrame:
+        """Postings of the words, with the marks of their blocks."""
+        heads = sorted({w[:1] for w, _ in words})
+        leads = [r[0] for r in self.spark.createDataFrame([(h,) for h in heads], "h string").select(_lead(F.col("h"))).distinct().collect()]
+        rows = self.index._postings(self.segments).where(F.col("lead").isin(leads) & reduce(lambda a, b: a | b, (self._is(*w) for w in words)))
+        return rows.withColumn("bits", F.lit(None).cast("array<long>")) if self.marks is None else rows.join(self.marks, "block", "left")
+
+    def _blocks(self, rows: DataFrame) -> DataFrame:
+        """For each block and word: texts that have it, the greatest count and the least length."""
+        live = F.col("n") if self.marks is None else F.when(F.col("bits").isNull(), F.col("n")).otherwise(F.size(F.filter("ords", lambda o: ~_marked(F.col("bits"), o))))
+        each = rows.select("term", "block", live.cast("long").alias("live"), "max_tf", "min_dl").where("live > 0")
+        columns = []
+        for w, i in self.words.items():
+            columns += [F.sum(F.when(self._is(*w), F.col("live"))).alias(f"df{i}"), F.sum(F.when(self._is(*w), F.col("max_tf"))).alias(f"tf{i}"), F.min(F.when(self._is(*w), F.col("min_dl"))).alias(f"dl{i}")]
+        return each.groupBy("block").agg(*columns)
+
+    def _has(self, p: fts.Phrase) -> Column:
+        """Whether a block has all words of a phrase."""
+        return reduce(lambda a, b: a & b, (F.col(f"df{self.words[w]}").isNotNull() for w in self._of(p))) if p in self.mine else F.lit(False)
+
+    def _possible(self, node) -> Column:
+        if isinstance(node, fts.Phrase):
+            return self._has(node)
+        if isinstance(node, fts.Near):
+            return reduce(lambda a, b: a & b, map(self._has, node.phrases))
+        left = self._possible(node.left)
+        return left if node.kind == "NOT" else left & self._possible(node.right) if node.kind == "AND" else left | self._possible(node.right)
+
+    def _bound(self, dfs: dict[fts.Phrase, int]) -> Column:
+        """No less than the score of any text of a block."""
+        total = F.lit(0.0)
+        for leaf, counts in self.leaves:
+            for p in fts.phrases(leaf) if counts else ():
+                if p not in self.mine:
+                    continue
+                at = [self.words[w] for w in self._of(p)]
+                tf = F.least(*(F.col(f"tf{i}") for i in at)) if len(at) > 1 else F.col(f"tf{at[0]}")
+                dl = F.greatest(*(F.col(f"dl{i}") for i in at)) if len(at) > 1 else F.col(f"dl{at[0]}")
+                f = tf.cast("double")
+                share = f * (fts.K1 + 1) / (f + fts.K1 * (1 - fts.B + fts.B * (dl + self.key_tokens) / self.average))
+                total = total + F.when(self._has(p), fts.idf(self.texts, dfs[p]) * share).otherwise(0.0)
+        return total * (1 + 1e-9)  # sums may be rounded otherwise than scores
+
+    def _counted(self, rows: DataFrame, phrases: list[fts.Phrase]) -> DataFrame:
+        """key, length and each phrase's occurrences, of the texts in these postings; with places where they are needed."""
+        placed = any(len(p.words) > 1 for p in phrases) or any(isinstance(x, fts.Near) for x, _ in self.leaves)
+        columns = ["ords", "keys", "dls", "tfs", *(["positions"] if placed else [])]
+        each = rows.select("block", "term", "bits", F.explode(F.arrays_zip(*columns)).alias("x")).where(~_marked(F.col("bits"), F.col("x.ords")))
+        flat = each.select("block", "term", F.col("x.ords").alias("ord"), F.col("x.keys").alias("key"), F.col("x.dls").alias("dl"), *(F.col(f"x.{c}").alias(c) for c in columns[3:]))
+        mine = [p for p in phrases if p in self.mine]
+        words = {w: i for w, i in self.words.items() if any(w in self._of(p) for p in mine)}
+        grouped = flat.groupBy("block", "ord", "key", "dl")
+        length = (F.col("dl") + self.key_tokens).alias("_n")
+        if not placed:
+            sums = grouped.agg(*(F.coalesce(F.sum(F.when(self._is(*w), F.col("tfs"))), F.lit(0)).alias(f"w{i}") for w, i in words.items()))
+            return sums.select("key", length, *((F.col(f"w{words[self._of(p)[0]]}") if p in mine else F.lit(0)).alias(self.names[p]) for p in phrases))
+        lists = grouped.agg(*(F.sort_array(F.flatten(F.collect_list(F.when(self._is(*w), F.col("positions"))))).alias(f"w{i}") for w, i in words.items()))
+
+        def starts(p: fts.Phrase) -> Column:
+            if p not in mine:
+                return F.array().cast("array<int>")
+            first, *rest = [F.col(f"w{words[w]}") for w in self._of(p)]
+            # each list is moved to where the phrase would start, and the shifted lists are intersected
+            return reduce(F.array_intersect, (_moved(c, k) for k, c in enumerate(rest, 1)), first)
+
+        found = lists.select("key", length, *(starts(p).alias(f"{self.names[p]}_at") for p in phrases))
+        return found.select("*", *(F.size(f"{self.names[p]}_at").alias(self.names[p]) for p in phrases))
+
+    def _hits(self, rows: DataFrame, dfs: dict[fts.Phrase, int]) -> DataFrame:
+        counted = self._counted(rows, self.phrases)
+        found = fts.scored(counted, self.tree, self.names, lambda p: F.col(f"{self.names[p]}_at"), (self.texts, self.average, {self.names[p]: n for p, n in dfs.items()}))
+        return found.select("key", "score").orderBy(F.col("score").desc(), "key").limit(self.limit)
+
+    def run(self, key: str) -> DataFrame:
+        schema = f"key {self.kind}, score double"
+        if self.tree is None or not self.mine or not self.segments:
+            return self.spark.createDataFrame([], schema).withColumnRenamed("key", key)
+        rows = self._rows(self.words)
+        blocks = self._blocks(rows).persist()
+        try:
+            single = [p for p in self.mine if len(p.words) == 1 and not p.prefix]
+            sums = blocks.agg(*(F.sum(f"df{self.words[self._of(p)[0]]}").alias(self.names[p]) for p in single), F.count("*").alias("_blocks")).first()
+            dfs = dict.fromkeys(self.phrases, 0) | {p: sums[self.names[p]] or 0 for p in single}
+            rest = [p for p in self.mine if p not in single]
+            if rest:  # how many texts have a phrase or a prefix is known from their places alone
+                whole = blocks.where(reduce(lambda a, b: a | b, map(self._has, rest))).select("block")
+                words = {w for p in rest for w in self._of(p)}
+                counted = self._counted(self._rows(words).join(whole, "block", "left_semi"), rest)
+                exact = counted.agg(*(F.count_if(F.col(self.names[p]) > 0).alias(self.names[p]) for p in rest)).first()
+                dfs |= {p: exact[self.names[p]] or 0 for p in rest}
+            bounds = blocks.where(self._possible(self.tree)).select("block", self._bound(dfs).alias("bound"))
+            head = bounds.orderBy(F.col("bound").desc(), "block").limit(WAVE + 1).collect()
+            first = [r.block for r in head[:WAVE]]
+            self.report |= {"blocks": len(head), "scored": len(first)}
+            if not first:
+                return self.spark.createDataFrame([], schema).withColumnRenamed("key", key)
+            best = self._hits(rows.where(F.col("block").isin(first)), dfs).collect()
+            found = self.spark.createDataFrame([tuple(r) for r in best], schema)
+            if len(head) > WAVE:
+                least = best[-1].score if len(best) == self.limit else 0.0
+                late = bounds.where((F.col("bound") >= least) & ~F.col("block").isin(first)).select("block")
+                self.report |= {"blocks": bounds.count(), "scored": len(first) + late.count()}
+                if self.report["scored"] > len(first):
+                    more = self._hits(rows.join(late, "block", "left_semi"), dfs)
+                    found = found.unionByName(self.spark.createDataFrame([tuple(r) for r in more.collect()], schema))
+        finally:
+            blocks.unpersist()
+        return found.select(F.col("key").alias(key), "score").orderBy(F.col("score").desc(), key).limit(self.limit)
+
+
+def write(texts: DataFrame, path: str, key: str, column: str = "text", stem: bool = False) -> str:
+    """Write the index of texts, over one that may lie there; the path is returned."""
+    TextIndex(Snapshots(texts.sparkSession, path)).rebuild(texts, key, column, stem)
+    return path
+
+
+def search(spark: SparkSession, path: str, query: str, key: str, column: str = "text", limit: int | None = None, strict: bool = False, key_tokens: int = 1) -> DataFrame:
+    """(key, score): what fts.search gives for the texts that the index has now."""
+    return TextIndex(Snapshots(spark, path)).search(query, key, column, limit, strict, key_tokens)

@@ -10,29 +10,76 @@ from pyspark.sql.types import StructType
 
 from glimmer import schemas
 from glimmer.operators import ingest, merge
-from glimmer.sources.snapshots import Snapshots
+from glimmer.plans.text_index import TextIndex
+from glimmer.sources.snapshots import Conflict, Snapshots, View
+
+#: So often a batch is applied anew because another writer was first.
+RETRIES = 5
+
+
+def _again(store: Snapshots, apply: Callable[[View], None]) -> None:
+    for attempt in range(RETRIES):
+        try:
+            return apply(store.view())
+        except Conflict:
+            if attempt == RETRIES - 1:
+                raise
+
+
+def _indexed(store: Snapshots, view: View, texts: DataFrame, new: DataFrame, removed: DataFrame) -> dict:
+    """The stemmed index's note after a batch: `new` full-text rows, and ids that have none any more."""
+    index = TextIndex(store, view=view)
+    if index.note is None:
+        return {index.name: index.rebuilt(texts, "photo_id", stem=True)}
+    if new.isEmpty():
+        new = None
+    return {index.name: index.changed(new, removed, "photo_id")}
 
 
 def merged(store: Snapshots, processed: DataFrame, now: float) -> None:
-    """Apply processed rows (schemas.PROCESSED) to photos, full-text rows, vectors and dead letters in one commit. Of a
-    path's versions in a batch the last by mtime and id counts. Applying a batch again changes nothing, so a batch that
-    is retried after a failure does no harm."""
+    """Apply processed rows (schemas.PROCESSED) to photos, full-text rows, their index, vectors and dead letters in one
+    commit. Of a path's versions in a batch the last by mtime and id counts. Applying a batch again changes nothing, so a
+    batch that is retried after a failure does no harm."""
+    _again(store, lambda view: _merged(store, view, processed, now))
+
+
+def described(store: Snapshots, captions: DataFrame, now: float) -> None:
+    """Merge (photo_id, caption, tags) into photos, full-text rows and their index in one commit; nulls keep what there
+    is, ids without a photo are left out, and an id must not repeat."""
+    from pyspark.sql import functions as F
+
+    def apply(view: View) -> None:
+        photos = store.read("photos", schemas.PHOTOS, view)
+        known = captions.join(photos.select("photo_id", "path", "mtime", "phash", "embedded_at"), "photo_id")
+        changes = known.withColumn("captioned_at", F.when(F.col("caption").isNotNull(), F.lit(now))).select(*schemas.PHOTOS.names)
+        photos = merge.upsert(photos, changes, "photo_id", schemas.OVERWRITTEN, schemas.MERGED)
+        texts = merge.refreshed_text(store.read("fts", schemas.FTS, view), photos, changes)
+        new = texts.join(changes.select("photo_id"), "photo_id", "left_semi")
+        store.commit({"photos": photos, "fts": texts}, _indexed(store, view, texts, new, changes.select("photo_id")), since=view)
+
+    _again(store, apply)
+
+
+def _merged(store: Snapshots, view: View, processed: DataFrame, now: float) -> None:
     from pyspark.sql import functions as F
 
     good, bad = ingest.dead_letters(processed)
     good = merge.last_of(good.withColumn("_s", F.struct("mtime", "photo_id")), "relative_path", "_s").select(*processed.columns)
-    photos, vectors = store.read("photos", schemas.PHOTOS), store.read("vectors", schemas.VECTORS)
-    letters = store.read("dead", schemas.PROCESSED)
+    photos, vectors = store.read("photos", schemas.PHOTOS, view), store.read("vectors", schemas.VECTORS, view)
+    letters = store.read("dead", schemas.PROCESSED, view)
     renamed = good.withColumnRenamed("relative_path", "path")
     old = ingest.superseded(renamed, photos, "path")
     changes = renamed.select("photo_id", "path", "mtime", F.lit(None).cast("string").alias("caption"), F.lit(None).cast("string").alias("tags"), "phash", F.lit(now).alias("embedded_at"), F.lit(None).cast("double").alias("captioned_at"))
     changes = merge.last_of(changes.withColumn("_s", F.col("mtime")), "photo_id", "_s")
     photos = merge.upsert(merge.deleted(photos, old, "photo_id"), changes, "photo_id", schemas.OVERWRITTEN, schemas.MERGED)
-    texts = merge.refreshed_text(merge.deleted(store.read("fts", schemas.FTS), old, "photo_id"), photos, changes)
+    texts = merge.refreshed_text(merge.deleted(store.read("fts", schemas.FTS, view), old, "photo_id"), photos, changes)
     new = good.where("embedding IS NOT NULL").select("photo_id", "embedding", "mtime")
     vectors = merge.replaced(merge.deleted(vectors, old, "photo_id"), merge.last_of(new, "photo_id", "mtime"), "photo_id")
     letters = merge.replaced(merge.deleted(letters, good.select("photo_id"), "photo_id"), bad.dropDuplicates(["photo_id"]), "photo_id")
-    store.commit({"photos": photos, "fts": texts, "vectors": vectors, "dead": letters})
+    fresh = texts.join(changes.select("photo_id"), "photo_id", "left_semi")
+    gone = old.unionByName(changes.select("photo_id")).distinct()
+    notes = _indexed(store, view, texts, fresh, gone)
+    store.commit({"photos": photos, "fts": texts, "vectors": vectors, "dead": letters}, notes, since=view)
 
 
 def stream(spark: SparkSession, source: str, schema: StructType, process: Callable[[DataFrame], DataFrame], store: Snapshots, checkpoint: str, clock: Callable[[], float]) -> StreamingQuery:
