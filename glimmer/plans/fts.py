@@ -226,12 +226,11 @@ def search(texts: DataFrame, query: str, key: str, column: str = "text", limit:
     return hits.select(key, "score").orderBy(F.col("score").desc(), key).limit(limit or 200)
 
 
-def scored(counted: DataFrame, tree, at: dict[Phrase, str], starts: Callable[[Phrase], Column], corpus: tuple[int, float, dict[str, int]] | None = None) -> DataFrame:
-    """The rows of counted that the tree holds for, with a BM25 score.
+def scored(counted: DataFrame, tree, at: dict[Phrase, str], starts: Callable[[Phrase], Column]) -> DataFrame:
+    """The rows of counted, all texts, that the tree holds for, with a BM25 score.
 
     counted has a length _n and, in the columns that `at` names, each phrase's number of occurrences; starts gives where
-    they are. corpus has the number of texts, their mean length, and each column's number of texts with an occurrence,
-    where counted isn't all of it.
+    they are.
     """
 
     def holds(node) -> Column:
@@ -243,25 +242,19 @@ def scored(counted: DataFrame, tree, at: dict[Phrase, str], starts: Callable[[Ph
         return left & right if node.kind == "AND" else left | right if node.kind == "OR" else left & ~right
 
     names = [at[p] for x, counts in leaves(tree) if counts for p in phrases(x)]
-    hits = counted.where(holds(tree))
-    if corpus is None:
-        stats = counted.agg(F.count("*").alias("_total"), F.avg("_n").alias("_avg"), *(F.count_if(F.col(c) > 0).alias(f"{c}_df") for c in dict.fromkeys(names)))
-        hits = hits.crossJoin(F.broadcast(stats))  # one row
+    stats = counted.agg(F.count("*").alias("_total"), F.avg("_n").alias("_avg"), *(F.count_if(F.col(c) > 0).alias(f"{c}_df") for c in dict.fromkeys(names)))
+    hits = counted.where(holds(tree)).crossJoin(F.broadcast(stats))  # one row
+    return hits.withColumn("score", F.expr(" + ".join(share(idf_sql("_total", f"{c}_df"), c, "_n", "_avg") for c in names)))
 
-    def weight(c: str) -> Column:
-        if corpus is not None:
-            return F.lit(idf(corpus[0], corpus[2][c]))
-        df = F.col(f"{c}_df")
-        value = F.log((F.col("_total") - df + 0.5) / (df + 0.5))
-        return F.when(value <= 0, F.lit(FLOOR)).otherwise(value)
 
-    mean = F.col("_avg") if corpus is None else F.lit(corpus[1])
+def idf_sql(total, df) -> str:
+    raw = f"ln(({total} - {df} + 0.5D) / ({df} + 0.5D))"
+    return f"IF({raw} <= 0, {FLOOR}D, {raw})"
 
-    def part(c: str) -> Column:
-        f = F.col(c).cast("double")
-        return weight(c) * (f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / mean)))
 
-    return hits.withColumn("score", reduce(lambda a, b: a + b, [part(c) for c in names]))
+def share(weight: str, count: str, length: str, mean) -> str:
+    """A phrase's part of a score, in SQL."""
+    return f"({weight} * (CAST({count} AS DOUBLE) * {K1 + 1}D / (CAST({count} AS DOUBLE) + {K1}D * ({1 - B}D + {B}D * {length} / {mean}))))"
 
 
 def mapped(tree, fn):

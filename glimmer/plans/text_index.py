@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import math
 import uuid
-from functools import reduce
+from functools import cached_property, reduce
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,11 @@ class TextIndex:
         schema = f"term string, block long, n int, max_tf int, min_dl int, ords array<int>, keys array<{kind}>, dls array<int>, tfs array<int>, positions array<array<int>>, segment string, lead int"
         return self.spark.read.schema(schema).option("basePath", f"{self.base}/postings").parquet(*(f"{self.base}/postings/segment={s['folder']}" for s in segments))
 
+    @cached_property
+    def postings(self) -> DataFrame:
+        """Of all segments; their files are listed once."""
+        return self._postings(self.note["segments"])
+
     def _marks(self, segments: list[dict]) -> DataFrame | None:
         """(block, bits) of the blocks with marked texts; None if there are none."""
         places = [s["marks"] for s in segments if s["marks"]]
@@ -207,13 +213,23 @@ class TextIndex:
     def search(self, query: str, key: str, column: str = "text", limit: int | None = None, strict: bool = False, key_tokens: int = 1, report: dict | None = None) -> DataFrame:
         """(key, score): what fts.search gives for the index's texts, words stemmed if the index's are. report gets the
         number of blocks that can hold results, and of those that were scored."""
-        return _Search(self, query, column, limit or 200, strict, key_tokens, {} if report is None else report).run(key)
+        return _Search(self, query, column, limit or 200, strict, key_tokens, report).run(key)
+
+
+def _lead_of(word: str) -> int:
+    """_lead of a word, whose hash is this one with a sign; LEADS is a power of 2, so signs don't matter."""
+    return xxhash.xxh64_intdigest(word[:1].encode(), 42) % LEADS
+
+
+def _all(tests) -> str:
+    return "(" + " AND ".join(tests) + ")"
 
 
 class _Search:
-    """One search: words of its phrases, bounds of blocks, and scores."""
+    """One search: words of its phrases, bounds of blocks, and scores. Words hold letters and digits alone, so they stand
+    in SQL as they are."""
 
-    def __init__(self, index: TextIndex, query: str, column: str, limit: int, strict: bool, key_tokens: int, report: dict):
+    def __init__(self, index: TextIndex, query: str, column: str, limit: int, strict: bool, key_tokens: int, report: dict | None):
         note = index.note
         if note is None:
             raise LookupError(f"no index in {index.base}")
@@ -227,7 +243,8 @@ class _Search:
         self.phrases = list(dict.fromkeys(p for x, _ in self.leaves for p in fts.phrases(x)))
         self.mine = [p for p in self.phrases if p.column in (None, column)]
         self.words = {w: i for i, w in enumerate(dict.fromkeys(w for p in self.mine for w in self._of(p)))}
-        self.names = {p: f"_f{i}" for i, p in enumerate(self.phrases)}
+        self.names = {p: f"f{i}" for i, p in enumerate(self.phrases)}
+        self.scored = [p for x, counts in self.leaves if counts for p in fts.phrases(x)]
         self.marks = index._marks(self.segments) if self.segments else None
 
     @staticmethod
@@ -235,117 +252,137 @@ class _Search:
         return [(w, p.prefix and i == len(p.words) - 1) for i, w in enumerate(p.words)]
 
     @staticmethod
-    def _is(word: str, prefix: bool) -> Column:
-        return F.col("term").startswith(word) if prefix else F.col("term") == word
+    def _is(word: str, prefix: bool) -> str:
+        return f"startswith(term, '{word}')" if prefix else f"term = '{word}'"
+
+    def _tree(self, node, leaf) -> str:
+        """The tree as SQL, leaf(node) for its leaves."""
+        if not isinstance(node, fts.Op):
+            return leaf(node)
+        left, right = self._tree(node.left, leaf), self._tree(node.right, leaf)
+        return f"({left} AND {right})" if node.kind == "AND" else f"({left} OR {right})" if node.kind == "OR" else f"({left} AND NOT {right})"
 
     def _rows(self, words) -> DataFrame:
         """Postings of the words, with the marks of their blocks."""
-        heads = sorted({w[:1] for w, _ in words})
-        leads = [r[0] for r in self.spark.createDataFrame([(h,) for h in heads], "h string").select(_lead(F.col("h"))).distinct().collect()]
-        rows = self.index._postings(self.segments).where(F.col("lead").isin(leads) & reduce(lambda a, b: a | b, (self._is(*w) for w in words)))
-        return rows.withColumn("bits", F.lit(None).cast("array<long>")) if self.marks is None else rows.join(self.marks, "block", "left")
+        leads = ", ".join(str(n) for n in sorted({_lead_of(w) for w, _ in words}))
+        rows = self.index.postings.where(f"lead IN ({leads}) AND ({' OR '.join(self._is(*w) for w in words)})")
+        return rows if self.marks is None else rows.join(self.marks, "block", "left")
+
+    @property
+    def _unmarked(self) -> str:
+        """Whether ord isn't marked."""
+        return "coalesce(getbit(element_at(bits, CAST(shiftright(ord, 6) + 1 AS INT)), ord & 63), 0) = 0"
 
     def _blocks(self, rows: DataFrame) -> DataFrame:
         """For each block and word: texts that have it, the greatest count and the least length."""
-        live = F.col("n") if self.marks is None else F.when(F.col("bits").isNull(), F.col("n")).otherwise(F.size(F.filter("ords", lambda o: ~_marked(F.col("bits"), o))))
-        each = rows.select("term", "block", live.cast("long").alias("live"), "max_tf", "min_dl").where("live > 0")
+        live = "n" if self.marks is None else f"IF(bits IS NULL, n, size(filter(ords, ord -> {self._unmarked})))"
+        each = rows.selectExpr("term", "block", f"CAST({live} AS BIGINT) AS live", "max_tf", "min_dl").where("live > 0")
         columns = []
         for w, i in self.words.items():
-            columns += [F.sum(F.when(self._is(*w), F.col("live"))).alias(f"df{i}"), F.sum(F.when(self._is(*w), F.col("max_tf"))).alias(f"tf{i}"), F.min(F.when(self._is(*w), F.col("min_dl"))).alias(f"dl{i}")]
+            columns += [F.expr(f"{fn}(CASE WHEN {self._is(*w)} THEN {c} END) AS {name}{i}") for fn, c, name in (("sum", "live", "df"), ("sum", "max_tf", "tf"), ("min", "min_dl", "dl"))]
         return each.groupBy("block").agg(*columns)
 
-    def _has(self, p: fts.Phrase) -> Column:
+    def _has(self, p: fts.Phrase) -> str:
         """Whether a block has all words of a phrase."""
-        return reduce(lambda a, b: a & b, (F.col(f"df{self.words[w]}").isNotNull() for w in self._of(p))) if p in self.mine else F.lit(False)
-
-    def _possible(self, node) -> Column:
-        if isinstance(node, fts.Phrase):
-            return self._has(node)
-        if isinstance(node, fts.Near):
-            return reduce(lambda a, b: a & b, map(self._has, node.phrases))
-        left = self._possible(node.left)
-        return left if node.kind == "NOT" else left & self._possible(node.right) if node.kind == "AND" else left | self._possible(node.right)
-
-    def _bound(self, dfs: dict[fts.Phrase, int]) -> Column:
-        """No less than the score of any text of a block."""
-        total = F.lit(0.0)
-        for leaf, counts in self.leaves:
-            for p in fts.phrases(leaf) if counts else ():
-                if p not in self.mine:
-                    continue
+        return _all(f"df{self.words[w]} IS NOT NULL" for w in self._of(p)) if p in self.mine else "false"
+
+    def _possible(self, node) -> str:
+        """Whether a block can have a text that the tree holds for; what is right of NOT can't tell."""
+        if isinstance(node, fts.Op) and node.kind == "NOT":
+            return self._possible(node.left)
+        if isinstance(node, fts.Op):
+            return f"({self._possible(node.left)} {node.kind} {self._possible(node.right)})"
+        return _all(map(self._has, fts.phrases(node)))
+
+    def _bound(self) -> str:
+        """No less than the score of any text of a block; sums may be rounded otherwise than scores."""
+        parts = []
+        for p in self.scored:
+            if p in self.mine:
                 at = [self.words[w] for w in self._of(p)]
-                tf = F.least(*(F.col(f"tf{i}") for i in at)) if len(at) > 1 else F.col(f"tf{at[0]}")
-                dl = F.greatest(*(F.col(f"dl{i}") for i in at)) if len(at) > 1 else F.col(f"dl{at[0]}")
-                f = tf.cast("double")
-                share = f * (fts.K1 + 1) / (f + fts.K1 * (1 - fts.B + fts.B * (dl + self.key_tokens) / self.average))
-                total = total + F.when(self._has(p), fts.idf(self.texts, dfs[p]) * share).otherwise(0.0)
-        return total * (1 + 1e-9)  # sums may be rounded otherwise than scores
+                tf, dl = (f"{fn}({', '.join(f'{c}{i}' for i in at)})" if len(at) > 1 else f"{c}{at[0]}" for fn, c in (("least", "tf"), ("greatest", "dl")))
+                part = fts.share(fts.idf_sql(f"{self.texts}L", f"{self.names[p]}_df"), tf, f"({dl} + {self.key_tokens})", f"{self.average!r}D")
+                parts.append(f"IF({self._has(p)}, {part}, 0D)")
+        return f"({' + '.join(parts) or '0D'}) * {1 + 1e-9!r}D"
 
     def _counted(self, rows: DataFrame, phrases: list[fts.Phrase]) -> DataFrame:
         """key, length and each phrase's occurrences, of the texts in these postings; with places where they are needed."""
         placed = any(len(p.words) > 1 for p in phrases) or any(isinstance(x, fts.Near) for x, _ in self.leaves)
-        columns = ["ords", "keys", "dls", "tfs", *(["positions"] if placed else [])]
-        each = rows.select("block", "term", "bits", F.explode(F.arrays_zip(*columns)).alias("x")).where(~_marked(F.col("bits"), F.col("x.ords")))
-        flat = each.select("block", "term", F.col("x.ords").alias("ord"), F.col("x.keys").alias("key"), F.col("x.dls").alias("dl"), *(F.col(f"x.{c}").alias(c) for c in columns[3:]))
+        value = "positions" if placed else "tfs"
+        flat = rows.selectExpr("block", "term", *([] if self.marks is None else ["bits"]), f"inline(arrays_zip(ords, keys, dls, {value})) AS (ord, key, dl, v)")
+        if self.marks is not None:
+            flat = flat.where(self._unmarked)
         mine = [p for p in phrases if p in self.mine]
         words = {w: i for w, i in self.words.items() if any(w in self._of(p) for p in mine)}
-        grouped = flat.groupBy("block", "ord", "key", "dl")
-        length = (F.col("dl") + self.key_tokens).alias("_n")
+        fold = "sort_array(flatten(collect_list(CASE WHEN {} THEN v END)))" if placed else "coalesce(sum(CASE WHEN {} THEN v END), 0L)"
+        lists = flat.groupBy("block", "ord", "key", "dl").agg(*(F.expr(f"{fold.format(self._is(*w))} AS w{i}") for w, i in words.items()))
+        length = f"dl + {self.key_tokens} AS length"
         if not placed:
-            sums = grouped.agg(*(F.coalesce(F.sum(F.when(self._is(*w), F.col("tfs"))), F.lit(0)).alias(f"w{i}") for w, i in words.items()))
-            return sums.select("key", length, *((F.col(f"w{words[self._of(p)[0]]}") if p in mine else F.lit(0)).alias(self.names[p]) for p in phrases))
-        lists = grouped.agg(*(F.sort_array(F.flatten(F.collect_list(F.when(self._is(*w), F.col("positions"))))).alias(f"w{i}") for w, i in words.items()))
+            return lists.selectExpr("key", length, *(f"{f'w{words[self._of(p)[0]]}' if p in mine else '0'} AS {self.names[p]}" for p in phrases))
 
-        def starts(p: fts.Phrase) -> Column:
+        def starts(p: fts.Phrase) -> str:
             if p not in mine:
-                return F.array().cast("array<int>")
-            first, *rest = [F.col(f"w{words[w]}") for w in self._of(p)]
+                return "CAST(array() AS ARRAY<INT>)"
+            first, *rest = [f"w{words[w]}" for w in self._of(p)]
             # each list is moved to where the phrase would start, and the shifted lists are intersected
-            return reduce(F.array_intersect, (_moved(c, k) for k, c in enumerate(rest, 1)), first)
+            return reduce(lambda a, b: f"array_intersect({a}, {b})", (f"transform({c}, x -> x - {k})" for k, c in enumerate(rest, 1)), first)
 
-        found = lists.select("key", length, *(starts(p).alias(f"{self.names[p]}_at") for p in phrases))
-        return found.select("*", *(F.size(f"{self.names[p]}_at").alias(self.names[p]) for p in phrases))
+        found = lists.selectExpr("key", length, *(f"{starts(p)} AS {self.names[p]}_at" for p in phrases))
+        return found.selectExpr("*", *(f"size({self.names[p]}_at) AS {self.names[p]}" for p in phrases))
+
+    def _leaf(self, node) -> str:
+        tests = [f"{self.names[p]} > 0" for p in fts.phrases(node)]
+        if isinstance(node, fts.Near):
+            first, *rest = node.phrases
+            n, d = len(first.words), node.distance
+            near = [f"exists({self.names[p]}_at, j -> j - i - {n} <= {d} AND i - j - {len(p.words)} <= {d} AND i <> j)" for p in rest]
+            tests += [f"exists({self.names[first]}_at, i -> {x})" for x in near]
+        return _all(tests)
 
     def _hits(self, rows: DataFrame, dfs: dict[fts.Phrase, int]) -> DataFrame:
-        counted = self._counted(rows, self.phrases)
-        found = fts.scored(counted, self.tree, self.names, lambda p: F.col(f"{self.names[p]}_at"), (self.texts, self.average, {self.names[p]: n for p, n in dfs.items()}))
-        return found.select("key", "score").orderBy(F.col("score").desc(), "key").limit(self.limit)
+        parts = [fts.share(f"{fts.idf(self.texts, dfs[p])!r}D", self.names[p], "length", f"{self.average!r}D") for p in self.scored]
+        found = self._counted(rows, self.phrases).where(self._tree(self.tree, self._leaf)).selectExpr("key", f"{' + '.join(parts)} AS score")
+        return found.orderBy(F.col("score").desc(), "key").limit(self.limit)
 
     def run(self, key: str) -> DataFrame:
-        schema = f"key {self.kind}, score double"
         if self.tree is None or not self.mine or not self.segments:
-            return self.spark.createDataFrame([], schema).withColumnRenamed("key", key)
+            return self._none(key)
         rows = self._rows(self.words)
-        blocks = self._blocks(rows).persist()
-        try:
-            single = [p for p in self.mine if len(p.words) == 1 and not p.prefix]
-            sums = blocks.agg(*(F.sum(f"df{self.words[self._of(p)[0]]}").alias(self.names[p]) for p in single), F.count("*").alias("_blocks")).first()
-            dfs = dict.fromkeys(self.phrases, 0) | {p: sums[self.names[p]] or 0 for p in single}
-            rest = [p for p in self.mine if p not in single]
-            if rest:  # how many texts have a phrase or a prefix is known from their places alone
-                whole = blocks.where(reduce(lambda a, b: a | b, map(self._has, rest))).select("block")
-                words = {w for p in rest for w in self._of(p)}
-                counted = self._counted(self._rows(words).join(whole, "block", "left_semi"), rest)
-                exact = counted.agg(*(F.count_if(F.col(self.names[p]) > 0).alias(self.names[p]) for p in rest)).first()
-                dfs |= {p: exact[self.names[p]] or 0 for p in rest}
-            bounds = blocks.where(self._possible(self.tree)).select("block", self._bound(dfs).alias("bound"))
-            head = bounds.orderBy(F.col("bound").desc(), "block").limit(WAVE + 1).collect()
-            first = [r.block for r in head[:WAVE]]
-            self.report |= {"blocks": len(head), "scored": len(first)}
-            if not first:
-                return self.spark.createDataFrame([], schema).withColumnRenamed("key", key)
-            best = self._hits(rows.where(F.col("block").isin(first)), dfs).collect()
-            found = self.spark.createDataFrame([tuple(r) for r in best], schema)
-            if len(head) > WAVE:
-                least = best[-1].score if len(best) == self.limit else 0.0
-                late = bounds.where((F.col("bound") >= least) & ~F.col("block").isin(first)).select("block")
-                self.report |= {"blocks": bounds.count(), "scored": len(first) + late.count()}
-                if self.report["scored"] > len(first):
-                    more = self._hits(rows.join(late, "block", "left_semi"), dfs)
-                    found = found.unionByName(self.spark.createDataFrame([tuple(r) for r in more.collect()], schema))
-        finally:
-            blocks.unpersist()
-        return found.select(F.col("key").alias(key), "score").orderBy(F.col("score").desc(), key).limit(self.limit)
+        blocks = self._blocks(rows)
+        # how many texts have a phrase or a prefix is known from their places alone
+        complex_ = [p for p in self.mine if len(p.words) > 1 or p.prefix]
+        exact = self._frequencies(blocks, complex_) if complex_ else {}
+        sums = [f"{exact[p]}L AS {self.names[p]}_df" if p in exact else f"coalesce(sum(df{self.words[self._of(p)[0]]}), 0L) AS {self.names[p]}_df" for p in self.mine]
+        stats = blocks.agg(*map(F.expr, sums))
+        bounds = blocks.crossJoin(F.broadcast(stats)).where(self._possible(self.tree)).withColumn("bound", F.expr(self._bound()))  # stats is one row
+        head = bounds.orderBy(F.col("bound").desc(), "block").limit(WAVE + 1).collect()
+        if self.report is not None:
+            self.report |= {"blocks": len(head), "scored": min(len(head), WAVE)}
+        if not head:
+            return self._none(key)
+        dfs = dict.fromkeys(self.phrases, 0) | {p: head[0][f"{self.names[p]}_df"] for p in self.mine}
+        first = ", ".join(str(r.block) for r in head[:WAVE])
+        hits = self._hits(rows.where(f"block IN ({first})"), dfs)
+        if len(head) > WAVE:
+            best = hits.collect()  # at most `limit` rows
+            least = best[-1].score if len(best) == self.limit else 0.0
+            late = bounds.where(f"bound >= {least!r}D AND block NOT IN ({first})").select("block")
+            if self.report is not None:
+                self.report |= {"blocks": bounds.count(), "scored": WAVE + late.count()}
+            hits = self.spark.createDataFrame([tuple(r) for r in best], f"key {self.kind}, score double")
+            if head[WAVE].bound >= least:
+                hits = hits.unionByName(self._hits(rows.join(late, "block", "left_semi"), dfs)).orderBy(F.col("score").desc(), "key").limit(self.limit)
+        return hits.withColumnRenamed("key", key)
+
+    def _none(self, key: str) -> DataFrame:
+        return self.spark.createDataFrame([], f"key {self.kind}, score double").withColumnRenamed("key", key)
+
+    def _frequencies(self, blocks: DataFrame, phrases: list[fts.Phrase]) -> dict[fts.Phrase, int]:
+        """How many texts have each of the phrases; blocks without one's words aren't read."""
+        whole = blocks.where(" OR ".join(map(self._has, phrases))).select("block")
+        rows = self._rows({w for p in phrases for w in self._of(p)}).join(whole, "block", "left_semi")
+        counts = self._counted(rows, phrases).agg(*(F.expr(f"count_if({self.names[p]} > 0) AS {self.names[p]}") for p in phrases)).first()
+        return {p: counts[self.names[p]] for p in phrases}
 
 
 def write(texts: DataFrame, path: str, key: str, column: str = "text", stem: bool = False) -> str:
