@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -49,13 +50,89 @@ def fitted_size(width: int, height: int, target: int) -> tuple[int, int]:
     return (target, int(height * target / width)) if width >= height else (int(width * target / height), target)
 
 
+def jpeg_end(data: bytes, at: int) -> int | None:
+    """Where the JPEG that starts at `at` ends, by its segments; None if it is cut off. What lies inside a segment, such as
+    a thumbnail with an end marker of its own, is stepped over."""
+    at += 2
+    while at + 4 <= len(data) or data[at : at + 2] == b"\xff\xd9":
+        if data[at] != 0xFF:
+            return None
+        kind = data[at + 1]
+        if kind == 0xD9:
+            return at + 2
+        if kind == 0xFF:  # padding
+            at += 1
+        elif kind == 0x01 or 0xD0 <= kind <= 0xD7:
+            at += 2
+        else:
+            at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+            if kind == 0xDA:  # coded data, up to a marker that isn't a stuffed byte or a restart
+                found = _AFTER_SCAN.search(data, at)
+                if found is None:
+                    return None
+                at = found.start()
+    return None
+
+
+_AFTER_SCAN = re.compile(rb"\xff+[^\x00\xd0-\xd7\xff]", re.S)
+
+
+def _directories(data: bytes) -> Iterator[dict[int, list[int]]]:
+    """Tags with integer values of all directories of a TIFF container, sub-directories included; each once."""
+    order = {b"II": "little", b"MM": "big"}.get(data[:2])
+    if order is None or len(data) < 8:
+        return
+    waiting, seen = [int.from_bytes(data[4:8], order)], set()
+    while waiting:
+        at = waiting.pop(0)
+        if at in seen or not 8 <= at <= len(data) - 2:
+            continue
+        seen.add(at)
+        n = int.from_bytes(data[at : at + 2], order)
+        tags: dict[int, list[int]] = {}
+        for entry in range(at + 2, min(at + 2 + 12 * n, len(data) - 11), 12):
+            tag, kind, count = (int.from_bytes(data[entry + i : entry + i + w], order) for i, w in ((0, 2), (2, 2), (4, 4)))
+            width = {3: 2, 4: 4, 13: 4}.get(kind)
+            if width is None or count * width > len(data):
+                continue
+            start = entry + 8 if count * width <= 4 else int.from_bytes(data[entry + 8 : entry + 12], order)
+            tags[tag] = [int.from_bytes(data[start + i : start + i + width], order) for i in range(0, count * width, width)]
+        yield tags
+        waiting += tags.get(_SUB, []) + tags.get(_EXIF, []) + [int.from_bytes(data[at + 2 + 12 * n : at + 6 + 12 * n], order)]
+
+
+#: Fixed values of the container formats: tags of sub-directories and of where a JPEG or a strip lies, and a maker's header.
+_SUB, _EXIF, _JPEG, _JPEG_SIZE, _STRIPS, _STRIP_SIZES = 0x014A, 0x8769, 0x0201, 0x0202, 0x0111, 0x0117
+_RAF, _RAF_JPEG = b"FUJIFILMCCD-RAW", 84
+
+
 def embedded_preview(data: bytes) -> bytes | None:
-    """The largest JPEG inside a raw file, by its markers."""
-    best, at = b"", data.find(b"\xff\xd8\xff")
+    """The largest JPEG inside a raw file: those that its directories name, else, or where they name none that is whole,
+    those found by their first marker and followed segment by segment."""
+    places: list[tuple[int, int]] = []
+    if data.startswith(_RAF):
+        places.append(tuple(int.from_bytes(data[i : i + 4], "big") for i in (_RAF_JPEG, _RAF_JPEG + 4)))
+    for tags in _directories(data):
+        for where, sizes in ((_JPEG, _JPEG_SIZE), (_STRIPS, _STRIP_SIZES)):
+            if len(tags.get(where, ())) == len(tags.get(sizes, ())) == 1:
+                places.append((tags[where][0], tags[sizes][0]))
+    best = b""
+    for at, size in places:
+        if data[at : at + 3] == b"\xff\xd8\xff" and (end := jpeg_end(data, at)) is not None and end <= at + size:
+            best = max(best, data[at:end], key=len)
+    at = -1 if best else data.find(b"\xff\xd8\xff")
     while at >= 0:
-        end = data.find(b"\xff\xd9", at)
-        if end < 0:
-            break
+        end = jpeg_end(data, at)
+        if end is not None:
+            best = max(best, data[at:end], key=len)
+        at = data.find(b"\xff\xd8\xff", at + 3 if end is None else end)
+    return best or _between_markers(data)
+
+
+def _between_markers(data: bytes) -> bytes | None:
+    """Of a file without a JPEG that is whole, the longest piece from a first marker to the next last one."""
+    best, at = b"", data.find(b"\xff\xd8\xff")
+    while at >= 0 and (end := data.find(b"\xff\xd9", at)) >= 0:
         best = max(best, data[at : end + 2], key=len)
         at = data.find(b"\xff\xd8\xff", at + 3)
     return best or None

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from glimmer.functions import hashes, paths
 from glimmer.functions import text as T
 from glimmer.operators import duplicates, fusion, ingest, merge, metadata, vector
+from glimmer.operators.vector_store import VectorStore
 from glimmer.plans import fts
 from glimmer.plans.text_index import TextIndex
+from glimmer.sources.parts import Keyed
 from glimmer.sources.scratch import scratch_path
 from glimmer.sources.snapshots import Snapshots
 
@@ -129,6 +131,40 @@ def zero_vector_cosine(spark, sf):
     return v.select("vec_id", F.round(vector.cosine(zeroed, q), 6).alias("score"))
 
 
+_stores: dict[tuple[str, str, str], VectorStore] = {}
+
+
+def _store(spark: SparkSession, sf: str, metric: str, changed: bool = False) -> VectorStore:
+    """The stored clusters of embeddings, written once a session; changed: after a batch of negated vectors and deletes."""
+    place = spark.sparkContext.applicationId, sf, f"{metric} {changed}"
+    if place not in _stores:
+        v = vec(spark, sf)
+        made = VectorStore(Snapshots(spark, scratch_path(spark, "vector_store"))).rebuild(v, "vec_id", metric=metric)
+        if changed:
+            new = v.where("label < 3").select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding"))
+            made = made.upsert(new, "vec_id", removed=v.where("label = 9").select("vec_id"))
+        _stores[place] = made
+    return _stores[place]
+
+
+def _pruned(metric: str, distance: str, changed: bool = False) -> Query:
+    def run(spark, sf):
+        q = vector.stored_vector(vec(spark, sf), "vec_id", 0)
+        return rounded(_store(spark, sf, metric, changed).topk(q, "vec_id", distance, limit=50), "score")
+
+    return run
+
+
+for _name, _metric, _distance, _score, _down in (("cosine", "Cosine", "Cosine", COS, True), ("dot", "Euclid", "Dot", DOT, True), ("l2", "Euclid", "Euclid", L2, False)):
+    QUERIES[f"stored_vector_{_name}"], ORACLES[f"stored_vector_{_name}"] = _pruned(_metric, _distance), _topk_sql(_score, _down)
+QUERIES["stored_vector_changed"] = _pruned("Euclid", "Euclid", True)
+ORACLES["stored_vector_changed"] = f"""
+WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
+e AS (SELECT vec_id, CASE WHEN label < 3 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings WHERE label <> 9),
+p AS (SELECT vec_id, {L2} AS raw FROM e, q ORDER BY raw, vec_id LIMIT 50)
+SELECT vec_id, round(raw, 6) AS score, row_number() OVER (ORDER BY raw, vec_id) AS rank FROM p"""
+
+
 @query("""
 WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS raw FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, vec_id) AS rank FROM s)
@@ -470,6 +506,16 @@ def upsert_merge(spark, sf):
     return _upserted(spark, sf)[0]
 
 
+@query(f"{_MERGED} SELECT * FROM u")
+def bucket_upsert(spark, sf):
+    """The same through a table in buckets by key: older changes, then newer ones, each batch writing its buckets."""
+    old, new = _halves(spark, sf)
+    store = Snapshots(spark, scratch_path(spark, "buckets"))
+    table_ = Keyed(store, "photos", old.schema, "photo_id", 16)
+    settings = (["path", "mtime"], ["caption", "tags"])
+    return table_.upsert(old, *settings).upsert(merge.folded(new, "photo_id", "event_id", *settings), *settings).rows()
+
+
 @query(f"{_MERGED} SELECT * FROM u WHERE photo_id NOT IN (SELECT {_KEY} FROM events WHERE value < 5)")
 def delete_photos(spark, sf):
     gone = changes(spark, sf).where("mtime < 5").select("photo_id")
