@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -40,15 +41,27 @@ def hamming(a: Column, b: Column, digits: int = 64) -> Column:
     return F.when((F.length(a) == digits) & (F.length(b) == digits), total)
 
 
+def _bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value), with value computed once however often fn uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def median_bits(values: Column) -> Column:
     """A string of 0 and 1: which values exceed the array's median."""
-    ordered = F.sort_array(values)
-    n = F.size(values)
-    middle = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
-    return F.array_join(F.transform(values, lambda x: F.when(x > middle, F.lit("1")).otherwise(F.lit("0"))), "")
+
+    def over(ordered: Column) -> Column:
+        n = F.size(ordered)
+        middle = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+        return F.array_join(F.transform(values, lambda x: F.when(x > middle, F.lit("1")).otherwise(F.lit("0"))), "")
+
+    return _bound(F.sort_array(values), over)
 
 
 def bits_to_hex(bits: Column, size: int) -> Column:
     """A bit string of fixed size (a multiple of 4) as hex digits."""
-    parts = [F.lpad(F.lower(F.conv(F.substring(bits, i, 32), 2, 16)), min(32, size - i + 1) // 4, "0") for i in range(1, size + 1, 32)]
-    return F.concat(*parts)
+
+    def digits(b: Column) -> Column:
+        parts = [F.lpad(F.lower(F.conv(F.substring(b, i, 32), 2, 16)), min(32, size - i + 1) // 4, "0") for i in range(1, size + 1, 32)]
+        return F.concat(*parts)
+
+    return _bound(bits, digits)

@@ -4,34 +4,89 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.functions.hashes import chunks
+
+#: Hashes in a packed row, and rows of a comparison that are in memory at a time.
+PACK, SLICE = 4096, 256
 
 
 def _near_hashes(rows: DataFrame, key: str, phash: str, threshold: int, digits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, h) of rows with a hash, (h) different hashes, and (x, y, distance) of those x < y at most threshold bits apart.
 
-    Of threshold + 1 bands of a hash, such a pair has one in common, so the join is on (band, value).
+    Of threshold + 1 bands of a hash, such a pair has one in common. Each task packs its hashes by band and value;
+    packs of a value meet in a join, pack by pack, and are compared as whole arrays, so that a candidate pair
+    costs an exclusive or and never is a row. A pair counts in the first band that it has in common.
     """
-    clean = rows.where(F.length(phash) == digits).select(F.col(key).alias("id"), F.lower(phash).alias("h"))
-    bits, bands = 4 * digits, min(threshold + 1, 4 * digits)
-    edges = [bits * i // bands for i in range(bands + 1)]
-    as_bits = F.concat(*(F.lpad(F.conv(F.substring("h", i, 8), 16, 2), 4 * min(8, digits - i + 1), "0") for i in range(1, digits + 1, 8)))
-    # each hash is taken apart once, into integers to compare and bands to join on
+    clean = rows.where(F.length(phash) == digits).select(F.col(key).alias("id"), F.lower(phash).alias("h")).where(r"h RLIKE '^[0-9a-f]*$'")
     hashes = clean.select("h").distinct()
-    values = F.array(*chunks(F.col("h"), digits))
-    cut = F.array(*(F.struct(F.lit(i).alias("i"), F.substring("_b", edges[i] + 1, edges[i + 1] - edges[i]).alias("v")) for i in range(bands)))
-    banded = hashes.select("h", values.alias("c"), as_bits.alias("_b")).select("h", *(F.get("c", F.lit(i)).alias(f"c{i}") for i in range(-(-digits // 15))), F.explode(cut).alias("band"))
-    names = [c for c in banded.columns if c not in ("h", "band")]
-    left, right = (banded.select(F.col("h").alias(n), "band", *(F.col(c).alias(f"{n}_{c}") for c in names)) for n in ("x", "y"))
-    distance = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in names])
-    near = left.join(right, "band").where("x < y").withColumn("distance", distance).where(F.col("distance") <= threshold)
-    return clean, hashes, near.select("x", "y", F.col("distance").cast("long").alias("distance")).distinct()
+    bits, bands = 4 * digits, min(threshold + 1, 4 * digits)
+    edges, width = [bits * i // bands for i in range(bands + 1)], -(-digits // 16) * 8
+    packs_schema = pa.schema([("band", pa.int32()), ("value", pa.binary()), ("pack", pa.int64()), ("hs", pa.binary())])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for b in _gathered(batches):
+            # from the first bit on, filled up to whole words
+            raw = np.frombuffer(b"".join(bytes.fromhex(h.ljust(2 * width, "0")) for h in b), np.uint8).reshape(-1, width)
+            cut, out = np.unpackbits(raw, axis=1), []
+            for band in range(bands):
+                values = np.packbits(cut[:, edges[band] : edges[band + 1]], axis=1)
+                order = np.lexsort(values.T[::-1])
+                starts = np.flatnonzero(np.concatenate([[True], (values[order][1:] != values[order][:-1]).any(axis=1)]))
+                for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+                    for at in range(start, end, PACK):
+                        out.append((band, values[order[start]].tobytes(), number + len(out), raw[order[at : min(end, at + PACK)]].tobytes()))
+            number += len(out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), packs_schema, strict=True)], schema=packs_schema)
+
+    near_schema = pa.schema([("x", pa.string()), ("y", pa.string()), ("distance", pa.int64())])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for band, one, left, two, right in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                p, q = (np.frombuffer(x, np.uint64).reshape(-1, width // 8) for x in (left, right))
+                for at in range(0, len(p), SLICE):
+                    part, distance = p[at : at + SLICE], 0
+                    for w in range(width // 8):
+                        distance = distance + np.bitwise_count(part[:, w, None] ^ q[None, :, w]).astype(np.int16)
+                    i, j = np.nonzero(distance <= threshold)
+                    if one == two:
+                        i, j = i[i + at < j], j[i + at < j]
+                    if not len(i):
+                        continue
+                    differ = np.unpackbits((part[i] ^ q[j]).view(np.uint8), axis=1)
+                    first = np.ones(len(i), bool)
+                    for k in range(band):
+                        first &= differ[:, edges[k] : edges[k + 1]].any(axis=1)
+                    i, j = i[first], j[first]
+                    names = [[x.tobytes().hex()[:digits] for x in side] for side in (part[i], q[j])]
+                    pairs = [(min(x, y), max(x, y), int(d)) for x, y, d in zip(*names, distance[i, j], strict=True)]
+                    if pairs:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pairs, strict=True), near_schema, strict=True)], schema=near_schema)
+
+    packs = hashes.mapInArrow(packed, "band int, value binary, pack long, hs binary")
+    left, right = (packs.select("band", "value", F.col("pack").alias(f"{n}_pack"), F.col("hs").alias(f"{n}_hs")) for n in ("x", "y"))
+    met = left.join(right, ["band", "value"]).where("x_pack <= y_pack").where(f"x_pack < y_pack OR length(x_hs) > {width}")
+    near = met.select("band", "x_pack", "x_hs", "y_pack", "y_hs").mapInArrow(compared, "x string, y string, distance long")
+    return clean, hashes, near
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int = 100_000) -> Iterator[list[str]]:
+    """Values of the first column in lists of about size."""
+    held: list[str] = []
+    for b in batches:
+        held += b.column(0).to_pylist()
+        if len(held) >= size:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def similar_pairs(rows: DataFrame, key: str, phash: str, threshold: int = 10, digits: int = 64) -> DataFrame:
