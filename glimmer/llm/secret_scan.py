@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -75,21 +75,26 @@ def parts(run: bytes) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for m in _PADDED.finditer(run):
         if infer(m[0]):
-            found = [m.span()]
-        else:
-            # a part's separators may be symbols of its own alphabet, so cuts at the other alphabet's come first
-            split = [[x.span() for x in p.finditer(run, *m.span())] for p in _SEPARATORS]
-            found = sorted({x for s in split[:2] for x in s if infer(run[x[0] : x[1]])})
-            found += [x for x in split[2] if not any(a < x[1] and x[0] < b and b - a >= LEAST for a, b in found)]
-            kept: list[tuple[int, int]] = []
-            for a, b in sorted(found, key=lambda x: (x[0] - x[1], x[0])):
-                if not any(s < b and a < e for s, e in kept):
-                    kept.append((a, b))
-            found = kept
-        out += [x for x in found if x[1] - x[0] >= LEAST]
+            out += [m.span()] if len(m[0]) >= LEAST else []
+            continue
+        # a part's separators may be symbols of its own alphabet, so cuts at the other alphabet's come first
+        split = [[x.span() for x in p.finditer(run, *m.span()) if len(x[0]) >= LEAST] for p in _SEPARATORS]
+        first, second = ([x for x in s if infer(run[x[0] : x[1]])] for s in split[:2])
+        rest = [x for x in split[2] if not _meets(first, x) and not _meets(second, x)]
+        kept: list[tuple[int, int]] = []  # longest first, in order of their places
+        for x in sorted({*first, *second, *rest}, key=lambda x: (x[0] - x[1], x[0])):
+            if not _meets(kept, x):
+                insort(kept, x)
+        out += kept
     return sorted(out)
 
 
+def _meets(spans: list[tuple[int, int]], x: tuple[int, int]) -> bool:
+    """Whether x overlaps one of some sorted spans that don't overlap each other."""
+    before = bisect_left(spans, (x[1],))
+    return before > 0 and spans[before - 1][1] > x[0]
+
+
 def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 

@@ -349,6 +349,41 @@ def test_randomness_is_uniform_for_random_strings():
     assert secret_scan.scan("ſecret = abcdefgh")[0] == []
 
 
+def parts_by_comparison(run):
+    """The definition of a run's parts, every one compared with all others."""
+    out = []
+    for m in re.finditer(rb"[^=]+(?:=+\Z)?", run):
+        if secret_scan.infer(m[0]):
+            found = [m.span()]
+        else:
+            split = [[x.span() for x in re.compile(p).finditer(run, *m.span())] for p in (rb"[^/+]+", rb"[^_-]+", rb"[^/+_-]+")]
+            found = sorted({x for s in split[:2] for x in s if secret_scan.infer(run[x[0] : x[1]])})
+            found += [x for x in split[2] if not any(a < x[1] and x[0] < b and b - a >= secret_scan.LEAST for a, b in found)]
+            kept = []
+            for a, b in sorted(found, key=lambda x: (x[0] - x[1], x[0])):
+                if not any(s < b and a < e for s, e in kept):
+                    kept.append((a, b))
+            found = kept
+        out += [x for x in found if x[1] - x[0] >= secret_scan.LEAST]
+    return sorted(out)
+
+
+def test_parts_of_runs():
+    r = random.Random(8)
+    for _ in range(400):
+        run = "".join(r.choice(["/", "+", "-", "_", "=", "a" * r.randrange(30), "Zz9" * r.randrange(9)]) for _ in range(r.randrange(40))).encode()
+        assert secret_scan.parts(run) == parts_by_comparison(run)
+
+
+def test_a_long_run_takes_linear_time():
+    import time
+
+    r, began = random.Random(9), time.perf_counter()
+    for text in ("".join(r.choice(string.ascii_letters + "/+-_") for _ in range(1_000_000)), ("a" * 25 + "/" + "B" * 22 + "_") * 20_000):
+        secret_scan.scan(text)
+    assert time.perf_counter() - began < 40
+
+
 # --- 9
 
 
