@@ -1,8 +1,10 @@
 """WARC archives: a writer that turns repeated payloads into revisit records, and a reader that salvages.
 
-Every record is a gzip member of its own. The reader checks each member, the record's header and length, and the
-payload's digest. After a failed check it looks for the next member (or, in a plain archive, the next version
-line) that starts a valid record, goes on from there and logs the bytes between as a quarantined gap.
+Every record that is written is a gzip member of its own. The reader also takes members of several records, records of any
+type and digests of other algorithms and encodings. It checks each member, the record's header and length, and digests
+whose algorithm it knows. After a failed check it looks for the next member (or, in a plain archive, the next version
+line) that starts a valid record, goes on from there and logs the bytes between as a quarantined gap; of a member that
+can be unpacked only the records that fail are quarantined. Places are the archive's bytes; records of one member share its.
 
 An archive is read as one row, so archives of up to 2 GB can be read; those written here have 16 MB. Payloads may be of any
 length below that. A null html is an empty payload. Payloads of under `least` bytes are never revisits. Rows that repeat both page_id
@@ -11,6 +13,8 @@ and payload are each written as what that page is. A null page_id is read back a
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import zlib
@@ -25,7 +29,7 @@ from glimmer.llm import files
 from glimmer.llm.kit import scratch_path, sliced, stored
 
 FILE_BYTES, LEAST, PIECE = 16 << 20, 100, 1 << 14
-MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/"
 _PAGE = re.compile(r"^<urn:page:(-?\d+)>$")
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -58,40 +62,79 @@ class Damaged(ValueError):
     """A record that fails a check."""
 
 
+#: Algorithms by the names that headers give them, without punctuation.
+_ALGORITHMS = {n: getattr(hashlib, n) for n in ("md5", "sha1", "sha256", "sha512")}
+_VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
+_CHUNKED = re.compile(rb"(?im)^transfer-encoding:[^\r\n]*chunked")
+
+
+def _holds(label: str, data: bytes) -> bool | None:
+    """Whether a digest header is right for data; None if its algorithm or encoding isn't known."""
+    name, _, value = label.partition(":")
+    algorithm = _ALGORITHMS.get(re.sub(r"[^a-z0-9]", "", name.lower()))
+    if algorithm is None:
+        return None
+    digest, value = algorithm(data).digest(), value.strip()
+    if len(value) == 2 * len(digest):
+        return value.lower() == digest.hex()
+    try:
+        for decode in (base64.b32decode, base64.b64decode):
+            raw = decode(value.upper() + "=" * (-len(value) % 8) if decode is base64.b32decode else value + "=" * (-len(value) % 4))
+            if len(raw) == len(digest):
+                return raw == digest
+    except (binascii.Error, ValueError):
+        pass
+    return None
+
+
+def _dechunked(body: bytes) -> bytes:
+    """A body without its chunks' sizes; as far as they can be read."""
+    out, at = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r\n").match(body, at):
+        size = int(m[1], 16)
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size + 2
+        if not size:
+            break
+    return b"".join(out)
+
+
 def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     """The record at `at` and where it ends; Damaged if any check fails."""
-    if not data.startswith(VERSION, at):
+    if not _VERSION_LINE.match(data, at):
         raise Damaged("no version line")
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise Damaged("header is cut off")
-    lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+    lines = re.sub(r"\r\n[ \t]+", " ", data[at:end].decode("utf-8", "replace")).split("\r\n")[1:]
     head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    if not head.get("content-length", "").isdigit():
+    if not re.fullmatch("[0-9]+", head.get("content-length", "")):
         raise Damaged("no length")
     start, stop = end + 4, end + 4 + int(head["content-length"])
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("length does not lead to the record's end")
-    block = data[start:stop]
-    algorithm, _, want = head.get("warc-block-digest", "").partition(":")
-    if algorithm == "sha256" and hashlib.sha256(block).hexdigest() != want:
+    block, kind = data[start:stop], head.get("warc-type")
+    sound = _holds(head.get("warc-block-digest", ""), block)
+    if sound is False:
         raise Damaged("block digest differs")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    digest = head.get("warc-payload-digest", "").removeprefix("sha256:")
-    revisit = head.get("warc-type") == "revisit"
-    if revisit:
+    # a record without a content type is taken as it was before there were others here: as HTTP if it has its headers
+    http_like = head.get("content-type", "application/http").lower().startswith("application/http")
+    http, _, payload = block.partition(b"\r\n\r\n") if http_like else (b"", b"", block)
+    label = head.get("warc-payload-digest", "")
+    if kind == "revisit":
         size = re.search(rb"(?im)^content-length:\s*(\d+)", http)
         n = int(size[1]) if size else 0
     else:
         n = len(payload)
-        if digest and hashlib.sha256(payload).hexdigest() != digest:
+        # writers differ in whether a chunked body counts with its chunks; a block whose own digest holds is whole anyway
+        if label and not sound and _holds(label, payload) is False and not (_CHUNKED.search(http) and _holds(label, _dechunked(payload))):
             raise Damaged("payload digest differs")
     page, refers = (_PAGE.match(head.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
-    return {"page_id": page and int(page[1]), "url": head.get("warc-target-uri"), "record_type": head.get("warc-type"), "payload": payload, "payload_bytes": n, "payload_digest": digest, "refers_to": refers and int(refers[1])}, stop + 4
+    return {"page_id": page and int(page[1]), "url": head.get("warc-target-uri"), "record_type": kind, "payload": payload, "payload_bytes": n, "payload_digest": label.removeprefix("sha256:"), "refers_to": refers and int(refers[1])}, stop + 4
 
 
-def _member_at(data: bytes, at: int) -> tuple[dict, int]:
-    """The record in the gzip member at `at` and where the member ends."""
+def _member_at(data: bytes, at: int) -> tuple[list[dict], int]:
+    """The records of the gzip member at `at`, with {"error"} for what fails in it, and where the member ends."""
     z, parts, view = zlib.decompressobj(31), [], memoryview(data)
     try:
         while not z.eof:  # piece by piece, as what follows the member is copied from the last piece
@@ -102,10 +145,12 @@ def _member_at(data: bytes, at: int) -> tuple[dict, int]:
     except zlib.error as e:
         raise Damaged(f"member: {e}") from None
     plain = b"".join(parts)
-    found, end = parse(plain)
-    if end != len(plain):
-        raise Damaged("member has more than a record")
-    return found, at - len(z.unused_data)
+    end, found = at - len(z.unused_data), []
+    if plain:
+        found = [{k: v for k, v in r.items() if k not in ("at", "end")} for r in salvage(plain)]
+    if not any("error" not in r for r in found):
+        raise Damaged("member has no record")
+    return found, end
 
 
 def salvage(data: bytes) -> Iterator[dict]:
@@ -115,8 +160,8 @@ def salvage(data: bytes) -> Iterator[dict]:
     while at < len(view):
         packed = view.startswith(MEMBER, at)
         try:
-            found, end = _member_at(view, at) if packed else parse(view, at)
-            yield {"at": at, "end": end, **found}
+            found, end = _member_at(view, at) if packed else _one(view, at)
+            yield from ({"at": at, "end": end, **r} for r in found)
             at = end
             continue
         except Damaged as e:
@@ -137,6 +182,11 @@ def salvage(data: bytes) -> Iterator[dict]:
         yield {"at": gap, "end": at, "error": error}
 
 
+def _one(data: bytes, at: int) -> tuple[list[dict], int]:
+    found, end = parse(data, at)
+    return [found], end
+
+
 def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     """Write a record for each row of pages (page_id, url, html) to folder; a row for each file written."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))

@@ -349,6 +349,41 @@ def test_randomness_is_uniform_for_random_strings():
     assert secret_scan.scan("ſecret = abcdefgh")[0] == []
 
 
+def archived(kind, block, *head, content="application/http; msgtype=response", version="1.0"):
+    lines = [f"WARC/{version}", f"WARC-Type: {kind}", *head, *([f"Content-Type: {content}"] if content else []), f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others():
+    """Digests of other algorithms and encodings, several records a member, other types and versions, damage between."""
+    import base64
+    import hashlib
+
+    body, http = b"<p>hello</p>", b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\n<p>he\r\n7\r\nllo</p>\r\n0\r\n\r\n"
+    good = [
+        archived("warcinfo", b"software: x\r\n", content="application/warc-fields"),
+        archived("request", b"GET / HTTP/1.1\r\n\r\n", content="application/http; msgtype=request"),
+        archived("response", http + body, f"WARC-Payload-Digest: sha1:{sha1}"),
+        archived("response", http + body, f"WARC-Payload-Digest: SHA-1:{hashlib.sha1(body).hexdigest().upper()}", "WARC-Target-URI: http://a/", version="1.1"),
+        archived("response", http + body, "WARC-Payload-Digest: blake3:abc", "WARC-Block-Digest: sha1:odd"),
+        archived("response", chunked, f"WARC-Payload-Digest: sha1:{sha1}"),
+        archived("resource", body, f"WARC-Payload-Digest: md5:{hashlib.md5(body).hexdigest()}", content="text/html", version="0.18"),
+        archived("response", http + body, f"WARC-Payload-Digest: sha1:{sha1}", f"WARC-Block-Digest: sha256:{hashlib.sha256(http + body).hexdigest()}", "X-Long: a\r\n b"),
+    ]
+    bad = archived("response", http + body + b"!", f"WARC-Payload-Digest: sha1:{sha1}")
+    kinds = ["warcinfo", "request", *["response"] * 4, "resource", "response"]
+    for archive in (b"".join(good), warc.member(b"".join(good)), b"".join(map(warc.member, good))):
+        assert [r.get("record_type", r.get("error")) for r in warc.salvage(archive)] == kinds
+    got = list(warc.salvage(warc.member(good[0] + bad + good[2]) + b"junk" + warc.member(good[6])))
+    assert [r.get("record_type", "gap") for r in got] == ["warcinfo", "gap", "response", "gap", "resource"]
+    assert got[1]["error"] == "payload digest differs" and got[4]["payload"] == body
+    cut = warc.member(b"".join(good))[:-20]
+    assert [r.get("record_type", "gap") for r in warc.salvage(cut + warc.member(good[2]))] == ["gap", "response"]
+    assert [r.get("record_type", "gap") for r in warc.salvage(bad + good[2] + warc.member(b""))] == ["gap", "response", "gap"]
+
+
 def parts_by_comparison(run):
     """The definition of a run's parts, every one compared with all others."""
     out = []
