@@ -11,7 +11,7 @@ longer repeats word by word; a repeat's maximal length is not a result of its ow
 
 Documents that equal an earlier one in full are settled first. Prefixes that occur once are dropped before any
 words are sent. Null and empty texts have no words; texts of fewer than `width` words have no runs; texts may be of any
-length. Rows that share a doc_id are ordered by a hash of their texts; fully equal rows get the same result. A null
+length. Rows that share a doc_id are told apart, and ordered, by a 64-bit hash of their texts; fully equal rows get the same result. A null
 doc_id counts as the smallest integer. Other columns are not read.
 """
 
@@ -84,8 +84,8 @@ def _earliest(node: np.ndarray, rank: tuple[np.ndarray, ...]) -> np.ndarray:
     return out
 
 
-_SUFFIX = pa.schema([("key", pa.int64()), ("d", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("runs", pa.int32()), ("off", pa.int32()), ("words", pa.binary())])
-_SUFFIX_SQL = "key long, d long, th int, start int, runs int, off int, words binary"
+_SUFFIX = pa.schema([("key", pa.int64()), ("d", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("runs", pa.int32()), ("off", pa.int32()), ("words", pa.binary())])
+_SUFFIX_SQL = "key long, d long, th long, start int, runs int, off int, words binary"
 
 
 def _resolved(rows: pa.RecordBatch | pa.Table, width: int) -> pa.RecordBatch:
@@ -105,7 +105,7 @@ def _resolved(rows: pa.RecordBatch | pa.Table, width: int) -> pa.RecordBatch:
     mask = np.zeros(n, np.int64)
     np.bitwise_or.at(mask, member, np.where(first, 0, 1 << step))
     hit = np.flatnonzero(mask)
-    return pa.RecordBatch.from_arrays([pa.array(d[hit], pa.int64()), pa.array(th[hit], pa.int32()), pa.array(start[hit], pa.int32()), pa.array(mask[hit], pa.int64())], names=["d", "th", "start", "mask"])
+    return pa.RecordBatch.from_arrays([pa.array(d[hit], pa.int64()), pa.array(th[hit], pa.int64()), pa.array(start[hit], pa.int32()), pa.array(mask[hit], pa.int64())], names=["d", "th", "start", "mask"])
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, order: int = ORDER, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
@@ -113,7 +113,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, order: int = ORDER, group: int
     if not 0 < width - order < 60:
         raise ValueError("a run needs between 1 and 59 words more than its prefix")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.withColumn("th", F.hash("text"))
+    rows = rows.withColumn("th", F.xxhash64("text"))
     full = rows.select("d", "th", F.sha2("text", 256).alias("sha"))
     first = full.groupBy("sha").agg(F.min("d").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
     copies = full.join(first, "sha").where("d > first").select("d", "th", F.lit(True).alias("copy")).distinct()
@@ -126,11 +126,11 @@ def repeats(docs: DataFrame, width: int = WIDTH, order: int = ORDER, group: int
             out: list[list[np.ndarray]] = [[], [], [], []]
             for d, th, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 k, n = np.unique(anchors(word_hashes(t.encode().split()), width, order)[0], return_counts=True)
-                for x, y in zip(out, (signed(k), np.full(len(k), d), np.full(len(k), th, np.int32), np.minimum(n, 1 << 30).astype(np.int32)), strict=True):
+                for x, y in zip(out, (signed(k), np.full(len(k), d), np.full(len(k), th, np.int64), np.minimum(n, 1 << 30).astype(np.int32)), strict=True):
                     x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) if x else pa.array([], t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "d", "th", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) if x else pa.array([], t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["key", "d", "th", "n"])
 
-    prefixes = once.mapInArrow(keys, "key long, d long, th int, n int").where("key IS NOT NULL AND d IS NOT NULL AND th IS NOT NULL AND n > 0").repartition("key")
+    prefixes = once.mapInArrow(keys, "key long, d long, th long, n int").where("key IS NOT NULL AND d IS NOT NULL AND th IS NOT NULL AND n > 0").repartition("key")
     # bounds that always hold keep both uses of the prefixes at the same columns, so that they are made once
     often = prefixes.groupBy("key").agg(F.sum("n").alias("total"), F.max("d").alias("_d"), F.max("th").alias("_th")).where("total > 1")
     both = prefixes.join(often.hint("shuffle_hash"), "key").where("d <= _d AND th <= _th AND n <= total")
@@ -169,14 +169,14 @@ def repeats(docs: DataFrame, width: int = WIDTH, order: int = ORDER, group: int
             yield _resolved(held, width)
 
     few = wanted.select("d", "th", "text", "few").mapInArrow(suffixes, _SUFFIX_SQL).repartition("key").sortWithinPartitions("key")
-    found = few.mapInArrow(trees, "d long, th int, start int, mask long")
+    found = few.mapInArrow(trees, "d long, th long, start int, mask long")
     few_hits = found.groupBy("d", "th").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
     late = _late_runs(wanted.where("size(many) > 0").select("d", "th", "text", "many"), width, order)
     # a document has a row in either where it has hits there
     return marked, few_hits.join(late, ["d", "th"], "full")
 
 
-_RUN = np.dtype([("run", "<u8"), ("d", "<i8"), ("th", "<i4"), ("start", "<i4")])
+_RUN = np.dtype([("run", "<u8"), ("d", "<i8"), ("th", "<i8"), ("start", "<i4")])
 
 
 def _is_late(e: np.ndarray) -> np.ndarray:
@@ -204,7 +204,7 @@ def _late_runs(rows: DataFrame, width: int, order: int) -> DataFrame:
                 size = z[some] - a[some] + 1
                 start = np.repeat(a[some], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 e = np.empty(len(start), _RUN)
-                # runs are equal if both the hash of their anchor's prefix and that of all their words are
+                # a run is known by 64 bits, mixed of its anchor's prefix and of all its words
                 e["run"], e["d"], e["th"], e["start"] = mixed(np.repeat(k[some], size) ^ window_hashes(h, width)[start]), d, th, start
                 out.append(e)
         return np.concatenate(out)
@@ -234,7 +234,7 @@ def _late_runs(rows: DataFrame, width: int, order: int) -> DataFrame:
             at = np.flatnonzero(heads(e["d"], e["th"]))
             yield pa.RecordBatch.from_arrays([pa.array(e["d"][at]), pa.array(e["th"][at]), rows_of(np.ascontiguousarray(e["start"]), at)], names=["d", "th", "starts"])
 
-    return shuffled(shuffled(rows.mapInArrow(spread, SCHEMA)).mapInArrow(met, SCHEMA)).mapInArrow(owned, "d long, th int, starts binary")
+    return shuffled(shuffled(rows.mapInArrow(spread, SCHEMA)).mapInArrow(met, SCHEMA)).mapInArrow(owned, "d long, th long, starts binary")
 
 
 def _groups(table: pa.Table, size: int) -> Iterator[pa.Table]:

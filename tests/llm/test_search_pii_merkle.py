@@ -207,3 +207,28 @@ def test_mountain_peaks_cover_all_leaves(start, n):
     covered = sorted(x for level, i, _ in peaks for x in range(max(start, i * 16**level), min(start + n, (i + 1) * 16**level)))
     assert covered == list(range(start, start + n))
     assert len(peaks) <= 30 * len(nodes) and firsts[0] == start
+
+
+# --- rows that share an id
+
+
+@pytest.fixture(scope="module")
+def alike(spark):
+    """Two texts of 21 words that have nothing in common but a 32-bit hash."""
+    text = F.expr("array_join(transform(sequence(1, 21), k -> concat('w', (id * 7919 + k * k * 104729) % 1000003, 'x', k)), ' ')")
+    some = spark.range(300_000).select(text.alias("text")).withColumn("h", F.hash("text"))
+    pair = some.groupBy("h").agg(F.collect_list("text").alias("t")).where("size(t) = 2").first().t
+    assert not set(pair[0].split()) & set(pair[1].split())
+    return pair
+
+
+@pytest.mark.parametrize("key", [-5, None])
+def test_rows_of_one_id_are_told_apart(spark, alike, key):
+    from glimmer.llm import lines, repeats
+
+    a, b = alike
+    docs = spark.createDataFrame([(key, a), (key, b), (-(2**40) if key else None, a), (key, b)], "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_removed, r.kept_sha256) for r in repeats.digests(docs).collect() if r.kept_sha256 != brute.sha(a))
+    assert sum(g[3] == brute.sha(b) for g in got) == 2  # copies in one row's place are one row's text
+    kept = [r.text for r in lines.deduped(docs).collect()]
+    assert b in kept and a in kept
