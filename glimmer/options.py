@@ -9,7 +9,7 @@ from dataclasses import dataclass, fields, replace
 from pathlib import Path
 
 #: Suffixes by kind.
-RAW_SUFFIXES = (".arw", ".cr2", ".cr3", ".dng", ".nef", ".orf", ".raf", ".rw2")
+RAW_SUFFIXES = (".cr2", ".cr3", ".dng", ".nef", ".arw", ".raf", ".rw2", ".orf")
 JPEG_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp")
 PAGE_SIZES = (50, 100, 200, 500, 1000)
 
