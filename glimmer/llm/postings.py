@@ -232,8 +232,12 @@ def digests(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-
 def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of docs in which no window of any item occurs, columns as they were. Rows share the verdict of their doc_id."""
-    bad = contaminated(build(docs), items, size).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of docs in which no window of any item occurs, columns as they were. Each row is judged by its own text,
+    whatever its id: docs are written down with a number for each row, by which verdicts come back."""
+    row = "_row"
+    while row in docs.columns:
+        row = f"_{row}"
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    bad = contaminated(build(numbered, key=row), items, size).where("n_hit > 0").select(F.col("doc_id").alias("_bad"))
+    return numbered.join(bad, numbered[row] == bad["_bad"], "left_anti").drop(row)

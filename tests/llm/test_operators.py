@@ -11,6 +11,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from glimmer.llm import bpe, lines, main_text, ngram_join, postings, quality, records, repeats, secret_scan, warc
 from glimmer.llm.kit import mixed, window_hashes, word_hashes
 from glimmer.llm.queries import vocabulary
@@ -88,6 +89,14 @@ def test_clean_keeps_columns(spark, odd):
     assert {r.doc_id for r in odd.collect()} - {r.doc_id for r in out.collect()} == {10, 11}
 
 
+def test_clean_judges_each_row(spark):
+    rows = [(None, "one two"), (None, "clean"), (7, "one two x"), (7, "other"), (8, None), (8, "y one two"), (8, "y one two"), (None, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("_row", F.lit(1))
+    out = postings.clean(docs, spark.createDataFrame([(1, "one two")], "item_id long, text string"))
+    assert sorted(map(repr, out.select("doc_id", "text").collect())) == sorted(map(repr, docs.where("text IS NULL OR text NOT LIKE '%one two%'").select("doc_id", "text").collect()))
+    assert out.columns == docs.columns
+
+
 # --- 3
 
 
