@@ -16,8 +16,8 @@ from glimmer.llm.kit import mixed
 
 SCHEMA = "lane int, kind int, data binary"
 _ARROW = pa.schema([("lane", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
-#: Entries that a task packs at a time.
-BATCH = 1 << 20
+#: Entries that a task packs at a time, and their bytes (packing needs a few times as many).
+BATCH, BYTES = 1 << 20, 32 << 20
 
 
 def lane_count(spark: SparkSession) -> int:
@@ -84,13 +84,13 @@ def rows_of(values: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 
 def gathered(batches: Iterator[pa.RecordBatch], take: Callable[[pa.RecordBatch], np.ndarray], step: int = 1024) -> Iterator[np.ndarray]:
-    """take's entries of slices of the batches, in arrays of about BATCH."""
+    """take's entries of slices of the batches, in arrays of about BATCH entries or BYTES."""
     held, n = [], 0
     for b in batches:
         for at in range(0, b.num_rows, step):
             held.append(take(b.slice(at, step)))
             n += len(held[-1])
-            if n >= BATCH:
+            if n >= BATCH or n * held[-1].itemsize >= BYTES:
                 yield np.concatenate(held)
                 held, n = [], 0
     if n:
