@@ -229,7 +229,8 @@ def _links(texts: DataFrame, classes: DataFrame, groups: DataFrame, size: int, p
                 near &= side[:, None] != side[None, :]
             np.fill_diagonal(near, False)
             ids += [r[4] for r in part]
-            others += (near @ np.array([r[5] for r in part], np.int64)).tolist()
+            docs = np.array([r[5] for r in part], np.int64)
+            others += [n for rows in strips(len(part)) for n in (near[rows] @ docs).tolist()]
             if len(ids) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64())], names=["set", "others"])
                 ids, others = [], []
@@ -253,14 +254,23 @@ def linked_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
         order = np.argsort(at, kind="stable")
         owner, at = owner[order], at[order]
         common = np.zeros((len(sets), len(sets)), np.float32)
-        step = 4096
+        step = 1024
         for start in range(0, int(several.sum()), step):
             a, b = np.searchsorted(at, [start, start + step])
             part = np.zeros((len(sets), step), np.float32)
             part[owner[a:b], at[a:b] - start] = 1
-            common += part @ part.T
-        common = common.astype(np.int64)
-    return (common > 0) & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
+            for rows in strips(len(sets)):
+                common[rows] += part[rows] @ part.T
+    near = np.empty(common.shape, bool)
+    for rows in strips(len(sets)):
+        both = common[rows].astype(np.int64)
+        near[rows] = (both > 0) & (100 * both >= percent * (sizes[rows, None] + sizes[None, :] - both))
+    return near
+
+
+def strips(n: int, size: int = 512) -> list[slice]:
+    """Slices of n rows: what is made of a large matrix is made of a strip at a time."""
+    return [slice(at, at + size) for at in range(0, n, size)]
 
 
 def kept(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
