@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 Embed = Callable[[Sequence], np.ndarray]
+#: Rows whose items and vectors are Python objects at a time.
+ROWS = 512
 #: A loader runs once in each Python worker and gives the model.
 _loaded: dict[str, object] = {}
 
@@ -73,7 +75,7 @@ def embedded(rows: DataFrame, key: str, column: str, load: Callable[[], Embed],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed, size = model(name, load), batch
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             values = b.column(1).to_pylist()
             here = [i for i, v in enumerate(values) if v is not None]
             try:
