@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Largest query set, in values, that goes to every executor at once.
 BROADCAST_VALUES = 4_000_000
+#: Scores that a task holds at a time.
+SCORES = 1 << 21
 
 
 def _double(v: Column) -> Column:
@@ -126,15 +128,22 @@ def topk_many(vectors: DataFrame, queries: DataFrame, key: str, query_key: str,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
             best: list[list[tuple[float, object]]] = [[] for _ in names]
+            worst = np.full(len(names), -np.inf)  # of the rows that a query keeps, once it has `limit`
             for b in batches:
                 keys, m = b.column(0).to_pylist(), b.column(1)
                 if not keys:
                     continue
-                scores = q @ _units(np.array(m.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(keys), -1)).T
-                for i, row in enumerate(scores):
-                    top = np.argpartition(-row, min(limit, len(row)) - 1)[:limit] if len(row) > limit else range(len(row))
-                    edge = min(row[j] for j in top)
-                    best[i] = sorted([*best[i], *((-row[j], keys[j]) for j in np.flatnonzero(row >= edge))])[:limit]
+                units = _units(np.array(m.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(keys), -1)).T
+                step = max(1, SCORES // len(keys))
+                for at in range(0, len(names), step):
+                    scores = q[at : at + step] @ units
+                    hit = (scores >= worst[at : at + step, None]).any(axis=1)
+                    for i in np.flatnonzero(hit).tolist():
+                        row = scores[i]
+                        edge = max(worst[at + i], np.partition(row, len(row) - limit)[len(row) - limit] if len(row) > limit else -np.inf)
+                        best[at + i] = sorted([*best[at + i], *((-row[j], keys[j]) for j in np.flatnonzero(row >= edge))])[:limit]
+                        if len(best[at + i]) == limit:
+                            worst[at + i] = -best[at + i][-1][0]
             out = [(n, k, -s) for n, rows in zip(names, best, strict=True) for s, k in rows]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out]) for i in range(3)], names=[query_key, key, "score"])
