@@ -1,7 +1,7 @@
 """A stored full-text index that is kept up to date, and searches that read what can be among their results.
 
 An index is a set of segments, each written once. A segment has its texts in order of their keys, in blocks of 1,024, and
-`postings` with a row for each term and block: keys, lengths, counts and positions of the block's texts that have the
+`postings` with a row for each term and block (several where a batch cuts a block; searches add them up): keys, lengths, counts and positions of the block's texts that have the
 term, and two bounds, the greatest count and the least length. Files are ordered by term, below a folder for each hash of
 a term's first letter (`lead`), so words and prefixes prune folders and, by the terms' ranges, row groups.
 
@@ -20,8 +20,11 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,8 @@ from glimmer.plans import fts
 from glimmer.sources.snapshots import Conflict, Snapshots, View
 
 LEADS, BLOCK, FAN, WAVE, RETRIES = 64, 1024, 4, 64, 10
+#: Tokens that are inverted at a time, and texts whose postings of a lead go to one file.
+LOT, SHARE = 1 << 20, 1 << 15
 #: Bits of a block's number below its segment's number.
 _SEGMENT_BITS = 43
 
@@ -51,6 +56,53 @@ def _moved(places: Column, by: int) -> Column:
     return F.transform(places, lambda p: p - by)
 
 
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of texts (key, dl, t, block, ord): a row for each term and block, and a further one where a block is cut, by
+    the end of a batch or after about LOT tokens, which searches add up."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        dl, block = b.column(1).to_numpy().astype(np.int64), b.column(3).to_numpy()
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True):
+            at = start
+            while at < end:
+                stop = max(at + 1, at + int(np.searchsorted(np.cumsum(dl[at:end]), LOT, "right")))
+                part = b.slice(at, min(stop, end) - at)
+                at = min(stop, end)
+                tokens = part.column(2).flatten()
+                if len(tokens):
+                    yield _postings_of(part, tokens, dl[at - part.num_rows : at], int(block[start]))
+
+
+def _postings_of(b: pa.RecordBatch, tokens: pa.Array, dl: np.ndarray, block: int) -> pa.RecordBatch:
+    words = tokens.dictionary_encode()
+    code = words.indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(dl)), dl)
+    position = (np.arange(len(row)) - np.repeat(np.cumsum(dl) - dl, dl)).astype(np.int32)
+    order = np.argsort(code, kind="stable")
+    code, row, position = code[order], row[order], position[order]
+    pair = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])))
+    tf = np.diff(np.append(pair, len(code))).astype(np.int32)
+    term = np.flatnonzero(np.append(True, code[pair][1:] != code[pair][:-1]))
+    ends = np.append(term, len(pair)).astype(np.int32)
+    of, length = row[pair], dl[row[pair]].astype(np.int32)
+
+    def lists(values) -> pa.Array:
+        return pa.ListArray.from_arrays(ends, values)
+
+    places = pa.ListArray.from_arrays(np.append(pair, len(code)).astype(np.int32), pa.array(position))
+    columns = [
+        words.dictionary.take(pa.array(code[pair][term])),
+        pa.array(np.full(len(term), block)),
+        pa.array(np.diff(ends)),
+        pa.array(np.maximum.reduceat(tf, term)),
+        pa.array(np.minimum.reduceat(length, term)),
+        *map(lists, (b.column(4).take(pa.array(of)), b.column(0).take(pa.array(of)), pa.array(length), pa.array(tf), places)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "max_tf", "min_dl", "ords", "keys", "dls", "tfs", "positions"])
+
+
 class TextIndex:
     """The index of that name in a store of tables, which may hold other tables too."""
 
@@ -95,22 +147,20 @@ class TextIndex:
     # --- writing
 
     def _segment(self, tokens: DataFrame, number: int) -> dict:
-        """Write a segment of (key, t) and describe it."""
+        """Write a segment of (key, t), in partitions by ranges of keys, and describe it."""
         folder = f"{number}-{uuid.uuid4().hex}"
-        ordered = tokens.select("key", F.size("t").alias("dl"), "t").repartitionByRange("key").sortWithinPartitions("key").withColumn("_n", F.monotonically_increasing_id())
+        ordered = tokens.sortWithinPartitions("key").withColumn("_n", F.monotonically_increasing_id())
         at = F.col("_n")
-        placed = ordered.select("key", "dl", "t", (F.lit(number << _SEGMENT_BITS) + F.shiftright(at, BLOCK.bit_length() - 1)).alias("block"), at.bitwiseAND(F.lit(BLOCK - 1)).cast("int").alias("ord"))
+        placed = ordered.select("key", F.size("t").alias("dl"), "t", (F.lit(number << _SEGMENT_BITS) + F.shiftright(at, BLOCK.bit_length() - 1)).alias("block"), at.bitwiseAND(F.lit(BLOCK - 1)).cast("int").alias("ord"))
         place = f"{self.base}/texts/segment={folder}"
         placed.write.parquet(place)
         texts = self.spark.read.schema(placed.schema).parquet(place)
-        words = texts.select("block", "ord", "key", "dl", F.posexplode("t").alias("at", "term")).withColumn("lead", _lead(F.col("term")))
-        # ordered ranges of (lead, term, block) also hold each group whole, so grouping needs no second shuffle
-        ranged = words.repartitionByRange("lead", "term", "block")
-        each = ranged.groupBy("lead", "term", "block", "ord", "key", "dl").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-        rows = each.groupBy("lead", "term", "block").agg(F.sort_array(F.collect_list(F.struct("ord", "key", "dl", F.size("positions").alias("tf"), "positions"))).alias("p"))
-        columns = [F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.dl").alias("min_dl"), *(F.col(f"p.{c}").alias(n) for c, n in (("ord", "ords"), ("key", "keys"), ("dl", "dls"), ("tf", "tfs"), ("positions", "positions")))]
-        rows.select("lead", "term", "block", *columns).sortWithinPartitions("lead", "term", "block").write.partitionBy("lead").parquet(f"{self.base}/postings/segment={folder}")
         total = texts.agg(F.count("*").alias("texts"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
+        kind = placed.schema["key"].dataType.simpleString()
+        inverted = texts.mapInArrow(_inverted, f"term string, block long, n int, max_tf int, min_dl int, ords array<int>, keys array<{kind}>, dls array<int>, tfs array<int>, positions array<array<int>>")
+        # blocks are dealt to as many shares as the texts need, so that a frequent word lies in many files and none is large
+        share = F.pmod(F.xxhash64(F.shiftright("block", 4)), F.lit(1 + total.texts // SHARE))
+        inverted.withColumn("lead", _lead(F.col("term"))).repartition("lead", share).sortWithinPartitions("lead", "term", "block").write.partitionBy("lead").parquet(f"{self.base}/postings/segment={folder}")
         return {"folder": folder, "number": number, "texts": total.texts, "tokens": total.tokens, "gone": 0, "gone_tokens": 0, "marks": None}
 
     def rebuilt(self, texts: DataFrame, key: str, column: str = "text", stem: bool = False) -> dict:
@@ -124,10 +174,12 @@ class TextIndex:
 
     @staticmethod
     def _tokens(texts: DataFrame, key: str, column: str, stem: bool) -> DataFrame:
-        tokens = T.tokens(F.col(column))
+        """(key, t) in ranges of keys. Raw texts are moved and ordered; tokens, which take several times the room, are made of them after that."""
+        ordered = texts.select(F.col(key).alias("key"), F.col(column).alias("text")).repartitionByRange("key").sortWithinPartitions("key")
+        tokens = T.tokens(F.col("text"))
         if stem:
             tokens = stemmed(tokens)
-        return texts.select(F.col(key).alias("key"), F.coalesce(tokens, F.array().cast("array<string>")).alias("t"))
+        return ordered.select("key", F.coalesce(tokens, F.array().cast("array<string>")).alias("t"))
 
     def changed(self, texts: DataFrame | None, removed: DataFrame | None, key: str, column: str = "text") -> dict:
         """Write a batch: texts that are new or replace those of their keys, and keys that are removed; the note to commit."""
@@ -172,7 +224,7 @@ class TextIndex:
             if full is None:
                 return note
             reader = TextIndex(self.store, self.name, View(0, {}, {self.name: note}))
-            one = reader._segment(reader._live(full).select("key", "t"), note["next"])
+            one = reader._segment(reader._live(full).select("key", "t").repartitionByRange("key"), note["next"])
             rest = [s for s in note["segments"] if s not in full]
             note = note | {"next": note["next"] + 1, "segments": rest + self._filled(one)}
 
