@@ -212,7 +212,8 @@ def mixed_keys(rows: DataFrame, seed: int) -> DataFrame:
 def compared(rows: DataFrame, kind: np.dtype, near: Near, most: int) -> DataFrame:
     """(a, b, wide): in each lane of keys the nearest candidates of each two components (see `_best`); where there were
     more, a row with a component as a, and no b, for each of the two. rows: (id, component, keys, blocks, attr)."""
-    n = lane_count(rows.sparkSession)
+    # few lanes, as a pair comes from each lane in which it shares a key
+    n = lane_count(rows.sparkSession, 1)
     entry = np.dtype([("key", "<u8"), ("block", "<u4"), ("wide", "?"), ("id", "<i8"), ("component", "<i8"), ("attr", kind)])
 
     def take(b: pa.RecordBatch) -> np.ndarray:
@@ -371,11 +372,12 @@ def linked(found: DataFrame, attrs: DataFrame, kind: np.dtype, near: Near, value
         pairs = stored(compared(rows.join(attrs, "id").select("id", "component", "keys", "blocks", "attr"), kind, near, most), "pairs")
         merge(pairs.where("b IS NOT NULL").groupBy("a", "b").agg(F.max("wide").alias("wide")), surely=True)
         more = pairs.where("b IS NULL").select(F.col("a").alias("component")).distinct()
-        if more.isEmpty():
-            discard(pairs, rows)
-            break
-        rows, most = regrouped(rows.join(more, "component", "left_semi"), rows, 2), most * 32
+        last = more.isEmpty()
+        if not last:
+            rows, most = regrouped(rows.join(more, "component", "left_semi"), rows, 2), most * 32
         discard(pairs)
+        if last:
+            break
     out = stored(groups, "groups")
-    discard(*made)
+    discard(rows, *made)
     return out

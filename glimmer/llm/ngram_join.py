@@ -39,6 +39,8 @@ from glimmer.llm.packed import flat
 SIZE, PERCENT, COUNTS = 5, 75, 1 << 18
 #: Bits of a set's parity bitmap; sets and shingles of a block whose links are counted at a time.
 BITS, SETS, SHINGLES = 2048, 2048, 1 << 21
+#: Shingles of sets that a task remembers while it checks pairs, and eighths of their texts' packed bytes.
+HELD = 1 << 21
 ATTR = np.dtype([("n", "<u4"), ("bits", "<u8", BITS // 64)])
 #: A-Z to lower case, other bytes as they are.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -82,15 +84,25 @@ def nearness(percent: int):
 
 
 def checker(size: int, percent: int):
-    """Whether the sets of two packed texts reach the threshold; remembers the last left set."""
+    """Whether the sets of two packed texts reach the threshold; remembers sets of up to HELD shingles together."""
 
     def make():
-        last: list = [None, None]
+        sets: dict[bytes, np.ndarray] = {}
+        held = 0
+
+        def known(value: bytes) -> np.ndarray:
+            nonlocal held
+            if value not in sets:
+                found = shingles(unpacked(value), size)
+                held += len(found) + len(value) // 8
+                if held > HELD:
+                    sets.clear()
+                    held = len(found) + len(value) // 8
+                sets[value] = found
+            return sets[value]
 
         def check(a: bytes, b: bytes) -> bool:
-            if last[0] != a:
-                last[:] = [a, shingles(unpacked(a), size)]
-            x, y = last[1], shingles(unpacked(b), size)
+            x, y = known(a), known(b)
             common = len(np.intersect1d(x, y, assume_unique=True))
             return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
 
@@ -172,7 +184,7 @@ def _texts(rows: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
 
     maybe = wanted_rows(rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "th", "text"), "doc_id", wanted.select("doc_id"))
     found = maybe.mapInArrow(pack, "doc_id long, th long, value binary").join(wanted, ["doc_id", "th"])
-    return stored(found.groupBy("id").agg(F.min("value").alias("value")), "texts")
+    return stored(found.groupBy("id").agg(F.min("value").alias("value")), "texts", (wanted,))
 
 
 def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -20,8 +20,9 @@ _ARROW = pa.schema([("lane", pa.int32()), ("kind", pa.int32()), ("data", pa.bina
 BATCH, BYTES = 1 << 20, 32 << 20
 
 
-def lane_count(spark: SparkSession) -> int:
-    return min(1 << 16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def lane_count(spark: SparkSession, share: int = 4) -> int:
+    """share: lanes for each partition of a shuffle."""
+    return min(1 << 16, share * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def lane_of(key: np.ndarray, lanes: int) -> np.ndarray:
