@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 import numpy as np
 
-from glimmer.llm import kit, lines
+from glimmer.llm import kit, linkage, lines, ngram_join, postings
 from glimmer.llm.linkage import MOST, compared, linked, shared_keys
 
 KIND = np.dtype([("value", "<i8")])
@@ -62,3 +63,78 @@ def test_unused_tables_are_deleted(spark):
     left = {q.name for p in folder.iterdir() if p.name not in before for q in p.iterdir()}
     assert left <= {"gone", "edges", "groups"}, left
     assert out.where("n_removed > 0").count() >= 20
+
+
+def test_a_pair_of_many_keys_is_one_row(spark):
+    """Ids that share 40 keys, which lie in several lanes, are one pair."""
+    keys = np.arange(8, 88, 2, dtype=np.uint64).tobytes()
+    members = [(i, i, keys, np.ones(40, np.uint32).tobytes(), packed(i)) for i in (5, 9)]
+    rows = spark.createDataFrame(members, "id long, component long, keys binary, blocks binary, attr binary")
+    assert [tuple(r) for r in compared(rows, KIND, always(), MOST).collect()] == [(5, 9, False)]
+
+
+def test_a_task_holds_few_near_pairs(monkeypatch):
+    """What is held of near pairs doesn't follow their number: 400 ids of one group and 400 others make 240,000."""
+    seen: list[int] = []
+    best = linkage._best
+    monkeypatch.setattr(linkage, "_best", lambda found, most: seen.append(sum(len(x[0]) for x in found)) or best(found, most))
+    ids = np.arange(800)
+    entry = np.dtype([("key", "<u8"), ("id", "<i8"), ("component", "<i8"), ("wide", "?"), ("attr", KIND)])
+    e = np.zeros(800, entry)
+    e["id"], e["component"], e["attr"]["value"] = ids, np.where(ids < 400, 0, ids), ids
+    monkeypatch.setattr(linkage, "FOUND", 20_000)
+    (a, *_), cut = linkage.nearest(e, always(), MOST)
+    assert max(seen) < 60_000 and len(a) and 0 in cut
+
+
+def test_character_halves_reject_and_never_lose():
+    """Strings of equal counts in another order aren't candidates; strings within the distance always are."""
+    near = lines.nearness(lines.BITS, lines.PERCENT)
+
+    def candidates(pairs):
+        x, y = (lines.described([p[i] for p in pairs]) for i in range(2))
+        x["sim"], y["sim"] = 0, 0
+        return near(x, y, np.ones(len(pairs), bool))[0]
+
+    a = "ab " * 30 + "cd " * 30
+    assert candidates([(a, a), (a, "cd " * 30 + "ab " * 30)]).tolist() == [True, False]
+    r = random.Random(3)
+    pairs = []
+    while len(pairs) < 400:
+        p = "".join(r.choice("abc ") for _ in range(r.randrange(10, 120)))
+        q = list(p)
+        side = r.choice((0, len(p)))
+        for _ in range(len(p) // 5):
+            at = r.choice((side, r.randrange(len(q) + 1)))
+            q[at : at + r.randrange(2)] = r.choice(("", "x", "a"))
+        if (q := "".join(q)) and lines.edit_similar(p, q, lines.PERCENT):
+            pairs.append((p, q))
+    assert candidates(pairs).all()
+
+
+def test_links_by_pieces_are_those_of_whole_blocks(monkeypatch):
+    r = np.random.default_rng(4)
+    base = np.arange(60, dtype=np.uint64)
+    sets = [np.unique(np.append(r.choice(base, 54, replace=False), r.integers(100, 200, 3).astype(np.uint64))) for _ in range(50)]
+    docs = r.integers(1, 5, 50)
+    want = ngram_join.linked_sets(sets, 75)
+    np.fill_diagonal(want, False)
+    assert want.any()
+    side = r.integers(0, 2, 50) + 3
+    monkeypatch.setattr(ngram_join, "PIECE", 7)
+    monkeypatch.setattr(ngram_join, "SOME", 300)
+    assert (ngram_join.counted(sets, docs, None, 75) == want @ docs).all()
+    across = want & (side[:, None] != side[None, :])
+    assert (ngram_join.counted(sets, docs, side, 75) == across @ docs).all()
+
+
+def test_stages_leave_small_tables(spark):
+    """What a stage's result still reads is a list of ids, not signatures or an index."""
+    folder = Path(kit.shared_dir(spark).removeprefix("file:"))
+    docs = spark.createDataFrame([(i, f"a text of a number of words that is number {i // 2} and has some more") for i in range(20)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "of words that is number 3 and has some more")], "item_id long, text string")
+    for stage, want in ((lambda: ngram_join.kept(docs), {"copies", "edges"}), (lambda: postings.clean(docs, items), {"hits"})):
+        before = {p.name for p in folder.iterdir()}
+        out = stage()
+        assert {q.name for p in folder.iterdir() if p.name not in before for q in p.iterdir()} <= want
+        assert 0 < out.count() < 20
