@@ -37,8 +37,9 @@ from glimmer.llm.linkage import in_python, linked, shared_keys
 from glimmer.llm.packed import flat
 
 SIZE, PERCENT, COUNTS = 5, 75, 1 << 18
-#: Bits of a set's parity bitmap; sets and shingles of a block whose links are counted at a time.
-BITS, SETS, SHINGLES = 2048, 2048, 1 << 21
+#: Bits of a set's parity bitmap; sets and shingles of a block, and of a piece of it, whose links are counted at a time.
+BITS, SETS, SHINGLES = 2048, 4096, 1 << 21
+PIECE, SOME = 1024, 1 << 19
 #: Shingles of sets that a task remembers while it checks pairs, and eighths of their texts' packed bytes.
 HELD = 1 << 21
 ATTR = np.dtype([("n", "<u4"), ("bits", "<u8", BITS // 64)])
@@ -171,7 +172,7 @@ def _candidates(signs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("set"), pa.array(keys, pa.binary()), b.column("lead"), pa.array([False] * b.num_rows)], names=["id", "keys", "lead", "wide"])
 
     lead = F.when(F.col("set") != F.col("chief"), F.col("chief")).otherwise(F.coalesce("ahead", "set"))
-    return stored(named.select("set", "group", "keys", "sets", lead.alias("lead")).mapInArrow(with_group, "id long, keys binary, lead long, wide boolean"), "candidates")
+    return stored(named.select("set", "group", "keys", "sets", lead.alias("lead")).mapInArrow(with_group, "id long, keys binary, lead long, wide boolean"), "candidates", (groups,))
 
 
 def _texts(rows: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -188,18 +189,25 @@ def _texts(rows: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signatures, classes (set, group, n, attr, source, doc_id, docs), and (id, component) of linked classes."""
+    """(doc_id, n, set) of every row, classes (set, n, source, doc_id, docs), and (id, component) of linked classes, all stored."""
     signs = _signed_rows(rows, size, percent)
     filled = signs.where("n > 0 AND doc_id IS NOT NULL")
     counted = filled.groupBy("set", "group", "n").agg(F.min(F.struct("doc_id", "th")).alias("source"), F.min("attr").alias("attr"), F.countDistinct("doc_id").alias("docs"))
     classes = stored(counted.withColumn("doc_id", F.col("source.doc_id")), "classes")
     found = _candidates(signs, classes)
     attrs = classes.select(F.col("set").alias("id"), "attr")
-    return signs, classes, linked(found, attrs, ATTR, nearness(percent), lambda ids: _texts(rows, classes, ids), in_python(checker(size, percent)))
+    signs = stored(signs.select("doc_id", "n", "set"), "sets", (signs,))
+    groups = linked(found, attrs, ATTR, nearness(percent), lambda ids: _texts(rows, classes, ids), in_python(checker(size, percent)))
+    return signs, stored(classes.drop("group", "attr"), "classes", (classes,)), groups
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, links: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row, with links also n_links."""
+    return _joined(docs, size, percent, links)[0]
+
+
+def _joined(docs: DataFrame, size: int, percent: int, links: bool = False) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """What `join` returns, and the stored tables that it reads."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").alias("text"))
     signs, classes, groups = _linked(rows, size, percent)
     # sets of rows that share a doc_id hang together
@@ -218,7 +226,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, links: bool
     out = out.join(label, "set", "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     columns = [F.col("doc_id"), F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")]
-    return out.select(*columns, *([F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links")] if links else []))
+    return out.select(*columns, *([F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links")] if links else [])), (signs, classes, groups, same)
 
 
 def _links(texts: DataFrame, classes: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
@@ -235,14 +243,10 @@ def _links(texts: DataFrame, classes: DataFrame, groups: DataFrame, size: int, p
         ids, others = [], []
         for (_, x, y), group in groupby(rows, key=lambda r: r[:3]):
             part = list(group)
-            near = linked_sets([shingles(unpacked(r[6]), size) for r in part], percent)
-            side = np.array([r[3] for r in part])
-            if x != y:
-                near &= side[:, None] != side[None, :]
-            np.fill_diagonal(near, False)
-            ids += [r[4] for r in part]
+            sets = [shingles(unpacked(r[6]), size) for r in part]
             docs = np.array([r[5] for r in part], np.int64)
-            others += [n for rows in strips(len(part)) for n in (near[rows] @ docs).tolist()]
+            ids += [r[4] for r in part]
+            others += counted(sets, docs, np.array([r[3] for r in part]) if x != y else None, percent).tolist()
             if len(ids) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64())], names=["set", "others"])
                 ids, others = [], []
@@ -251,12 +255,54 @@ def _links(texts: DataFrame, classes: DataFrame, groups: DataFrame, size: int, p
     return dealt.mapInArrow(run, "set long, others long").groupBy("set").agg(F.sum("others").alias("others"))
 
 
-def linked_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """[i, j]: whether the sets i and j reach the threshold. Overlaps come from products of 0/1 matrices."""
+def counted(sets: list[np.ndarray], docs: np.ndarray, side: np.ndarray | None, percent: int) -> np.ndarray:
+    """The documents (docs: how many each set has) of the other sets that each set is linked with; where sets have a side, of
+    those of the other side. Sets are compared by pieces, so that memory is bounded."""
+    out = np.zeros(len(sets), np.int64)
+    sizes = np.array([len(s) for s in sets])
+    sides = [np.arange(len(sets))] if side is None else [np.flatnonzero(side == s) for s in np.unique(side)]
+    pieces = [[rows[p] for p in _pieces(sizes[rows])] for rows in sides]
+    if side is None:
+        pairs = [(a, b) for i, a in enumerate(pieces[0]) for b in pieces[0][i:]]
+    else:
+        pairs = [(a, b) for a in pieces[0] for b in pieces[1]] if len(pieces) > 1 else []
+    for a, b in pairs:
+        if a is b:
+            near = linked_sets([sets[i] for i in a], percent)
+            np.fill_diagonal(near, False)
+            out[a] += _sums(near, docs[a])
+        else:
+            near = linked_sets([sets[i] for i in (*a, *b)], percent, len(a))
+            out[a] += _sums(near, docs[b])
+            out[b] += _sums(near.T, docs[a])
+    return out
+
+
+def _pieces(sizes: np.ndarray) -> list[slice]:
+    """Slices of sets, of PIECE sets and SOME shingles at most, one set at least."""
+    ends, out, at = np.cumsum(sizes), [], 0
+    while at < len(sizes):
+        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SOME, "right"))
+        out.append(slice(at, max(at + 1, min(end, at + PIECE))))
+        at = out[-1].stop
+    return out
+
+
+def _sums(near: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    return np.concatenate([near[rows] @ docs for rows in strips(len(near))])
+
+
+def linked_sets(sets: list[np.ndarray], percent: int, split: int | None = None) -> np.ndarray:
+    """[i, j]: whether the sets i and j reach the threshold; with split, i of the first `split` sets and j of the rest.
+    Overlaps come from products of 0/1 matrices."""
     sizes = np.array([len(s) for s in sets])
+    left, right = (slice(None), slice(None)) if split is None else (slice(split), slice(split, None))
+    tall, broad = sizes[left], sizes[right]
+    common = np.zeros((len(tall), len(broad)), np.float32)
     if len(sets) == 2:
-        common = np.diag(sizes)
-        common[0, 1] = common[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
+        both = np.diag(sizes)
+        both[0, 1] = both[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
+        common[:] = both[left, right]
     else:
         _, row, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         several = times > 1  # what one set has alone is in no overlap
@@ -265,18 +311,17 @@ def linked_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
         owner, at = owner[several[row]], place[row[several[row]]]
         order = np.argsort(at, kind="stable")
         owner, at = owner[order], at[order]
-        common = np.zeros((len(sets), len(sets)), np.float32)
         step = 1024
         for start in range(0, int(several.sum()), step):
             a, b = np.searchsorted(at, [start, start + step])
             part = np.zeros((len(sets), step), np.float32)
             part[owner[a:b], at[a:b] - start] = 1
-            for rows in strips(len(sets)):
-                common[rows] += part[rows] @ part.T
+            for rows in strips(len(tall)):
+                common[rows] += part[left][rows] @ part[right].T
     near = np.empty(common.shape, bool)
-    for rows in strips(len(sets)):
+    for rows in strips(len(tall)):
         both = common[rows].astype(np.int64)
-        near[rows] = (both > 0) & (100 * both >= percent * (sizes[rows, None] + sizes[None, :] - both))
+        near[rows] = (both > 0) & (100 * both >= percent * (tall[rows, None] + broad[None, :] - both))
     return near
 
 
@@ -287,5 +332,6 @@ def strips(n: int, size: int = 512) -> list[slice]:
 
 def kept(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that are first of their component, and all rows without an id; columns as they were."""
-    gone = join(docs, size, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    out, tables = _joined(docs, size, percent)
+    gone = stored(out.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies", tables)
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
