@@ -73,6 +73,19 @@ def test_a_pair_of_many_keys_is_one_row(spark):
     assert [tuple(r) for r in compared(rows, KIND, always(), MOST).collect()] == [(5, 9, False)]
 
 
+def test_attributes_travel_once_a_lane(spark, monkeypatch):
+    """Two ids with 4,000 keys send no more than their keys, and their attributes once for each lane."""
+    wide = np.dtype([("value", "<i8"), ("rest", "V4096")])
+    value = packed(1) + bytes(4096)
+    keys, blocks = np.arange(8, 8008, 2, dtype=np.uint64).tobytes(), np.ones(4000, np.uint32).tobytes()
+    rows = spark.createDataFrame([(i, i, keys, blocks, value) for i in (5, 9)], "id long, component long, keys binary, blocks binary, attr binary").coalesce(1)
+    sent = []
+    shuffled = linkage.shuffled
+    monkeypatch.setattr(linkage, "shuffled", lambda df: sent.append(df) or shuffled(df))
+    assert [tuple(r) for r in compared(rows, wide, always(), MOST).collect()] == [(5, 9, False)]
+    assert sum(len(r.data) for r in sent[0].collect()) < 400_000
+
+
 def test_a_task_holds_few_near_pairs(monkeypatch):
     """What is held of near pairs doesn't follow their number: 400 ids of one group and 400 others make 240,000."""
     seen: list[int] = []
